@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_files
+from . import bpe, near_dups, token_files, toxicity
 from ._spark import scratch
 
 
@@ -41,9 +41,23 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents, on 4-word shingles at 0.8."""
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents; the field is fitted on labelled rows that are not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    scored = toxicity.score(docs, toxicity.train(docs, labels), spans=False)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op3_minhash_near_dups": op3_minhash_near_dups,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {}

@@ -23,8 +23,8 @@ _WITH_BLANKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 _WORDS_ONLY = re.compile(r"[^ \t-\r]+")
 #: Letters of these code points are lower-cased, normalised and classed alike by all libraries.
 _PLAIN = re.compile("[\\t-~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017e]+")
-#: Distinct pieces kept by a task before it starts afresh (about 150 MB).
-CACHE_PIECES = 700_000
+#: Pieces met since the last turn of the cache; as many of the turn before stay at hand (about 100 MB in all).
+CACHE_PIECES = 200_000
 #: Longer pieces are encoded but not kept.
 CACHE_PIECE_CHARS = 48
 
@@ -79,6 +79,7 @@ class WordCache:
         else:
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """By the tokenizers library."""
@@ -108,10 +109,13 @@ class WordCache:
             for p in pieces:
                 found = known.get(p)
                 if found is None:
-                    found = self.piece(p)
+                    found = self.older.get(p)
+                    if found is None:
+                        found = self.piece(p)
                     if len(p) <= CACHE_PIECE_CHARS:
                         if len(known) >= CACHE_PIECES:
-                            known.clear()
+                            self.known, self.older = {}, known
+                            known = self.known
                         known[p] = found
                 parts.append(found)
             out.append(b"".join(parts))
