@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dups, token_files, toxicity
-from ._spark import scratch
+from . import bpe, chat, licenses, near_dups, token_files, toxicity, warc
+from ._spark import saved, scratch
 
 
 def _tokenizer(name: str) -> str:
@@ -29,6 +29,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted, written and read back."""
+    path, size = _tokenizer("byte_bpe_50k.json"), 50_257
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(chat.extra_conversation(spark))
+    return chat.read_back(saved(chat.format_conversations(turns, path, size), "chat"), path, size)
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to seekable archives and read back."""
+    folder = scratch(spark, "warc")
+    warc.write_bundles(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_bundles(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and the texts decoded from them."""
     path = _tokenizer("byte_bpe_50k.json")
@@ -56,8 +75,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op3_minhash_near_dups": op3_minhash_near_dups,
+    "op5_chat_format": op5_chat_format,
+    "op6_license_scan": op6_license_scan,
+    "op7_warc_bundles": op7_warc_bundles,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op5_chat_format": r"""
+        WITH all_turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+        ), escaped AS (
+            SELECT *, regexp_replace(role, '(\\*)(<turn>|</turn>|### System:|### User:|### Assistant:|<\|endoftext\|>)', '\1\1\\\2', 'g') AS r,
+                   regexp_replace(text, '(\\*)(<turn>|</turn>|### System:|### User:|### Assistant:|<\|endoftext\|>)', '\1\1\\\2', 'g') AS t
+            FROM all_turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(length(r) + length(t) + 17) AS BIGINT) AS formatted_chars
+        FROM escaped GROUP BY conv_id
+    """,
+    "op7_warc_bundles": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+        ), q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM q
+    """,
+}
