@@ -4,8 +4,12 @@
    a signature of BANDS * ROWS minima. Documents with equal sets are one class from here on, so thousands of
    copies cost one representative.
 2. A class falls into one bucket a band. In each bucket members are first held against one representative
-   (a star, linear in the bucket), components are formed, and only members of different components are
-   compared then, all of them: no link between different components can be lost, and no bucket is capped.
+   (a star, linear in the bucket): the one with the most company over all bands, which among edited copies
+   is the text that they were made from. Components are formed from these links.
+   Members of buckets that still hold several components are compared across components, all of them: of
+   two sets similar enough, the rarest shingles (as many as the threshold lets them differ by, one more)
+   must have one in common, so classes meet by those shingles only. That is exact: no link is lost, and
+   no bucket is capped.
 3. A candidate pair is compared signature batch by signature batch. With m of n minima equal and a uniform
    prior, the similarity has a Beta(m + 1, n - m + 1) posterior; the pair is dropped once the posterior chance
    of `similarity` or more is below `miss`.
@@ -131,10 +135,9 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose full sets are similar enough. `pairs` is read more than once."""
-    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    some = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and runs (all shingle hashes) of the documents with the given ids."""
+    some = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +147,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], names=["doc_id", "runs"])
 
-    sets = saved(docs.join(some, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, runs array<long>").dropDuplicates(["doc_id", "runs"]), "sets")
+    return docs.join(some, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, runs array<long>")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of class ids whose full sets are similar enough. `pairs` is read more than once."""
+    ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    sets = saved(full_sets(docs, ids, words).dropDuplicates(["doc_id", "runs"]), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("ra"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("rb"))
     common = F.size(F.array_intersect("ra", "rb")).cast("long")
@@ -155,6 +164,35 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return found
 
 
+def rare_pairs(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of classes of different parts that can be similar enough, by their rarest shingles;
+    open_ has (class_id, part).
+
+    Sets of n and m shingles are similar enough only if they have w = ceil(percent * (n + m) / (100 + percent))
+    in common; put in one order, the first n - w + 1 of one and m - w + 1 of the other then share a shingle.
+    Rarest first, shingles that no other open class has lead, and need no row.
+    """
+    sets = full_sets(docs, open_.select(F.col("class_id").alias("doc_id")), words)
+    held = sets.join(open_.withColumnRenamed("class_id", "doc_id"), "doc_id").select(F.col("doc_id").alias("class_id"), "part", F.size("runs").alias("n"), F.explode("runs").alias("run"))
+    held = saved(held, "held")
+    shared = held.groupBy("run").agg(F.count("*").alias("df"), F.min("part").alias("least"), F.max("part").alias("most")).where("df > 1")
+    lists = held.join(shared, "run").groupBy("class_id", "part", "n").agg(F.sort_array(F.collect_list(F.struct("df", "run", (F.col("least") < F.col("most")).alias("mixed")))).alias("l"))
+    # Whatever the partner's size, at least percent of 100 of a set's own shingles must be in common.
+    room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("l"))
+    firsts = lists.withColumn("room", room).where("room > 0").select("class_id", "part", "n", (F.col("n") - F.size("l")).alias("lone"), F.posexplode(F.slice("l", F.lit(1), F.col("room"))).alias("i", "t"))
+    posted = saved(firsts.where("t.mixed").select("class_id", "part", "n", (F.col("lone") + F.col("i")).alias("pos"), F.col("t.run").alias("run")), "posted")
+    heads = posted.select("run", "part").distinct()
+    apart = heads.select("run", F.col("part").alias("p")).join(heads.select("run", F.col("part").alias("q")), "run").where("p < q")
+    left = posted.select("run", F.col("part").alias("p"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"))
+    right = posted.select("run", F.col("part").alias("q"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
+    common = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
+    met = apart.join(left, ["run", "p"]).join(right, ["run", "q"]).where((F.col("ia") <= F.col("na") - common) & (F.col("ib") <= F.col("nb") - common))
+    found = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    dropped(held)
+    dropped(posted)
+    return found
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, miss: float = MISS) -> DataFrame:
     """Return doc_id, n_shingles, component_id (smallest id reachable) and kept (doc_id = component_id), a row
     for each row of `docs`.
@@ -170,33 +208,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     name = ["n_shingles", "hi", "lo"]
     classes = saved(named.groupBy(*name).agg(F.min("doc_id").alias("class_id"), F.first("signature").alias("signature")).withColumn("n", F.col("n_shingles")), "classes")
     bands = saved(band_keys(classes), "bands")
-    firsts = bands.groupBy("band").agg(F.min("class_id").alias("rep"), F.max("class_id").alias("last")).where("last > rep").select("band", "rep")
-    members = saved(bands.join(firsts, "band").select("band", "class_id", "n", "rep"), "members")
+    crowded = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    members = saved(bands.join(crowded, "band"), "members")
     dropped(bands)
+    company = members.groupBy("class_id").agg(F.sum("size").alias("company"))
+    heads = members.join(company, "class_id").groupBy("band").agg(F.max(F.struct("company", (-F.col("class_id")).alias("low"))).alias("h")).select("band", (-F.col("h.low")).alias("rep"))
     sizes = classes.select(F.col("class_id").alias("rep"), F.col("n").alias("rep_n"))
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
+    fits = (F.col("n") * 100 >= F.col("rep_n") * percent) & (F.col("rep_n") * 100 >= F.col("n") * percent)
 
     # Each class against the representative with which it shares most bands.
-    shared = members.where("class_id > rep").groupBy("class_id", "rep", "n").agg(F.count("*").alias("bands"))
+    shared = members.join(heads, "band").where("class_id <> rep").groupBy("class_id", "rep", "n").agg(F.count("*").alias("bands"))
     best = Window.partitionBy("class_id").orderBy(F.desc("bands"), "rep")
-    stars = shared.join(sizes, "rep").where(fits("n", "rep_n")).withColumn("place", F.row_number().over(best)).where("place = 1").select(F.col("rep").alias("a"), F.col("class_id").alias("b"))
+    stars = shared.join(sizes, "rep").where(fits).withColumn("place", F.row_number().over(best)).where("place = 1").select(F.least("rep", "class_id").alias("a"), F.greatest("rep", "class_id").alias("b")).distinct()
     tested = saved(bayes_filter(stars, classes, similarity, miss), "stars")
     links = [confirm(tested, rows, words, percent)]
 
-    # Whatever shares a bucket but no component is compared in full.
+    # Whatever shares a bucket but no component is compared across components.
     parts = saved(connected_components(links[0]), "parts")
-    placed = saved(members.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "class_id", "n", F.coalesce("component", "class_id").alias("part")), "placed")
+    placed = saved(members.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("band", "class_id", F.coalesce("component", "class_id").alias("part")), "placed")
     dropped(members)
     split = placed.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("band")
-    open_ = saved(placed.join(split, "band"), "open")
+    open_ = saved(placed.join(split, "band").select("class_id", "part").distinct(), "open")
     dropped(placed)
-    heads = open_.select("band", "part").distinct()
-    apart = heads.select("band", F.col("part").alias("p")).join(heads.select("band", F.col("part").alias("q")), "band").where("p < q")
-    left = open_.select("band", F.col("part").alias("p"), F.col("class_id").alias("a"), F.col("n").alias("na"))
-    right = open_.select("band", F.col("part").alias("q"), F.col("class_id").alias("b"), F.col("n").alias("nb"))
-    pairs = apart.join(left, ["band", "p"]).join(right, ["band", "q"]).where(fits("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = rare_pairs(open_, rows, words, percent)
     rest = saved(bayes_filter(pairs.join(tested, ["a", "b"], "left_anti"), classes, similarity, miss), "rest")
-    dropped(open_)
     links.append(confirm(rest, rows, words, percent))
 
     joined = saved(connected_components(reduce(DataFrame.unionByName, links)), "components")
