@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, licenses, near_dups, token_files, toxicity, warc
+from . import bpe, chat, decontaminate, licenses, near_dups, permutation_index, shards, token_files, toxicity, warc
 from ._spark import saved, scratch
 
 
@@ -29,6 +29,16 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_compacted_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents appended in 16 arrivals, compacted, and read back from the last committed version."""
+    store = shards.Store(spark, scratch(spark, "store"))
+    store.append(_table(spark, sf_dir, "documents").withColumn("arrival", F.coalesce(F.pmod("doc_id", F.lit(16)), F.lit(0)).cast("int")), by="arrival")
+    store.compact()
+    store.vacuum()
+    text = F.col("text").cast("binary")
+    return store.read().select("doc_id", "arrival", F.octet_length("text").cast("long").alias("text_bytes"), F.sha2(text, 256).alias("text_sha256"), "lang", "source", "n_chars")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -7, formatted, written and read back."""
     path, size = _tokenizer("byte_bpe_50k.json"), 50_257
@@ -48,6 +58,11 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_bundles(spark, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least 0.8 of a benchmark item's 5-word shingles."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and the texts decoded from them."""
     path = _tokenizer("byte_bpe_50k.json")
@@ -60,6 +75,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every embedding whose id is divisible by 20, among all others."""
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), top=20)
+
+
 def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on 4-word shingles at 0.8."""
     return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=0.8)
@@ -74,16 +94,39 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
+    "op2_permutation_index": op2_permutation_index,
     "op3_minhash_near_dups": op3_minhash_near_dups,
+    "op4_compacted_shards": op4_compacted_shards,
     "op5_chat_format": op5_chat_format,
     "op6_license_scan": op6_license_scan,
     "op7_warc_bundles": op7_warc_bundles,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op4_compacted_shards": """
+        SELECT doc_id, CAST(coalesce(((doc_id % 16) + 16) % 16, 0) AS INTEGER) AS arrival,
+               octet_length(encode(text)) AS text_bytes, sha256(text) AS text_sha256, lang, source, n_chars
+        FROM documents
+    """,
+    "op8_benchmark_leaks": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+        ), i AS (
+            SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark
+        ), ir AS (
+            SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') AS run
+            FROM i, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(p) WHERE len(w) > 0
+        ), dr AS (
+            SELECT DISTINCT doc_id, k, array_to_string(w[p : p + k - 1], ' ') AS run
+            FROM d, (SELECT DISTINCT k FROM ir) AS ks, unnest(range(1, len(w) - k + 2)) AS u(p)
+        ), n AS (SELECT item_id, CAST(count(*) AS INTEGER) AS n_item FROM ir GROUP BY item_id),
+        c AS (SELECT doc_id, item_id, CAST(count(*) AS INTEGER) AS n_common FROM ir JOIN dr USING (k, run) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, n_item, n_common, n_common / n_item AS containment FROM c JOIN n USING (item_id) WHERE 100 * n_common >= 80 * n_item
+    """,
     "op5_chat_format": r"""
         WITH all_turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
