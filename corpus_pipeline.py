@@ -1,8 +1,70 @@
-"""Placeholder until the stages are there."""
+"""The corpus pipeline: toxic documents go, one document of each group of near duplicates stays, documents that
+hold benchmark items go, and what is left is encoded.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
+the docs of the next. All but the last return the columns of `documents`.
+
+Rows with a null doc_id cannot be named by the pairwise stages and stay. Null texts count as empty, which is
+clean and alone. Rows repeated under one doc_id with one text stay once.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmere.llm import bpe, decontaminate, near_dups, toxicity
+from quillmere.llm._spark import saved, sent
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without the rows of some ids; null ids stay."""
+    return docs.join(sent(saved(ids.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the random field does not call toxic; it is fitted on the labelled ones among them."""
+    return toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 or more on 5-word shingles: the smallest id."""
+    found = near_dups.near_duplicates(docs, words=5, similarity=0.8)
+    left = _without(docs, found.where("not kept"))
+    repeated = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item to 0.8 or more of its 5-word shingles."""
+    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether the ids decode to the text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = bpe.decode(bpe.encode(docs, path), path)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_leaks),
+    ("bpe", encode),
+]
+
+#: Neither the field's scores nor the encoding can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return docs

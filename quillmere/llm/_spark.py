@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -40,6 +41,15 @@ def dropped(df: DataFrame) -> None:
         remove(spark, folder)
 
 
+#: Tables of so many rows at most are sent to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def sent(table: DataFrame) -> DataFrame:
+    """Marked for broadcast if its size, which is counted, allows that."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

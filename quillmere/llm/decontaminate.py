@@ -23,10 +23,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import dropped, saved
+from ._spark import dropped, saved, sent
 
-#: Tables of so many rows at most are sent to every task; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 MISS = 1e-7
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -105,25 +103,23 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     posting = saved(posting.distinct(), "postings")
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    hashed = rows.select("doc_id", F.transform(word_list(F.col("text")), lambda x: F.xxhash64(x)).alias("w")).where("size(w) > 0")
+    hashed = rows.select("doc_id", F.transform(word_list(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
     runs = hashed.select("doc_id", F.expr(f"sort_array(array_distinct(concat({', '.join(_hashes('w', k) for k in ks)})))").alias("h"))
     # Size partition: bins = 2**bits, the power of two next above shingles / load.
-    binned = runs.where("size(h) > 0").select("doc_id", "h", F.greatest(F.lit(1), F.least(F.lit(62), F.ceil(F.log2(F.size("h") / F.lit(load))).cast("int"))).alias("bits"))
+    binned = runs.select("doc_id", "h", F.greatest(F.lit(1), F.least(F.lit(62), F.ceil(F.log2(F.size("h") / F.lit(load))).cast("int"))).alias("bits"))
     signed = binned.select("doc_id", F.expr("filter(h, (x, i) -> i = 0 OR shiftright(x, 64 - bits) <> shiftright(h[i - 1], 64 - bits))").alias("minima"))
-    flat = signed.select("doc_id", F.explode("minima").alias("hash"))
-    found = flat.join(_sent(posting), "hash").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("collisions"))
+    # The outer form, for the inner one is given a filter on the array, which the optimizer would push below the
+    # projections and work out anew for every element.
+    flat = signed.select("doc_id", F.explode_outer("minima").alias("hash"))
+    found = flat.join(sent(posting), "hash").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("collisions"))
     pairs = saved(found.join(F.broadcast(least), "n").where("collisions >= least").select("doc_id", "item_id").distinct(), "pairs")
     dropped(posting)
 
     ids = pairs.select("doc_id").distinct()
-    some = rows.join(_sent(saved(ids, "ids")), "doc_id", "left_semi").select("doc_id", word_list(F.col("text")).alias("w"))
+    some = rows.join(sent(saved(ids, "ids")), "doc_id", "left_semi").select("doc_id", word_list(F.col("text")).alias("w"))
     whole = saved(some.select("doc_id", F.expr(f"concat({', '.join(_runs('w', k) for k in ks)})").alias("held")), "held")
-    checked = pairs.join(whole, "doc_id").join(_sent(sets), "item_id").select("doc_id", "item_id", F.col("n").alias("n_item"), F.size(F.array_intersect("held", "runs")).alias("n_common"))
+    checked = pairs.join(whole, "doc_id").join(sent(sets), "item_id").select("doc_id", "item_id", F.col("n").alias("n_item"), F.size(F.array_intersect("held", "runs")).alias("n_common"))
     kept = checked.where(F.col("n_common") * 100 >= F.col("n_item") * percent).withColumn("containment", F.col("n_common") / F.col("n_item"))
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("containment", "n_item", "n_common")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_item", "b.n_common", "b.containment")
 
-
-def _sent(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if its size allows that."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table

@@ -28,15 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bytes_of, dropped, saved, text_slices
+from ._spark import bytes_of, dropped, saved, sent, text_slices
 from .components import connected_components
 from .words import LOWER, NO_BLANK, find_words, hash_words, mix, shingles
 
 BANDS, ROWS = 40, 5
 BATCH = 20
 MISS = 1e-7
-#: Ids up to this many are sent to all tasks to pick documents; more go through a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _RNG = np.random.default_rng(8_191)
 _FACTORS = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -137,7 +135,6 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss:
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id and runs (all shingle hashes) of the documents with the given ids."""
-    some = F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,7 +144,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], names=["doc_id", "runs"])
 
-    return docs.join(some, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, runs array<long>")
+    return docs.join(sent(ids), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, runs array<long>")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:

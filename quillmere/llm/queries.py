@@ -114,9 +114,9 @@ ORACLES: dict[str, str] = {
     """,
     "op8_benchmark_leaks": r"""
         WITH d AS (
-            SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
         ), i AS (
-            SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM benchmark
+            SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark
         ), ir AS (
             SELECT DISTINCT item_id, least(len(w), 5) AS k, array_to_string(w[p : p + least(len(w), 5) - 1], ' ') AS run
             FROM i, unnest(range(1, len(w) - least(len(w), 5) + 2)) AS u(p) WHERE len(w) > 0

@@ -265,15 +265,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
         model = pickle.loads(known)
         for batch in batches:
             for some in text_slices(batch):
-                data, starts, ends, first, offsets = tokens(some.column("text"))
-                f, b = forward_backward(model.emissions(features(data, starts, ends)), first, model.transitions, model.start)
-                odds = f * b
-                x = np.column_stack([np.ones(some.num_rows), aggregates(odds, first)])
-                points = _sigmoid(x @ model.document)
+                found, points = _points(some.column("text"), model)
                 columns = [some.column("doc_id"), pa.array(points), pa.array((points >= 0.5).astype(np.int32))]
                 names = ["doc_id", "score", "predicted"]
                 if spans:
-                    columns.append(pa.array(_spans(data, starts, ends, first, offsets, odds), span))
+                    columns.append(pa.array(_spans(*found), span))
                     names.append("spans")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -281,6 +277,29 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return rows.mapInArrow(tag, f"doc_id {kind}, score double, predicted int{extra}")
 
 
+def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of `docs`, with all their columns, that are not predicted toxic."""
+    known = pickle.dumps(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = pickle.loads(known)
+        for batch in batches:
+            for some in text_slices(batch, text):
+                _, points = _points(some.column(text), model)
+                yield some.filter(pa.array(points < 0.5))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _points(texts: pa.Array, model: Model) -> tuple[tuple, np.ndarray]:
+    """Tokens with their marginals' odds, and the score of each text."""
+    found = tokens(texts)
+    data, starts, ends, first, _ = found
+    f, b = forward_backward(model.emissions(features(data, starts, ends)), first, model.transitions, model.start)
+    x = np.column_stack([np.ones(len(texts)), aggregates(f * b, first)])
+    return (*found, f * b), _sigmoid(x @ model.document)
+
+
 def _spans(data, starts, ends, first, offsets, odds) -> list[list[dict]]:
     out: list[list[dict]] = [[] for _ in range(len(first) - 1)]
     hot = np.flatnonzero(odds >= 1)
