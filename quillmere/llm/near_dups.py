@@ -178,12 +178,17 @@ def rare_pairs(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     room = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1 - (F.col("n") - F.size("l"))
     firsts = lists.withColumn("room", room).where("room > 0").select("class_id", "part", "n", (F.col("n") - F.size("l")).alias("lone"), F.posexplode(F.slice("l", F.lit(1), F.col("room"))).alias("i", "t"))
     posted = saved(firsts.where("t.mixed").select("class_id", "part", "n", (F.col("lone") + F.col("i")).alias("pos"), F.col("t.run").alias("run")), "posted")
-    heads = posted.select("run", "part").distinct()
-    apart = heads.select("run", F.col("part").alias("p")).join(heads.select("run", F.col("part").alias("q")), "run").where("p < q")
+    # Parts meet first, by bounds over their members that no similar pair can fail: with c = percent / (100 +
+    # percent), n - w + 1 > pos needs n * (1 - c) - pos >= c * m.
+    c = percent / (100 + percent)
+    heads = posted.groupBy("run", "part").agg(F.max(F.col("n") * (1 - c) - F.col("pos")).alias("most"), (F.min("n") * c - 1e-6).alias("least"))
+    one = heads.select("run", F.col("part").alias("p"), F.col("most").alias("most_p"), F.col("least").alias("least_p"))
+    two = heads.select(F.col("run").alias("run_q"), F.col("part").alias("q"), F.col("most").alias("most_q"), F.col("least").alias("least_q"))
+    apart = one.join(two, (F.col("run") == F.col("run_q")) & (F.col("p") < F.col("q")) & (F.col("most_p") >= F.col("least_q")) & (F.col("most_q") >= F.col("least_p"))).select("run", "p", "q")
     left = posted.select("run", F.col("part").alias("p"), F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"))
     right = posted.select("run", F.col("part").alias("q"), F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"))
     common = F.ceil((F.col("na") + F.col("nb")) * percent / (100 + percent))
-    met = apart.join(left, ["run", "p"]).join(right, ["run", "q"]).where((F.col("ia") <= F.col("na") - common) & (F.col("ib") <= F.col("nb") - common))
+    met = apart.join(left, ["run", "p"]).where(F.col("ia") <= F.col("na") * (1 - c)).join(right, ["run", "q"]).where((F.col("ia") <= F.col("na") - common) & (F.col("ib") <= F.col("nb") - common))
     found = saved(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     dropped(held)
     dropped(posted)
