@@ -44,7 +44,7 @@ def classes(vectors: DataFrame, key: str, vector: str, top: int) -> DataFrame:
     """embedding (array<double>), ids (the top + 1 smallest, ascending) of each distinct usable vector. The
     row limit inside the window is applied before the shuffle, so a vector that a third of all rows share is
     top + 1 rows a task."""
-    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding")).withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0)))
+    rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable("embedding")).withColumn("embedding", F.transform("embedding", lambda v: v + F.lit(0.0))).distinct()
     first = Window.partitionBy("embedding").orderBy("vec_id")
     ranked = rows.withColumn("place", F.row_number().over(first)).where(F.col("place") <= top + 1)
     return ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))

@@ -134,7 +134,7 @@ def choose(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     equal payloads meet as one row a digest, summed up before the shuffle; only the join's stream side can be
     hot, which adaptive execution splits."""
     rows = pages.select(F.col(page).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    firsts = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1 and first.page_id is not null").select("digest", "first")
+    firsts = rows.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
     joined = rows.join(firsts, "digest", "left")
     revisit = F.col("first").isNotNull() & (F.col("payload_bytes") >= least) & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("first.page_id"))
     return joined.select("page_id", "url", "payload", "payload_bytes", "digest", F.when(revisit, F.col("first.page_id")).alias("refers_to"), F.when(revisit, F.col("first.url")).alias("refers_url"))
