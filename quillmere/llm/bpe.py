@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import text_slices
-from .tokens import byte_decoder, word_cache
+from .tokens import byte_decoder, trim_caches, word_cache
 
 PIECE_CHARS = 16_384
 #: Ids that must agree on each side of a window.
@@ -152,6 +152,7 @@ def decode(coded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "id
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_caches()
         table = byte_decoder(tokenizer)
         for batch in batches:
             for part in text_slices(batch, "ids"):

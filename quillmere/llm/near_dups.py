@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ._spark import bytes_of, dropped, saved, sent, text_slices
 from .components import connected_components
+from .tokens import trim_caches
 from .words import LOWER, NO_BLANK, find_words, hash_words, mix, shingles
 
 BANDS, ROWS = 40, 5
@@ -68,6 +69,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit name (hi, lo) and signature; of (doc_id, text)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_caches(tokenizers=True)
         for batch in batches:
             for some in text_slices(batch):
                 sets = _sets(some, words)
@@ -137,6 +139,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id and runs (all shingle hashes) of the documents with the given ids."""
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_caches(tokenizers=True)
         for batch in batches:
             for rows in text_slices(batch):
                 sets = _sets(rows, words)

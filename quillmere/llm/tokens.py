@@ -24,7 +24,7 @@ _WORDS_ONLY = re.compile(r"[^ \t-\r]+")
 #: Letters of these code points are lower-cased, normalised and classed alike by all libraries.
 _PLAIN = re.compile("[\\t-~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017e]+")
 #: Pieces met since the last turn of the cache; as many of the turn before stay at hand (about 100 MB in all).
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 #: Longer pieces are encoded but not kept.
 CACHE_PIECE_CHARS = 48
 
@@ -81,6 +81,10 @@ class WordCache:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def trim(self) -> None:
+        """Forget all pieces, keep the tokenizer."""
+        self.known, self.older = {}, {}
+
     def raw(self, texts: list[str]) -> list[bytes]:
         """By the tokenizers library."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -133,6 +137,16 @@ def word_cache(path: str) -> WordCache:
     return _caches[path]
 
 
+def trim_caches(tokenizers: bool = False) -> None:
+    """Give back the memory of pieces, and of tokenizers too if asked. Spark hands a Python worker on from one
+    stage's tasks to another's, so tasks that encode nothing call this first."""
+    for cache in _caches.values():
+        cache.trim()
+    if tokenizers:
+        _caches.clear()
+        _decoders.clear()
+
+
 class ByteDecoder:
     """Turns ids of a byte-level vocabulary into bytes, vectorised over many ids."""
 

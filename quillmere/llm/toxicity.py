@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bytes_of, text_slices
+from .tokens import trim_caches
 from .words import ALNUM, LOWER, find_words, hash_starts, hash_words, mix, shingles
 
 POSITIVES, NEGATIVES, CHARS = 1000, 1500, 20_000
@@ -262,6 +263,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_caches(tokenizers=True)
         model = pickle.loads(known)
         for batch in batches:
             for some in text_slices(batch):
@@ -282,6 +284,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     known = pickle.dumps(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim_caches(tokenizers=True)
         model = pickle.loads(known)
         for batch in batches:
             for some in text_slices(batch, text):
