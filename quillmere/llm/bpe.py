@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import text_slices
+from ._spark import resting, text_slices
 from .tokens import byte_decoder, trim_caches, word_cache
 
 PIECE_CHARS = 16_384
@@ -109,6 +109,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    @resting
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer)
         for batch in batches:
@@ -120,6 +121,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     short = rows.where(F.char_length("text") <= piece_chars).mapInArrow(encode_rows, f"doc_id {kind}, ids binary")
     long = rows.where(F.char_length("text") > piece_chars).withColumn("row", F.monotonically_increasing_id())
 
+    @resting
     def cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         special = word_cache(tokenizer).special
         for batch in batches:
@@ -151,6 +153,7 @@ def decode(coded: DataFrame, tokenizer: str, key: str = "doc_id", ids: str = "id
     rows = coded.select(F.col(key).alias("doc_id"), F.coalesce(F.col(ids), F.lit(b"")).alias("ids"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    @resting
     def decode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_caches()
         table = byte_decoder(tokenizer)

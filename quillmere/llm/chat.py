@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import text_slices
+from ._spark import resting, text_slices
 from .tokens import byte_decoder, word_cache
 
 #: Fixed values of the template: strings that may not stand unescaped inside a text.
@@ -64,6 +64,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, size: int, conv: str
     own = reserved_ids(size)
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    @resting
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer)
         special = re.compile("|".join(map(re.escape, cache.special)) or r"(?!)")
@@ -91,6 +92,7 @@ def format_conversations(turns: DataFrame, tokenizer: str, size: int, conv: str
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     placed = coded.withColumn("pos", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long"))
 
+    @resting
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             conv, pos, ids, masks = [], [], [], []
@@ -156,6 +158,7 @@ def read_back(formatted: DataFrame, tokenizer: str, size: int) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
+    @resting
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, now = byte_decoder(tokenizer), None
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bytes_of, saved, text_slices
+from ._spark import bytes_of, resting, saved, text_slices
 from .words import ALNUM, LOWER, find_words, hash_words
 
 #: Base phrases and their labels.
@@ -90,6 +90,7 @@ def licence_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
+    @resting
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index()
         for batch in batches:
@@ -121,6 +122,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
     df = {r["term"]: r["count"] for r in counted.collect()}  # a row a word of the vocabulary at most
     idf = np.array([np.log((total + 1) / (df.get(i, 0) + 0.5)) for i in range(len(_vocabulary()))])
 
+    @resting
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index()
         for batch in batches:

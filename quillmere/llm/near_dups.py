@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bytes_of, dropped, saved, sent, text_slices
+from ._spark import bytes_of, dropped, resting, saved, sent, text_slices
 from .components import connected_components
 from .tokens import trim_caches
 from .words import LOWER, NO_BLANK, find_words, hash_words, mix, shingles
@@ -68,6 +68,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit name (hi, lo) and signature; of (doc_id, text)."""
 
+    @resting
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_caches(tokenizers=True)
         for batch in batches:
@@ -88,6 +89,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
 def band_keys(classes: DataFrame) -> DataFrame:
     """(band, class_id, n): a row for each class and band."""
 
+    @resting
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -120,6 +122,7 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss:
     one = classes.select(F.col("class_id").alias("a"), F.col("signature").alias("sa"))
     two = classes.select(F.col("class_id").alias("b"), F.col("signature").alias("sb"))
 
+    @resting
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin in range(0, batch.num_rows, 2048):
@@ -138,6 +141,7 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss:
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id and runs (all shingle hashes) of the documents with the given ids."""
 
+    @resting
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_caches(tokenizers=True)
         for batch in batches:

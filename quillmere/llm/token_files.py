@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import saved, text_slices
+from ._spark import resting, saved, text_slices
 from .files import write_file
 from .tokens import word_cache
 
@@ -153,6 +153,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
+    @resting
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, seq = word_cache(tokenizer), TaskContext.get().partitionId(), 0
         keys, coded, held, made = [], [], 0, []
@@ -190,6 +191,7 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
     bases = files.select(F.element_at(F.split("file", "/"), -1).alias("name"), F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
+    @resting
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bytes_of, text_slices
+from ._spark import bytes_of, resting, text_slices
 from .tokens import trim_caches
 from .words import ALNUM, LOWER, find_words, hash_starts, hash_words, mix, shingles
 
@@ -262,6 +262,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     known = pickle.dumps(model)
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
+    @resting
     def tag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_caches(tokenizers=True)
         model = pickle.loads(known)
@@ -283,6 +284,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of `docs`, with all their columns, that are not predicted toxic."""
     known = pickle.dumps(model)
 
+    @resting
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trim_caches(tokenizers=True)
         model = pickle.loads(known)

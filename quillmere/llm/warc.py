@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import resting, saved
 from .files import write_file
 
 FRAME, BUNDLE = 256 << 10, 8 << 20
@@ -150,6 +150,7 @@ def write_bundles(pages: DataFrame, folder: str, page: str = "page_id", url: str
     """
     rows = choose(pages, page, url, html).sortWithinPartitions("page_id", "digest", "url")
 
+    @resting
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, bundle = TaskContext.get().partitionId(), 0, Bundle()
 
@@ -187,6 +188,7 @@ def read_bundles(spark: SparkSession, folder: str, payloads: bool = True) -> Dat
     must agree with its header."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
 
+    @resting
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
