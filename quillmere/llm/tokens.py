@@ -23,8 +23,8 @@ _WITH_BLANKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 _WORDS_ONLY = re.compile(r"[^ \t-\r]+")
 #: Letters of these code points are lower-cased, normalised and classed alike by all libraries.
 _PLAIN = re.compile("[\\t-~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017e]+")
-#: Pieces met since the last turn of the cache; as many of the turn before stay at hand (about 100 MB in all).
-CACHE_PIECES = 100_000
+#: Pieces met since the last turn of the cache; as many of the turn before stay at hand (about 30 MB in all).
+CACHE_PIECES = 25_000
 #: Longer pieces are encoded but not kept.
 CACHE_PIECE_CHARS = 48
 
