@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import resting, text_slices
-from .tokens import byte_decoder, trim_caches, word_cache
+from .tokens import FEW_PIECES, byte_decoder, trim_caches, word_cache
 
 PIECE_CHARS = 16_384
 #: Ids that must agree on each side of a window.
@@ -111,7 +111,7 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     @resting
     def encode_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = word_cache(tokenizer)
+        cache = word_cache(tokenizer, FEW_PIECES)
         for batch in batches:
             for rows in text_slices(batch):
                 at = rows.schema.get_field_index("text")

@@ -153,7 +153,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
-    @resting
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part, seq = word_cache(tokenizer), TaskContext.get().partitionId(), 0
         keys, coded, held, made = [], [], 0, []

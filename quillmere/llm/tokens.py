@@ -23,8 +23,9 @@ _WITH_BLANKS = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 _WORDS_ONLY = re.compile(r"[^ \t-\r]+")
 #: Letters of these code points are lower-cased, normalised and classed alike by all libraries.
 _PLAIN = re.compile("[\\t-~\\xa1-\\xac\\xae-\\u012f\\u0131-\\u017e]+")
-#: Pieces met since the last turn of the cache; as many of the turn before stay at hand (about 30 MB in all).
-CACHE_PIECES = 25_000
+#: Pieces met since the last turn of the cache; as many of the turn before stay at hand (about 600 bytes each).
+#: Tasks that encode beside others that decode keep the smaller number.
+CACHE_PIECES, FEW_PIECES = 200_000, 25_000
 #: Longer pieces are encoded but not kept.
 CACHE_PIECE_CHARS = 48
 
@@ -52,6 +53,7 @@ class WordCache:
     def __init__(self, path: str):
         import tiktoken
 
+        self.room = CACHE_PIECES
         self.tokenizer = load_tokenizer(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -117,7 +119,7 @@ class WordCache:
                     if found is None:
                         found = self.piece(p)
                     if len(p) <= CACHE_PIECE_CHARS:
-                        if len(known) >= CACHE_PIECES:
+                        if len(known) >= self.room:
                             self.known, self.older = {}, known
                             known = self.known
                         known[p] = found
@@ -129,11 +131,12 @@ class WordCache:
 _caches: dict[str, WordCache] = {}
 
 
-def word_cache(path: str) -> WordCache:
+def word_cache(path: str, room: int = CACHE_PIECES) -> WordCache:
     """The Python worker's own cache for a tokenizer file; a worker keeps one file's at a time."""
     if path not in _caches:
         _caches.clear()
         _caches[path] = WordCache(path)
+    _caches[path].room = room
     return _caches[path]
 
 
