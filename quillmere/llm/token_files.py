@@ -43,6 +43,8 @@ COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
 WIDTHS = 60 // COUNTS
 #: A file is closed once it holds so many ids (about 5 MB).
 FILE_IDS = 2_000_000
+#: Encoded pieces that a task keeps, twice at most (about 600 bytes each); nothing else runs beside it.
+ROOM = 400_000
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seq = word_cache(tokenizer), TaskContext.get().partitionId(), 0
+        cache, part, seq = word_cache(tokenizer, ROOM), TaskContext.get().partitionId(), 0
         keys, coded, held, made = [], [], 0, []
 
         def close():
