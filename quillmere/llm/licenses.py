@@ -1,14 +1,15 @@
-"""License scans with a positional index of licence templates and each file's rarest licence words.
+"""License scans with a positional index of licence templates and each template's rarest words.
 
 1. One pass over the texts keeps, for each file, the places of words that any template or phrase has. Document
    frequencies of these words (a fixed, small vocabulary) are counted over all files.
-2. For each file the RARE words of highest inverse document frequency among those it has are looked up in the
-   templates' postings. A word at place p of the file and t of a template votes for an alignment p - t;
-   intersecting the votes of all words leaves alignments that most of them share.
+2. For each template whose mandatory key phrases the file holds, the template's own words of highest inverse
+   document frequency are looked up. A word at place p of the file and t of a template votes for the alignments
+   within SLACK of p - t. An accepted alignment covers all but a few words of the template, so one word more than
+   those few is looked up: each accepted alignment then has a vote, however many other licence words a file has.
 3. An alignment counts if the template's words cover it well enough in order, and if every mandatory key phrase
    of the template stands, word by word, within the aligned stretch.
 
-Places where a base phrase stands are found by the same postings (words next to each other), always.
+Places where a base phrase stands are found by the same places (words next to each other), always.
 Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased.
 """
 
@@ -41,8 +42,6 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", ["in no event will the authors be held liable"]),
 ]
-#: Words looked up for a file.
-RARE = 6
 #: Share of a template's words that an alignment must cover in order, and how far a word may be off its place.
 COVER, SLACK = 0.6, 3
 
@@ -52,7 +51,7 @@ def _vocabulary() -> list[str]:
 
 
 class _Index:
-    """Vocabulary, template postings and phrases as numbers."""
+    """Vocabulary, templates and phrases as numbers."""
 
     def __init__(self):
         words = _vocabulary()
@@ -65,8 +64,6 @@ class _Index:
         self.templates = [np.array([self.number[w] for w in t.split()]) for _, t, _ in TEMPLATES]
         self.keys = [[np.array([self.number[w] for w in k.split()]) for k in ks] for _, _, ks in TEMPLATES]
         self.phrases = [(np.array([self.number[w] for w in p.split()]), label) for p, label in BASE.items()]
-        #: For each word, (template, place) rows.
-        self.postings = [np.array([(t, i) for t, ws in enumerate(self.templates) for i in np.flatnonzero(ws == w)], int).reshape(-1, 2) for w in range(len(words))]
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for others."""
@@ -108,7 +105,7 @@ def licence_words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(look, f"doc_id {kind}, n_words long, places array<int>, terms array<int>")
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = RARE, cover: float = COVER) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float = COVER) -> DataFrame:
     """Return the key as doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null, empty and blank texts have no words: counts are 0, first_word and last_word null, labels "" and
@@ -142,11 +139,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
                 np.maximum.at(high, doc[at], place[at])
                 for d in set(doc[at].tolist()):
                     base[d].add(label)
-            labels, points = [], []
-            for d in range(n):
-                own, best = align(index, place[cut[d] : cut[d + 1]], term[cut[d] : cut[d + 1]], idf, rare, cover)
-                labels.append(",".join(sorted(own | base[d])))
-                points.append(1.0 if base[d] else best)
+            own, best = [set(b) for b in base], np.zeros(n)
+            for t, keys in enumerate(index.keys):
+                starts = [phrase_places(k, doc, place, term) for k in keys]
+                within = [np.searchsorted(doc[at], np.arange(n + 1)) for at in starts]
+                for d in set.intersection(*(set(doc[at].tolist()) for at in starts)):
+                    mine = slice(cut[d], cut[d + 1])
+                    hit = align(index, t, place[mine], term[mine], [place[at[w[d] : w[d + 1]]] for at, w in zip(starts, within)], idf, cover)
+                    if hit >= cover:
+                        own[d].add(TEMPLATES[t][0])
+                        best[d] = max(best[d], hit)
+            labels = [",".join(sorted(o)) for o in own]
+            points = np.where([bool(b) for b in base], 1.0, best)
             none = count == 0
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_words"), pa.array(count, pa.int64()), pa.array(low, pa.int64(), mask=none), pa.array(high, pa.int64(), mask=none), pa.array([",".join(sorted(b)) for b in base]), pa.array(labels), pa.array(points, pa.float64())],
@@ -156,36 +160,18 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rare: int = R
     return found.mapInArrow(match, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
-def align(index: _Index, place: np.ndarray, term: np.ndarray, idf: np.ndarray, rare: int, cover: float) -> tuple[set[str], float]:
-    """Labels of accepted templates in one file, and the best cover."""
-    labels: set[str] = set()
-    best = 0.0
-    if len(term) < 3:
-        return labels, best
-    has = np.unique(term)
-    chosen = has[np.lexsort((has, -idf[has]))][:rare]
-    votes = []
-    for w in chosen.tolist():
-        posts = index.postings[w]
-        at = place[term == w]
-        if len(posts) and len(at):
-            shift = at[:, None] - posts[:, 1][None, :]
-            votes.append(np.stack([np.broadcast_to(posts[:, 0], shift.shape).ravel(), shift.ravel(), np.full(shift.size, w)], axis=1))
-    if not votes:
-        return labels, best
-    rows = np.concatenate(votes)
-    for t in np.unique(rows[:, 0]).tolist():
-        words = index.templates[t]
-        if not all(np.isin(k, has).all() for k in index.keys[t]):
-            continue
-        mine = rows[rows[:, 0] == t]
-        # Alignments that every looked-up word of the template has a vote near are as many as its rarest word's.
-        fewest = min((mine[mine[:, 2] == w] for w in np.unique(mine[:, 2])), key=len)
-        for shift in np.unique(fewest[:, 1]).tolist():
-            a, b = np.searchsorted(place, [shift - SLACK, shift + len(words) + SLACK])
-            p, q = place[a:b] - shift, term[a:b]
-            hit = sum(bool(len(x := p[q == w]) and np.abs(x - i).min() <= SLACK) for i, w in enumerate(words.tolist())) / len(words)
-            if hit >= cover and all(len(phrase_places(k, np.zeros(b - a, int), place[a:b], q)) for k in index.keys[t]):
-                labels.add(TEMPLATES[t][0])
-                best = max(best, hit)
-    return labels, best
+def align(index: _Index, t: int, place: np.ndarray, term: np.ndarray, starts: list[np.ndarray], idf: np.ndarray, cover: float) -> float:
+    """The best cover of one template in a file whose key phrases start at `starts`, 0 if none is accepted."""
+    words = index.templates[t]
+    at = {w: place[term == w] for w in set(words.tolist())}
+    spared = sum(h / len(words) < cover for h in range(1, len(words) + 1))  # hits that do not suffice
+    rarest = np.lexsort((words, -idf[words]))[: len(words) - spared]
+    shift = np.unique(np.concatenate([at[words[i]] - i for i in rarest]))
+    shift = np.unique(shift[:, None] + np.arange(-SLACK, SLACK + 1))
+    for k, first in zip(index.keys[t], starts):
+        shift = shift[np.searchsorted(first, shift - SLACK) < np.searchsorted(first, shift + len(words) + SLACK - len(k), "right")]
+    hits = np.zeros(len(shift), int)
+    for i, w in enumerate(words.tolist()):
+        hits += np.searchsorted(at[w], shift + i - SLACK) < np.searchsorted(at[w], shift + i + SLACK, "right")
+    best = hits.max(initial=0) / len(words)
+    return best if best >= cover else 0.0

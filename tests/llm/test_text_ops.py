@@ -183,6 +183,43 @@ def test_licences_against_brute_force(spark, sf_dir):
     assert found[-4]["labels"] == "mit" and found[-4]["base_labels"] == ""
 
 
+def test_licence_notices_against_brute_force(spark):
+    """Several notices in one text, whole and edited, among other licence words: every alignment is tried."""
+    import random
+
+    rng = random.Random(6)
+    notices = [t.split() for _, t, _ in licenses.TEMPLATES]
+    vocabulary = [*{w for t in notices for w in t}, *"abcdefgh"]
+
+    def text(some, noise, edits):
+        words = []
+        for t in some:
+            words += [rng.choice(vocabulary) for _ in range(noise)]
+            words += [w for w in t if rng.random() >= edits]
+        return " ".join(words)
+
+    texts = [text(notices, 0, 0), text(notices, 40, 0), text([notices[8], notices[7]], 5, 0)]
+    texts += [text(rng.sample(notices, rng.randrange(1, 13)), noise, edits) for noise in (0, 30, 300) for edits in (0, 0.02, 0.1) for _ in range(4)]
+    found = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts, extra=False)).collect()}
+    slack = licenses.SLACK
+    for n, held in enumerate(texts):
+        words = held.split()
+        standing = lambda p, a, b: any(words[i : i + len(p)] == p for i in range(max(a, 0), b - len(p) + 1))
+        base = {label for p, label in licenses.BASE.items() if standing(p.split(), 0, len(words))}
+        want, best = set(base), 0.0
+        for label, notice, keys in licenses.TEMPLATES:
+            t = notice.split()
+            for shift in range(-len(t), len(words)):
+                hit = sum(w in words[max(0, shift + i - slack) : max(0, shift + i + slack + 1)] for i, w in enumerate(t)) / len(t)
+                if hit >= licenses.COVER and all(standing(k.split(), shift - slack, shift + len(t) + slack) for k in keys):
+                    want.add(label)
+                    best = max(best, hit)
+        assert found[n]["labels"] == ",".join(sorted(want))
+        assert found[n]["score"] == (1.0 if base else best)
+    assert {label for label, _, _ in licenses.TEMPLATES} <= set(found[0]["labels"].split(","))
+    assert {"lgpl", "mit"} <= set(found[2]["labels"].split(","))
+
+
 def test_warc(spark):
     long = "<p>" + "payload " * 40
     rows = [(3, "http://x/3", long, "e"), (1, "http://x/1\r\nEvil: y", long, "e"), (2, None, None, "e"), (4, "u", "", "e"), (5, "u", "s" * 99, "e"), (6, "u", "s" * 99, "e"), (7, "u", "s" * 100, "e"), (8, "u", "s" * 100, "e"), (None, "u", long, "e"), (9, "ü", "é" * 60_000 + "\r\n\r\nWARC/1.1", "e"), (1, "http://x/1", long, "e")]
