@@ -342,8 +342,8 @@ def global_rank_default(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of customers, suppliers and parts, at the finest level."""
-    found = communities.louvain(d.relationships(spark, sf_dir), max_levels=1, sweeps=12)
+    """Communities of customers, suppliers and parts, at every level."""
+    found = communities.louvain(d.relationships(spark, sf_dir))
     return found.select("entity_id", "level", "label")
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillmere import queries
 from quillmere.functions import chunking, text
 from quillmere.operators import communities, graph
 
@@ -58,3 +59,16 @@ def test_two_communities(spark):
     tables, members = communities.community_tables(found)
     assert tables.where("level = 0").count() == 2
     assert members.count() >= 6
+
+
+def test_community_detection_tells_every_level(spark, monkeypatch):
+    """A ring of 16 triangles: neighbouring triangles together have the higher modularity."""
+    pairs = [(f"{i:02}{a}", f"{i:02}{b}") for i in range(16) for a, b in ("ab", "bc", "ac")] + [(f"{i:02}c", f"{(i + 1) % 16:02}a") for i in range(16)]
+    edges = spark.createDataFrame([(f"r{i}", a, b, 1.0, "d") for i, (a, b) in enumerate(pairs)], EDGES)
+    monkeypatch.setattr(queries.d, "relationships", lambda *_: edges)
+    rows = queries.community_detection(spark, "").collect()
+    labels = {level: {r["entity_id"]: r["label"] for r in rows if r["level"] == level} for level in {r["level"] for r in rows}}
+    assert len(labels) > 1 and all(len(v) == 48 for v in labels.values())
+    assert all(labels[0][f"{i:02}a"] == labels[0][f"{i:02}b"] == labels[0][f"{i:02}c"] for i in range(16))
+    assert len(set(labels[1].values())) < len(set(labels[0].values()))
+    assert all(labels[1][e] == labels[1][label] for e, label in labels[0].items())
