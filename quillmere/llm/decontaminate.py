@@ -9,8 +9,9 @@ bins are ranges of the hash, so the minima of a sorted set are those whose bin d
 
 A shingle of an item that the document holds is a bin's minimum with chance p = (1 - exp(-load)) / load.
 `load` is chosen from the smallest item, and the least number of collisions from each item's size, so that an
-item at the threshold is missed with chance `miss` at most. Colliding pairs are then checked exactly, on the
-shingles themselves.
+item at the threshold is missed with chance `miss` at most. Items too short for that at the smallest load are not
+left to minima: all shingles of the documents are held against theirs. Colliding pairs are then checked exactly,
+on the shingles themselves.
 
 An item of fewer words than a shingle has is one run of all its words, sought as such. Empty items are never
 found.
@@ -19,6 +20,7 @@ found.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from ._spark import dropped, saved, sent
 
 MISS = 1e-7
+#: The smallest load; items that it would miss more often are sought among all shingles.
+LEAST_LOAD = 1 / 64
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -51,7 +55,7 @@ def match_chance(load: float) -> float:
 def choose_load(smallest: int, miss: float) -> float:
     """The largest load, of 4, 2, 1, ... 1/64, at which an item with `smallest` shingles in common is not missed."""
     load = 4.0
-    while load > 1 / 64 and (1 - match_chance(load)) ** smallest > miss:
+    while load > LEAST_LOAD and (1 - match_chance(load)) ** smallest > miss:
         load /= 2
     return load
 
@@ -89,10 +93,11 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     if not sizes:
         return spark.createDataFrame([], "doc_id long, item_id long, n_item int, n_common int, containment double")
     need = {r["n"]: -(-percent * r["n"] // 100) for r in sizes}
-    load = choose_load(min(need.values()), miss)
+    short = [n for n, c in need.items() if (1 - match_chance(LEAST_LOAD)) ** c > miss]
+    load = choose_load(min((c for n, c in need.items() if n not in short), default=1), miss)
     chance = match_chance(load)
     ks = sorted({r["k"] for r in sizes})
-    least = spark.createDataFrame([(n, least_collisions(c, chance, miss)) for n, c in need.items()], "n int, least int")
+    least = spark.createDataFrame([(n, c if n in short else least_collisions(c, chance, miss)) for n, c in need.items()], "n int, least int")
 
     # The same hashes from the item's runs: of k, then the k word hashes.
     posted = sets.select("item_id", "k", "n", F.explode("runs").alias("run")).withColumn("w", F.transform(F.split("run", " "), lambda x: F.xxhash64(x)))
@@ -104,14 +109,21 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     hashed = rows.select("doc_id", F.transform(word_list(F.col("text")), lambda x: F.xxhash64(x)).alias("w"))
-    runs = hashed.select("doc_id", F.expr(f"sort_array(array_distinct(concat({', '.join(_hashes('w', k) for k in ks)})))").alias("h"))
+    all_hashes = lambda ks: hashed.select("doc_id", F.expr(f"sort_array(array_distinct(concat({', '.join(_hashes('w', k) for k in ks)})))").alias("h"))
+    runs = all_hashes(ks)
     # Size partition: bins = 2**bits, the power of two next above shingles / load.
     binned = runs.select("doc_id", "h", F.greatest(F.lit(1), F.least(F.lit(62), F.ceil(F.log2(F.size("h") / F.lit(load))).cast("int"))).alias("bits"))
     signed = binned.select("doc_id", F.expr("filter(h, (x, i) -> i = 0 OR shiftright(x, 64 - bits) <> shiftright(h[i - 1], 64 - bits))").alias("minima"))
     # The outer form, for the inner one is given a filter on the array, which the optimizer would push below the
     # projections and work out anew for every element.
     flat = signed.select("doc_id", F.explode_outer("minima").alias("hash"))
-    found = flat.join(sent(posting), "hash").groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("collisions"))
+    met = []
+    if len(short) < len(need):
+        met.append(flat.join(sent(posting.where(~F.col("n").isin(short)) if short else posting), "hash"))
+    if short:
+        short_ks = sorted({r["k"] for r in sizes if r["n"] in short})
+        met.append(all_hashes(short_ks).select("doc_id", F.explode_outer("h").alias("hash")).join(sent(posting.where(F.col("n").isin(short))), "hash"))
+    found = reduce(DataFrame.unionByName, met).groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("collisions"))
     pairs = saved(found.join(F.broadcast(least), "n").where("collisions >= least").select("doc_id", "item_id").distinct(), "pairs")
     dropped(posting)
 

@@ -186,6 +186,18 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(frame.limit(0), tests).count() == 0
 
 
+def test_leaks_of_short_items_on_many_documents(spark):
+    """Every document holds items of one to three shingles; 0.8 % of minima would miss those of one."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n))) for n in (2, 5, 6, 7, 30)]
+    noise = lambda: [f"v{rng.randrange(10**6)}" for _ in range(40)]
+    docs = [(d, " ".join(w for _, t in items for w in [*noise(), t])) for d in range(3000)]
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["item_id"], r["n_item"], r["n_common"]): r["count"] for r in found.groupBy("item_id", "n_item", "n_common").count().collect()} == {(n, max(1, n - 4), max(1, n - 4)): 3000 for n, _ in items}
+    few = decontaminate.leaks(spark.createDataFrame(docs[:50], "doc_id long, text string"), spark.createDataFrame(items[:2], "item_id long, text string"))
+    assert few.count() == 100
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     rows = {r["doc_id"]: r for r in queries.op10_toxicity(spark, sf).collect()}
