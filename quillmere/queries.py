@@ -364,9 +364,8 @@ def community_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def extracted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities and relations of all benchmark texts by the offline provider, resolved into a graph."""
-    docs = d.table(spark, sf_dir, "benchmark")
-    chunks = chunk(docs, "item_id", "text")
+    """Entities and relations of all documents by the offline provider, resolved into a graph."""
+    chunks = chunk(d.table(spark, sf_dir, "documents"), "doc_id", "text")
     from .tables import empty
 
     entities, relationships = extraction.resolve(cut(extraction.extract(chunks, OfflineProvider()), "found"), empty(spark, "entities"), empty(spark, "relationships"))

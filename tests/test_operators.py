@@ -1,10 +1,13 @@
 """Operators on small fixtures whose results are known."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from quillmere import queries
 from quillmere.functions import chunking, text
-from quillmere.operators import communities, graph
+from quillmere.operators import communities, extraction, graph
+from quillmere.providers import OfflineProvider
 
 EDGES = "id string, source_id string, target_id string, weight double, doc_id string"
 
@@ -72,3 +75,25 @@ def test_community_detection_tells_every_level(spark, monkeypatch):
     assert all(labels[0][f"{i:02}a"] == labels[0][f"{i:02}b"] == labels[0][f"{i:02}c"] for i in range(16))
     assert len(set(labels[1].values())) < len(set(labels[0].values()))
     assert all(labels[1][e] == labels[1][label] for e, label in labels[0].items())
+
+
+def test_extracted_graph_against_brute_force(spark, monkeypatch):
+    """All documents, of one batch of chunks and of many, resolved by plain Python."""
+    texts = ["Ada Lovelace met Charles Babbage. Then ADA LOVELACE wrote.", None, "", "nothing here", "Only Grace. And Grace."]
+    texts += [" ".join(f"Name{(i * k) % 23} saw Town{i % 7} and more words." for i in range(200)) for k in (1, 3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(77, "Other Item met Benchmark.")], "item_id long, text string")
+    monkeypatch.setattr(queries.d, "table", lambda spark, sf_dir, name: {"documents": docs, "benchmark": items}[name])
+    key = lambda name: hashlib.sha256(name.lower().encode()).hexdigest()
+    known, links = set(), set()
+    for n, held in enumerate(texts):
+        parts = chunking.split_text(held) if held else []
+        for i in range(0, len(parts), extraction.BATCH):
+            entities, relations = extraction.extract_entities("\n---\n".join(parts[i : i + extraction.BATCH]), OfflineProvider())
+            known |= {key(e["name"]) for e in entities}
+            links |= {(key(r["source"]), key(r["target"]), str(n)) for r in relations}
+    want = {x for x in links if x[0] in known and x[1] in known}
+    rows = queries.extracted_graph(spark, "").collect()
+    assert len(rows) == len(want) and len({r["predicate"] for r in rows}) == 1
+    assert {(r["source_id"], r["target_id"], r["doc_id"]) for r in rows} == want
+    assert {r["doc_id"] for r in rows} >= {"0", "5", "6"}
