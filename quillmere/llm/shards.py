@@ -3,13 +3,18 @@
 A store is a folder:
 
     data/<run>/...parquet     the files of a run: immutable shards
-    manifests/<version>.json  one JSON object a version, from 00000001 on
+    manifests/<version>.json  one JSON object a version, from 00000001 on: its runs and the table's columns
 
 An arrival is appended as a run of small shards. Compaction puts the runs whose shards have not reached the
 target size into tiers (powers of `fan` of their bytes) and merges all runs of a tier once it has `fan` of
 them, into files of about the target size, without a shuffle. A version lists the runs that make up the
 table. It is committed by one rename that fails if the version is there already: a reader sees a version or
 does not, two writers cannot commit the same one, and files of an attempt that failed are never listed.
+
+Defined results: rows are stored as they come, so nulls, empty and very long texts, ties and repeated rows are
+read back as often as they were appended, in any order. A null in the column that tells arrivals apart is an
+arrival of its own. Columns may have any names; those that later arrivals add are null in earlier rows. An empty
+first arrival makes a version without rows that has its columns; a store without any version cannot be read.
 """
 
 from __future__ import annotations
@@ -18,9 +23,11 @@ import json
 import math
 import uuid
 from dataclasses import asdict, dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TARGET, FAN = 128 << 20, 4
 
@@ -50,20 +57,23 @@ class Store:
         names = [s.getPath().getName() for s in self.fs.listStatus(at)]
         return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=0)
 
-    def runs(self, version: int | None = None) -> list[Run]:
+    def _manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return []
+            return {"version": 0, "columns": None, "runs": []}
         stream = self.fs.open(self._path(f"{self.folder}/manifests/{version:08d}.json"))
         try:
             text = self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return [Run(r["name"], tuple(r["files"]), r["n_bytes"], r["rows"]) for r in json.loads(text)["runs"]]
+        return json.loads(text)
+
+    def runs(self, version: int | None = None) -> list[Run]:
+        return [Run(r["name"], tuple(r["files"]), r["n_bytes"], r["rows"]) for r in self._manifest(version)["runs"]]
 
-    def _commit(self, base: int, runs: list[Run]) -> int:
+    def _commit(self, base: int, runs: list[Run], columns: dict | None = None) -> int:
         """Make `runs` version base + 1, unless somebody else has."""
-        body = json.dumps({"version": base + 1, "runs": [asdict(r) for r in runs]}, indent=1).encode()
+        body = json.dumps({"version": base + 1, "columns": columns or self._manifest(base)["columns"], "runs": [asdict(r) for r in runs]}, indent=1).encode()
         held = self._path(f"{self.folder}/manifests/.{uuid.uuid4().hex}")
         out = self.fs.create(held, False)
         out.write(bytearray(body))
@@ -73,35 +83,43 @@ class Store:
         context.rename(self.fs.makeQualified(held), self.fs.makeQualified(self._path(f"{self.folder}/manifests/{base + 1:08d}.json")), options)
         return base + 1
 
-    def _listed(self, name: str) -> Run | None:
-        """A run's files, sizes and rows, from its folder (rows from the files' footers)."""
-        at = self._path(f"{self.folder}/data/{name}")
-        if not self.fs.exists(at):
-            return None
-        files, size = [], 0
-        for s in self.fs.listStatus(at):
-            if s.getPath().getName().endswith(".parquet"):
-                files.append(f"data/{name}/{s.getPath().getName()}")
-                size += s.getLen()
-        rows = self.spark.read.parquet(*(f"{self.folder}/{f}" for f in files)).count() if files else 0
-        return Run(name, tuple(sorted(files)), size, rows)
+    def _listed(self, names: list[str]) -> list[Run]:
+        """Files, sizes and rows of runs from their folders. One job reads the footers of all of them for the rows."""
+        files: dict[str, list[tuple[str, int]]] = {}
+        for name in names:
+            at = self._path(f"{self.folder}/data/{name}")
+            for s in self.fs.listStatus(at) if self.fs.exists(at) else []:
+                if s.getPath().getName().endswith(".parquet"):
+                    files.setdefault(name, []).append((f"data/{name}/{s.getPath().getName()}", s.getLen()))
+        if not files:
+            return []
+        rows = self.spark.read.parquet(*(f"{self.folder}/{f}" for some in files.values() for f, _ in some))
+        run = F.element_at(F.split(F.input_file_name(), "/data/"), -1)
+        counts: dict[str, int] = {}
+        for r in rows.groupBy(F.regexp_replace(run, "/[^/]*$", "").alias("run")).count().collect():  # a row a run
+            counts[unquote(r["run"])] = r["count"]
+        return [Run(name, tuple(sorted(f for f, _ in some)), sum(n for _, n in some), counts.get(name, 0)) for name, some in files.items()]
 
     def append(self, arrivals: DataFrame, by: str | None = None) -> int:
-        """Write arrivals and commit them: one run, or one for each value of column `by` (which is kept), all
-        written by one job and committed one after the other. Empty arrivals change nothing."""
+        """Write arrivals and commit them in one version: one run, or one for each value of column `by` (which is
+        kept), all written by one job. Empty arrivals change nothing but a store that has no version yet."""
         batch = uuid.uuid4().hex[:12]
         if by is None:
             arrivals.write.parquet(f"{self.folder}/data/{batch}")
             names = [batch]
         else:
-            arrivals.withColumn("__run", F.col(by)).write.partitionBy("__run").parquet(f"{self.folder}/data/{batch}")
+            own = "__run"
+            while own in map(str.lower, arrivals.columns):
+                own += "_"
+            arrivals.withColumn(own, F.col(by)).write.partitionBy(own).parquet(f"{self.folder}/data/{batch}")
             names = sorted(f"{batch}/{s.getPath().getName()}" for s in self.fs.listStatus(self._path(f"{self.folder}/data/{batch}")) if s.isDirectory())
-        version = self.version()
-        for name in names:
-            run = self._listed(name)
-            if run is not None and run.rows:
-                version = self._commit(version, [*self.runs(version), run])
-        return version
+        new = [run for run in self._listed(names) if run.rows]
+        now = self._manifest()
+        if not new and now["version"]:
+            return now["version"]
+        known = {} if now["columns"] is None else {f.name: f for f in StructType.fromJson(now["columns"])}
+        columns = StructType([*known.values(), *(f for f in arrivals.schema if f.name not in known)])
+        return self._commit(now["version"], [*self.runs(now["version"]), *new], columns.jsonValue())
 
     def tiers(self) -> dict[int, list[Run]]:
         """Open runs (those whose shards are on average under three quarters of the target) by tier."""
@@ -121,20 +139,19 @@ class Store:
             total = sum(r.n_bytes for r in merged)
             name = uuid.uuid4().hex[:12]
             files = max(1, round(total / self.target))
-            self._frame(merged).coalesce(files).write.parquet(f"{self.folder}/data/{name}")
-            run = self._listed(name)
+            self._frame(merged, self._manifest(base)["columns"]).coalesce(files).write.parquet(f"{self.folder}/data/{name}")
             gone = {r.name for r in merged}
-            self._commit(base, [*(r for r in self.runs(base) if r.name not in gone), run])
+            self._commit(base, [*(r for r in self.runs(base) if r.name not in gone), *self._listed([name])])
 
-    def _frame(self, runs: list[Run]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.folder}/{f}" for r in runs for f in r.files))
+    def _frame(self, runs: list[Run], columns: dict) -> DataFrame:
+        return self.spark.read.schema(StructType.fromJson(columns)).parquet(*(f"{self.folder}/{f}" for r in runs for f in r.files))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of a version (default: the last)."""
-        runs = self.runs(version)
-        if not runs:
+        runs, columns = self.runs(version), self._manifest(version)["columns"]
+        if columns is None:
             raise ValueError("the store is empty")
-        return self._frame(runs)
+        return self._frame(runs, columns) if runs else self.spark.createDataFrame([], StructType.fromJson(columns))
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete data that none of the last `keep` versions lists; return the number of runs deleted. Only to be

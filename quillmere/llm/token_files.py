@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import resting, saved, text_slices
+from ._spark import make_folder, resting, saved, text_slices
 from .files import write_file
 from .tokens import word_cache
 
@@ -41,8 +41,8 @@ BLOCK = 1024
 #: Fixed values of the code: ids in a word for each selector (0: escape).
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2])
 WIDTHS = 60 // COUNTS
-#: A file is closed once it holds so many ids (about 5 MB).
-FILE_IDS = 2_000_000
+#: A file is closed once it holds so many ids (about 20 MB).
+FILE_IDS = 8_000_000
 #: Encoded pieces that a task keeps, twice at most (about 600 bytes each); nothing else runs beside it.
 ROOM = 400_000
 
@@ -149,8 +149,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
 
     Documents stand in ascending key order, null keys first; ties by the text's hash and the text. A null
     text counts as empty. Files hold whole documents, so that one long document can make a file longer.
-    A task that runs again writes the same files again.
+    A task that runs again writes the same files again. Without rows there are no files, and reading gives
+    no rows. Other columns are not read.
     """
+    make_folder(docs.sparkSession, folder)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     end = b"" if end_id is None else struct.pack("<I", end_id)
@@ -186,10 +188,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """Read files back: doc_id, start (ids of all documents before it), n_tokens, ids (binary, little-endian
-    unsigned 32-bit). `files` is the table that write_tokens returned; it has a row a file, so the running
-    sum over it stays small next to the data."""
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select(F.element_at(F.split("file", "/"), -1).alias("name"), F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("base"))
+    unsigned 32-bit). `files` is the table that write_tokens returned. Its running sum is taken by part, then
+    over the parts: a row a task that wrote, which one task can add up."""
+    before = lambda window: F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("first"))
+    within = files.select("part", F.element_at(F.split("file", "/"), -1).alias("name"), before(Window.partitionBy("part").orderBy("seq")).alias("more"))
+    bases = within.join(parts, "part").select("name", (F.col("first") + F.col("more")).alias("base"))
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
     @resting

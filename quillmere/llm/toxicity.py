@@ -242,7 +242,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = marks.where("toxic > 0").orderBy("h", "doc_id").limit(positives).unionByName(marks.where("toxic <= 0").orderBy("h", "doc_id").limit(negatives))
     ids = F.broadcast(some.select("doc_id", "toxic"))  # at most positives + negatives rows
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.char_length("text") <= chars))
-    sample = sorted(rows.join(ids, "doc_id").select("doc_id", "text", "toxic").limit(2 * (positives + negatives)).collect())
+    # Ids that repeat with several texts could make the sample longer: those of the smallest hash count.
+    most = 2 * (positives + negatives)
+    sample = sorted(rows.join(ids, "doc_id").select("doc_id", "text", "toxic").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(most).collect())
     return fit([r["text"] for r in sample], np.array([r["toxic"] > 0 for r in sample], bool))
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import resting, saved
+from ._spark import make_folder, resting, saved
 from .files import write_file
 
 FRAME, BUNDLE = 256 << 10, 8 << 20
@@ -146,8 +146,10 @@ def write_bundles(pages: DataFrame, folder: str, page: str = "page_id", url: str
 
     Null payloads count as empty. Rows with a null page id are responses. Rows repeated under one page id
     with an equal payload are responses alike (the smallest id is theirs). A task orders its rows before it
-    writes, so one that runs again writes the same files again. Other columns are not read.
+    writes, so one that runs again writes the same files again. Without rows there are no archives, and
+    reading gives no rows. Other columns are not read.
     """
+    make_folder(pages.sparkSession, folder)
     rows = choose(pages, page, url, html).sortWithinPartitions("page_id", "digest", "url")
 
     @resting
