@@ -15,11 +15,16 @@
    of `similarity` or more is below `miss`.
 4. Survivors are confirmed on their full sets, by integers: 100 * common >= percent * union.
 
-A band's bucket is missed by a pair at similarity 0.8 with chance (1 - 0.8**ROWS), all BANDS with about 1e-7.
+A band's bucket is missed by a pair at similarity 0.8 with chance 1 - 0.8**ROWS, all BANDS with about 1e-7; the
+posterior bound drops such a pair with a chance of about 1e-6 (miss_chance). More similar pairs are lost less often.
+
+A class with very many partners (the centre of a star, a text copied with edits a million times) is joined last:
+the partners' sets and signatures travel once each, and the centre's own is not copied into the shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -66,7 +71,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, the set's 128-bit name (hi, lo) and signature; of (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, the set's 128-bit name (hi, lo) and signature; of (doc_id, text)."""
 
     @resting
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,9 +86,9 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                         signed[i] = row.astype("<u4").tobytes()
                 hi = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
                 lo = np.array([mix(s ^ _BAND[0, 0]).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), pa.array(signed, pa.binary())], names=["doc_id", "n_shingles", "hi", "lo", "signature"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi), pa.array(lo), pa.array(signed, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "hi", "lo", "signature"])
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, hi long, lo long, signature binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, hi long, lo long, signature binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -116,8 +121,27 @@ def least_matches(similarity: float, miss: float, total: int, batch: int) -> dic
     return out
 
 
+def miss_chance(similarity: float, least: dict[int, int], batch: int) -> float:
+    """The chance that a pair of just this similarity falls below the bound at some batch."""
+    step = np.array([math.comb(batch, k) * similarity**k * (1 - similarity) ** (batch - k) for k in range(batch + 1)])
+    alive, lost = np.ones(1), 0.0
+    for m in least.values():
+        alive = np.convolve(alive, step)
+        lost += alive[:m].sum()
+        alive[:m] = 0
+    return float(lost)
+
+
+def oriented(pairs: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the class that has more partners as b."""
+    count = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
+    one, two = count.select(F.col("id").alias("a"), F.col("count").alias("ca")), count.select(F.col("id").alias("b"), F.col("count").alias("cb"))
+    swap = F.col("ca") > F.col("cb")
+    return pairs.join(one, "a").join(two, "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss: float) -> DataFrame:
-    """Pairs (a, b) whose posterior never fell below the bound."""
+    """Pairs (a, b) whose posterior never fell below the bound; b is joined last."""
     least = least_matches(similarity, miss, BANDS * ROWS, BATCH)
     one = classes.select(F.col("class_id").alias("a"), F.col("signature").alias("sa"))
     two = classes.select(F.col("class_id").alias("b"), F.col("signature").alias("sb"))
@@ -155,7 +179,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of class ids whose full sets are similar enough. `pairs` is read more than once."""
+    """Pairs (a, b) of class ids whose full sets are similar enough. `pairs` is read more than once; b is joined
+    last."""
     ids = saved(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     sets = saved(full_sets(docs, ids, words).dropDuplicates(["doc_id", "runs"]), "sets")
     one = sets.select(F.col("doc_id").alias("a"), F.col("runs").alias("ra"))
@@ -203,12 +228,14 @@ def rare_pairs(open_: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, miss: float = MISS) -> DataFrame:
-    """Return doc_id, n_shingles, component_id (smallest id reachable) and kept (doc_id = component_id), a row
-    for each row of `docs`.
+    """Return doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id) and text_hash
+    (xxhash64 of the text), a row for each row of `docs`.
 
     A null, empty or blank text has an empty set, which is linked with nothing. A row with a null id is
     linked with nothing either: component_id is null and kept is true. Repeated rows are equal sets, hence
-    one component. Other columns are not read.
+    one component. Where an id repeats with different texts, each row is judged by its own text, and text_hash
+    tells which; components whose smallest ids are equal are one. Very long texts are read whole. Other columns
+    are not read.
     """
     percent = round(100 * similarity)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -228,7 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     # Each class against the representative with which it shares most bands.
     shared = members.join(heads, "band").where("class_id <> rep").groupBy("class_id", "rep", "n").agg(F.count("*").alias("bands"))
     best = Window.partitionBy("class_id").orderBy(F.desc("bands"), "rep")
-    stars = shared.join(sizes, "rep").where(fits).withColumn("place", F.row_number().over(best)).where("place = 1").select(F.least("rep", "class_id").alias("a"), F.greatest("rep", "class_id").alias("b")).distinct()
+    stars = shared.join(sizes, "rep").where(fits).withColumn("place", F.row_number().over(best)).where("place = 1").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))
     tested = saved(bayes_filter(stars, classes, similarity, miss), "stars")
     links = [confirm(tested, rows, words, percent)]
 
@@ -240,13 +267,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     open_ = saved(placed.join(split, "band").select("class_id", "part").distinct(), "open")
     dropped(placed)
     pairs = rare_pairs(open_, rows, words, percent)
-    rest = saved(bayes_filter(pairs.join(tested, ["a", "b"], "left_anti"), classes, similarity, miss), "rest")
+    before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = saved(bayes_filter(oriented(pairs.join(before, ["a", "b"], "left_anti")), classes, similarity, miss), "rest")
     links.append(confirm(rest, rows, words, percent))
 
     joined = saved(connected_components(reduce(DataFrame.unionByName, links)), "components")
     by_name = saved(classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").select(*name, F.coalesce("component", "class_id").alias("component")), "named")
     dropped(classes)
-    facts = signed.select("doc_id", *name)
-    found = facts.where("n_shingles > 0 and doc_id is not null").join(by_name, name).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    alone = facts.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    facts = signed.select("doc_id", "text_hash", *name)
+    found = facts.where("n_shingles > 0 and doc_id is not null").join(by_name, name).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "text_hash")
+    alone = facts.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
+    both = found.unionByName(alone)
+    return both.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_hash")

@@ -82,7 +82,7 @@ def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents, on 4-word shingles at 0.8."""
-    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=0.8)
+    return near_dups.near_duplicates(_table(spark, sf_dir, "documents"), words=4, similarity=0.8).drop("text_hash")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

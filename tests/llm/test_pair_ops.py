@@ -86,16 +86,21 @@ def test_near_duplicates_nulls_and_none(spark):
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dups.near_duplicates(rows).collect())
     assert got == [(0, 0, True), (1, 1, True), (1, 1, True), (2, 1, False)]
     assert near_dups.near_duplicates(rows.limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(150_000))
+    odd = spark.createDataFrame([(1, long), (3, long + " end"), (5, long), (5, "a text of its own under five"), (7, "a text of its own under five")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dups.near_duplicates(odd).collect())
+    assert got == [(1, 149_996, 1, True), (3, 149_997, 1, False), (5, 3, 5, True), (5, 149_996, 1, False), (7, 3, 5, False)]
 
 
 def test_bayes_bound_keeps_similar_pairs():
     least = near_dups.least_matches(0.8, near_dups.MISS, near_dups.BANDS * near_dups.ROWS, near_dups.BATCH)
+    assert near_dups.miss_chance(0.8, least, near_dups.BATCH) < 2e-6 and near_dups.miss_chance(0.85, least, near_dups.BATCH) < 1e-8
     rng = np.random.default_rng(1)
     equal = rng.random((20_000, near_dups.BANDS * near_dups.ROWS)) < 0.8
     lost = np.zeros(len(equal), bool)
     for n, m in least.items():
         lost |= equal[:, :n].sum(axis=1) < m
-    assert lost.mean() < 1e-3
+    assert not lost.any()
     assert (rng.random((1000, 200)) < 0.4).sum(axis=1).max() < least[200]
 
 
@@ -271,7 +276,7 @@ def planted(spark, tmp_path_factory):
     rng = random.Random(9)
     text = lambda n: " ".join(f"u{rng.randrange(2000)}" for _ in range(n))
     base, item = text(300), text(20)
-    more = [(1000, base), (1001, base), (1002, base + " one more"), (1003, text(300) + " " + item + " " + text(10)), (1004, text(500) + " vilewort nastling grubbish vilewort"), (1005, text(40)), (1006, ""), (1007, None), (None, text(10)), (1005, None)]
+    more = [(1000, base), (1001, base), (1002, base + " one more"), (1003, text(300) + " " + item + " " + text(10)), (1004, text(500) + " vilewort nastling grubbish vilewort"), (1005, text(40)), (1006, ""), (1007, None), (None, text(10)), (1005, None), (1001, text(50)), (1003, text(60)), (None, item + " in a row without an id")]
     rows = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     rows.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars")).write.parquet(f"{folder}/documents.parquet")
     labels.write.parquet(f"{folder}/labels.parquet")
@@ -285,7 +290,8 @@ def test_pipeline_catches_planted_cases(spark, planted):
         after = stage(spark, docs, planted)
         assert after.columns == docs.columns, name
     got = [r["doc_id"] for r in corpus_pipeline.run(spark, planted).collect()]
-    assert not {1001, 1002, 1003, 1004} & set(got)
+    # Ids 1001 and 1003 have one row more each, with a text of its own, which stays.
+    assert not {1002, 1004} & set(got) and got.count(1001) == got.count(1003) == got.count(None) == 1 and got.count(1005) == 2
     assert {1000, 1005, 1006, 1007, None} <= set(got)
     assert sorted(d for d in got if d is not None and d < 400) == [i for i in range(400) if i % 4]
 
