@@ -4,8 +4,10 @@ hold benchmark items go, and what is left is encoded.
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the docs of the next. All but the last return the columns of `documents`.
 
-Rows with a null doc_id cannot be named by the pairwise stages and stay. Null texts count as empty, which is
-clean and alone. Rows repeated under one doc_id with one text stay once.
+Rows are judged each by its own text: where a doc_id repeats with different texts, a copy or a leak goes and the
+other row stays. Rows with a null doc_id have no place among near duplicates and stay there. Null texts count as
+empty, which is clean and alone. Rows repeated under one doc_id with one text stay once. Very long texts are read
+whole.
 """
 
 from __future__ import annotations
@@ -17,11 +19,6 @@ from quillmere.llm import bpe, decontaminate, near_dups, toxicity
 from quillmere.llm._spark import saved, sent
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of some ids; null ids stay."""
-    return docs.join(sent(saved(ids.select("doc_id").distinct(), "gone")), "doc_id", "left_anti").select(*docs.columns)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the random field does not call toxic; it is fitted on the labelled ones among them."""
     return toxicity.reject(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -30,7 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 or more on 5-word shingles: the smallest id."""
     found = near_dups.near_duplicates(docs, words=5, similarity=0.8)
-    left = _without(docs, found.where("not kept"))
+    gone = sent(saved(found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text")).distinct(), "gone"))
+    left = docs.join(gone, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__text")), "left_anti")
     repeated = saved(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
         return left
@@ -40,7 +38,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item to 0.8 or more of its 5-word shingles."""
-    return _without(docs, decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    row = F.xxhash64("doc_id", "text")
+    found = decontaminate.leaks(docs.select(row.alias("__row"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="__row")
+    gone = sent(saved(found.select("doc_id").distinct().toDF("__row"), "gone"))
+    return docs.join(gone, row == F.col("__row"), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
