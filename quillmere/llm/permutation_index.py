@@ -1,15 +1,24 @@
 """Nearest neighbours by a permutation index.
 
-A vector is represented by the order in which it sees PIVOTS pivots, nearest first; the first NEAREST places
-count, all later ones as place NEAREST. The index is dealt into blocks by a hash. In a block each pivot has an
-inverted file: the place it takes with every vector of the block (a column of small numbers). A query is
-answered block by block: the footrule distance (sum over pivots of the difference of places) is summed up from
-the inverted files of the query's own nearest pivots, the SHARE of the block nearest by it is ranked exactly on
-the original vectors in double precision, and the best of all blocks are merged.
+Pivots are PIVOTS sampled vectors and their opposites (2 * PIVOTS points; the far side of a vector tells as much
+as the near one). A vector is represented by the POSTED pivots nearest to it, in order, and posted to the inverted
+files of these pivots as (row, place). A query takes its ASKED nearest pivots and reads their files only. The
+footrule distance is taken over the query's own pivots: the difference of places, or POSTED where the vector is
+not posted. Of every block of the index the rows of least footrule, SHARE of the block and MORE for each neighbour
+wanted, are ranked exactly on the original vectors in double precision, and the best of all blocks are merged.
+The same rule holds at every size; it is no cap, for nothing beyond it is ever wanted but what the index misses.
+
+Recall of the 20 nearest against brute force, on random directions in 64 dimensions, the hardest case there is,
+stands in the README. Reading only places close to the query's own halves the entries read, but costs more recall
+than it saves (0.90 for 0.96 at 2,000 rows), so files are read whole.
 
 The nearest by inner product are the nearest by angle once every vector is given one more component that
 brings all to the same length, and queries a zero there. The pivots and orders use these longer vectors.
 
+The index is built once and dealt into blocks of BLOCK_ROWS by a hash; queries go to all blocks, in blocks of
+QUERY_ROWS. So a block of the index is moved once for QUERY_ROWS queries, and with n rows and q different queries
+n * q / QUERY_ROWS + q * n / BLOCK_ROWS rows are moved: a stated set of queries against all rows, in blocks.
+
 Equal vectors are one entry with its `top` + 1 smallest ids; more of them can never be among the `top` nearest
 of any query, so copies cost nothing and nothing is lost. Pivots are a bounded sample: the PIVOTS vectors with
 the smallest hash. Every vector is indexed.
@@ -25,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import saved
+from ._spark import resting, saved
 
-PIVOTS, NEAREST = 256, 128
-#: Share of a block ranked exactly, and the least number of its vectors.
-SHARE, LEAST = 0.06, 400
-BLOCK_ROWS, QUERY_ROWS = 8192, 1024
+PIVOTS, POSTED, ASKED = 512, 256, 64
+#: Rows of a block ranked exactly: a share of it, and so many for each neighbour wanted.
+SHARE, MORE = 0.02, 8
+BLOCK_ROWS, QUERY_ROWS = 16_384, 65_536
 
 
 def usable(column: str):
@@ -50,37 +59,63 @@ def classes(vectors: DataFrame, key: str, vector: str, top: int) -> DataFrame:
     return ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def _orders(x: np.ndarray, pivots: np.ndarray, longest: float, query: bool) -> np.ndarray:
-    """The place of every pivot with each vector, NEAREST for those not among the nearest. Ties by number."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def nearest_pivots(x: np.ndarray, pivots: np.ndarray, longest: float, query: bool, most: int) -> np.ndarray:
+    """The numbers of each vector's nearest pivots, nearest first. Pivot i's opposite is number i + len(pivots)."""
     rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))
     near = x @ pivots[:, :-1].T + rest[:, None] * pivots[:, -1][None, :]
-    order = np.argsort(-near, axis=1, kind="stable")[:, :NEAREST]
-    out = np.full((len(x), len(pivots)), NEAREST, np.uint8)
-    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.uint8)[None, :], axis=1)
-    return out
+    near = np.concatenate([near, -near], axis=1)
+    most = min(most, near.shape[1])
+    some = np.argpartition(-near, most - 1, axis=1)[:, :most]
+    order = np.argsort(-np.take_along_axis(near, some, axis=1), axis=1)
+    return np.take_along_axis(some, order, axis=1).astype(np.uint16)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+def represent(vectors: DataFrame, pivots: np.ndarray, longest: float, query: bool, most: int) -> DataFrame:
+    """vectors with `pivots`: their nearest pivots in order (binary, unsigned 16-bit)."""
+    known = pickle.dumps(pivots)
 
+    @resting
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        points = pickle.loads(known)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1024):
+                some = batch.slice(begin, 1024)
+                found = nearest_pivots(_matrix(some.column("embedding")), points, longest, query, most)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([r.tobytes() for r in found], pa.binary())], names=[*some.schema.names, "pivots"])
 
-def search_block(queries: np.ndarray, q_orders: np.ndarray, x: np.ndarray, inverted: np.ndarray, share: float, least: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
+    return vectors.mapInArrow(order, f"{kinds}, pivots binary")
+
+
+class InvertedFiles:
+    """The rows posted to each pivot, and their places there."""
+
+    def __init__(self, orders: np.ndarray, n_pivots: int):
+        n, self.most = orders.shape
+        flat = orders.ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        self.n, self.first = n, np.searchsorted(flat[by_pivot], np.arange(n_pivots + 1))
+        self.rows, self.places = (by_pivot // self.most).astype(np.int32), (by_pivot % self.most).astype(np.float32)
+
+    def closeness(self, query: np.ndarray) -> np.ndarray:
+        """For each row, how far its footrule distance lies below that of a row in none of the query's files."""
+        rows, gains = [], []
+        for place, p in enumerate(query.tolist()):
+            mine = slice(self.first[p], self.first[p + 1])
+            rows.append(self.rows[mine])
+            gains.append(self.most - np.abs(self.places[mine] - place))
+        return np.bincount(np.concatenate(rows), np.concatenate(gains), self.n)
+
+
+def search_block(queries: np.ndarray, asked: np.ndarray, x: np.ndarray, files: InvertedFiles, share: float, more: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the rows of the block that may be among its nearest, and their exact scores."""
-    n = len(x)
-    wanted = min(n, max(least, int(np.ceil(share * n))))
-    for q, places in zip(queries, q_orders, strict=True):
-        if wanted < n:
-            own = np.flatnonzero(places < NEAREST)
-            posted, mine = inverted[own], places[own][:, None]
-            apart = np.maximum(posted, mine)
-            apart -= np.minimum(posted, mine)
-            footrule = apart.sum(axis=0, dtype=np.int32)
-            # Pivots that the query has not among its nearest, but the vector has, follow from the sum of places:
-            # a vector's places over all pivots sum up alike for all vectors.
-            footrule += posted.sum(axis=0, dtype=np.int32)
-            some = np.argpartition(footrule, wanted - 1)[:wanted]
-        else:
-            some = np.arange(n)
+    wanted = min(files.n, int(np.ceil(share * files.n)) + more * top)
+    for q, own in zip(queries, asked, strict=True):
+        some = np.argpartition(-files.closeness(own), wanted - 1)[:wanted]
         if len(some) > top + 1:
             rough = x[some] @ q
             edge = np.partition(rough, len(some) - top - 1)[len(some) - top - 1]
@@ -90,10 +125,10 @@ def search_block(queries: np.ndarray, q_orders: np.ndarray, x: np.ndarray, inver
         yield some, scores
 
 
-def nearest(vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", top: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame | None = None, key: str = "vec_id", vector: str = "embedding", top: int = 20, share: float = SHARE, more: int = MORE) -> DataFrame:
     """Return query_id, rank (from 1), vec_id, score (inner product): the `top` nearest found of each row of
     `queries` (rows of `vectors`; default: those whose id is divisible by 20), never the query's own id;
-    ties to the smaller id.
+    ties to the smaller id. With share=1 the search is exact.
 
     Null ids, and vectors null, empty, zero or with null or non-finite components, take no part; nor do
     vectors of another length than most have (ties: the shorter). No usable vectors give no rows. Rows
@@ -102,49 +137,45 @@ def nearest(vectors: DataFrame, queries: DataFrame | None = None, key: str = "ve
     spark = vectors.sparkSession
     kept = saved(classes(vectors, key, vector, top).withColumn("size", F.size("embedding")), "vectors")
     sizes = kept.groupBy("size").agg(F.sum(F.size("ids")).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    result = "query_id long, rank int, vec_id long, score double"
     if not sizes:
-        return spark.createDataFrame([], result)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     kept = kept.where(F.col("size") == sizes[0]["size"])
     facts = kept.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)).alias("longest")).first()
     longest = float(np.sqrt(facts["longest"]))
     sample = kept.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(PIVOTS).collect()
     p = np.array([r["embedding"] for r in sample])
     pivots = np.column_stack([p, np.sqrt(np.maximum(longest**2 - (p * p).sum(axis=1), 0))])
-    known = pickle.dumps(pivots)
+    lists = 2 * len(pivots)
 
     asked = (vectors.where(F.col(key) % 20 == 0) if queries is None else queries).select(F.col(key).cast("long").alias("query_id"), F.transform(F.col(vector).cast("array<double>"), lambda v: v + F.lit(0.0)).alias("embedding")).where(F.col("query_id").isNotNull() & usable("embedding") & (F.size("embedding") == sizes[0]["size"])).distinct()
     asked = saved(asked, "queries")
-    # Equal queries are asked once.
-    different = saved(asked.select("embedding").distinct().withColumn("q", F.xxhash64("embedding")), "different")
+    # Equal queries are asked once, under a number that is fixed by writing it.
+    different = saved(asked.select("embedding").distinct().withColumn("q", F.monotonically_increasing_id()), "different")
     index_blocks = max(1, -(-facts["n"] // BLOCK_ROWS))
     query_blocks = max(1, -(-different.count() // QUERY_ROWS))
 
-    dealt = kept.select("embedding", "ids", F.pmod(F.xxhash64("embedding"), F.lit(index_blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q_block"))
-    sent = different.select("embedding", F.pmod("q", F.lit(query_blocks)).cast("int").alias("q_block"), F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))).alias("block"))
-    width = top
-
-    def search(group: tuple, index: pa.Table, part: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if index.num_rows and part.num_rows:
-            pivots = pickle.loads(known)
-            x, q = _matrix(index.column("embedding").combine_chunks()), _matrix(part.column("embedding").combine_chunks())
-            ids = index.column("ids").to_pylist()
-            inverted = np.ascontiguousarray(_orders(x, pivots, longest, False).T)
-            found = search_block(q, _orders(q, pivots, longest, True), x, inverted, share, least, width)
-            for i, (rows, scores) in enumerate(found):
-                out[0].append(i)
-                members = [(-s, v) for r, s in zip(rows.tolist(), scores.tolist(), strict=True) for v in ids[r]]
-                members.sort()
-                out[1].append([v for _, v in members[: width + 1]])
-                out[2].append([-s for s, _ in members[: width + 1]])
-            return pa.table({"embedding": part.column("embedding").take(pa.array(out[0])), "vec_ids": pa.array(out[1], pa.list_(pa.int64())), "scores": pa.array(out[2], pa.list_(pa.float64()))})
-        return pa.table({"embedding": pa.array([], pa.list_(pa.float64())), "vec_ids": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64()))})
-
-    hits = dealt.groupBy("block", "q_block").cogroup(sent.groupBy("block", "q_block")).applyInArrow(search, "embedding array<double>, vec_ids array<long>, scores array<double>")
-    flat = hits.select("embedding", F.explode(F.arrays_zip("vec_ids", "scores")).alias("hit")).select("embedding", F.col("hit.vec_ids").alias("vec_id"), F.col("hit.scores").alias("score"))
-    order = Window.partitionBy("embedding").orderBy(F.desc("score"), "vec_id")
-    best = saved(flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1).groupBy("embedding").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best")), "best")
+    index = saved(represent(kept.select("embedding", "ids"), pivots, longest, False, POSTED), "index")
+    dealt = index.withColumn("block", F.pmod(F.xxhash64("embedding"), F.lit(index_blocks)).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+    represented = represent(different, pivots, longest, True, ASKED)
+    parts = represented.withColumn("q_block", F.pmod(F.xxhash64("q"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(index_blocks - 1))))
+
+    def search(group: tuple, rows: pa.Table, part: pa.Table) -> pa.Table:
+        out: list[list] = [[], []]
+        if rows.num_rows and part.num_rows:
+            orders = lambda t: np.frombuffer(b"".join(t.column("pivots").to_pylist()), np.uint16).reshape(t.num_rows, -1)
+            x, q = _matrix(rows.column("embedding").combine_chunks()), _matrix(part.column("embedding").combine_chunks())
+            ids = rows.column("ids").to_pylist()
+            for found, scores in search_block(q, orders(part), x, InvertedFiles(orders(rows), lists), share, more, top):
+                members = sorted((-s, v) for r, s in zip(found.tolist(), scores.tolist(), strict=True) for v in ids[r])[: top + 1]
+                out[0].append([v for _, v in members])
+                out[1].append([-s for s, _ in members])
+        return pa.table({"q": part.column("q").slice(0, len(out[0])), "vec_ids": pa.array(out[0], pa.list_(pa.int64())), "scores": pa.array(out[1], pa.list_(pa.float64()))})
+
+    hits = dealt.groupBy("block", "q_block").cogroup(parts.groupBy("block", "q_block")).applyInArrow(search, "q long, vec_ids array<long>, scores array<double>")
+    flat = hits.select("q", F.explode(F.arrays_zip("vec_ids", "scores")).alias("hit")).select("q", F.col("hit.vec_ids").alias("vec_id"), F.col("hit.scores").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    best = flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))
+    best = saved(different.join(best, "q").select("embedding", "best"), "best")
     own = F.filter("best", lambda h: h["vec_id"] != F.col("query_id"))
     rows = asked.join(best, "embedding").select("query_id", F.posexplode(F.slice(own, 1, top)).alias("i", "hit"))
     return rows.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), F.col("hit.score").alias("score"))
