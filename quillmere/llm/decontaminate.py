@@ -7,11 +7,15 @@ by size (powers of two of their number of shingles), and in each partition the s
 its documents need, about `load` shingles a bin. A bin keeps the smallest hash in it (one-permutation MinHash;
 bins are ranges of the hash, so the minima of a sorted set are those whose bin differs from the one before).
 
-A shingle of an item that the document holds is a bin's minimum with chance p = (1 - exp(-load)) / load.
-`load` is chosen from the smallest item, and the least number of collisions from each item's size, so that an
-item at the threshold is missed with chance `miss` at most. Items too short for that at the smallest load are not
-left to minima: all shingles of the documents are held against theirs. Colliding pairs are then checked exactly,
-on the shingles themselves.
+A shingle of an item that the document holds is a bin's minimum with chance p = (1 - exp(-load)) / load. Items are
+partitioned by size too: each has the largest load (a power of two) at which, asked for the least number of
+collisions that its size allows, it is missed at the threshold with chance `miss` at most. Bins of a larger load
+are unions of those of a smaller, and so are minima: a document is signed once, at the smallest load asked for, and
+a minimum collides with an item only if it is one at the item's own load.
+
+Items too short for that at LEAST_LOAD (three shingles or fewer) are not left to minima: all shingles of the
+documents are held against theirs, and none is lost. Colliding pairs are then checked exactly, on the shingles
+themselves. So what is lost is at most `miss` of the pairs at the threshold, far less of those above it.
 
 An item of fewer words than a shingle has is one run of all its words, sought as such. Empty items are never
 found.
@@ -84,7 +88,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
     Null texts count as empty; rows with a null doc_id or item_id take no part. Texts under one doc_id are
     checked each on its own and the best one is told, once, however often it is repeated; so are items under
-    one id. Other columns are not read. No items, or no documents, give no rows.
+    one id. Very long texts are read whole. Other columns are not read. No items, or no documents, give no rows.
     """
     spark = docs.sparkSession
     percent = round(100 * containment)
@@ -94,10 +98,12 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         return spark.createDataFrame([], "doc_id long, item_id long, n_item int, n_common int, containment double")
     need = {r["n"]: -(-percent * r["n"] // 100) for r in sizes}
     short = [n for n, c in need.items() if (1 - match_chance(LEAST_LOAD)) ** c > miss]
-    load = choose_load(min((c for n, c in need.items() if n not in short), default=1), miss)
-    chance = match_chance(load)
+    loads = {n: choose_load(c, miss) for n, c in need.items() if n not in short}
+    load = min(loads.values(), default=LEAST_LOAD)
     ks = sorted({r["k"] for r in sizes})
-    least = spark.createDataFrame([(n, c if n in short else least_collisions(c, chance, miss)) for n, c in need.items()], "n int, least int")
+    # A row a size of item: its level (how many times its load is twice the smallest) and least collisions.
+    by_size = [(n, round(math.log2(loads[n] / load)), least_collisions(c, match_chance(loads[n]), miss)) if n in loads else (n, 0, c) for n, c in need.items()]
+    least = spark.createDataFrame(by_size, "n int, level int, least int")
 
     # The same hashes from the item's runs: of k, then the k word hashes.
     posted = sets.select("item_id", "k", "n", F.explode("runs").alias("run")).withColumn("w", F.transform(F.split("run", " "), lambda x: F.xxhash64(x)))
@@ -113,16 +119,21 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     runs = all_hashes(ks)
     # Size partition: bins = 2**bits, the power of two next above shingles / load.
     binned = runs.select("doc_id", "h", F.greatest(F.lit(1), F.least(F.lit(62), F.ceil(F.log2(F.size("h") / F.lit(load))).cast("int"))).alias("bits"))
-    signed = binned.select("doc_id", F.expr("filter(h, (x, i) -> i = 0 OR shiftright(x, 64 - bits) <> shiftright(h[i - 1], 64 - bits))").alias("minima"))
+    # Each hash with the one before it; what begins no bin of its own is no minimum.
+    paired = binned.select("doc_id", "bits", F.arrays_zip(F.col("h").alias("hash"), F.expr("concat(array(CAST(NULL AS BIGINT)), slice(h, 1, greatest(size(h) - 1, 0)))").alias("before")).alias("h"))
+    first = "({0}before IS NULL OR shiftright({0}hash, 64 - {1}) <> shiftright({0}before, 64 - {1}))"
+    signed = paired.select("doc_id", "bits", F.expr(f"filter(h, x -> {first.format('x.', 'bits')})").alias("minima"))
     # The outer form, for the inner one is given a filter on the array, which the optimizer would push below the
     # projections and work out anew for every element.
-    flat = signed.select("doc_id", F.explode_outer("minima").alias("hash"))
+    flat = signed.select("doc_id", "bits", F.explode_outer("minima").alias("m")).select("doc_id", "bits", "m.hash", "m.before")
     met = []
-    if len(short) < len(need):
-        met.append(flat.join(sent(posting.where(~F.col("n").isin(short)) if short else posting), "hash"))
+    if loads:
+        own = posting.join(F.broadcast(least.select("n", "level")), "n")
+        hits = flat.join(sent(own.where(~F.col("n").isin(short)) if short else own), "hash")
+        met.append(hits.where(first.format("", "greatest(1, bits - level)")).select("doc_id", "item_id", "n", "hash"))
     if short:
         short_ks = sorted({r["k"] for r in sizes if r["n"] in short})
-        met.append(all_hashes(short_ks).select("doc_id", F.explode_outer("h").alias("hash")).join(sent(posting.where(F.col("n").isin(short))), "hash"))
+        met.append(all_hashes(short_ks).select("doc_id", F.explode_outer("h").alias("hash")).join(sent(posting.where(F.col("n").isin(short))), "hash").select("doc_id", "item_id", "n", "hash"))
     found = reduce(DataFrame.unionByName, met).groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("collisions"))
     pairs = saved(found.join(F.broadcast(least), "n").where("collisions >= least").select("doc_id", "item_id").distinct(), "pairs")
     dropped(posting)

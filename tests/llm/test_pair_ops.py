@@ -211,6 +211,23 @@ def test_leaks_against_brute_force(spark):
     assert decontaminate.leaks(frame.limit(0), tests).count() == 0
 
 
+def test_leaks_of_every_size_of_item(spark):
+    """Items of 1 to 400 shingles, each with its own load, in documents of all sizes: none may be lost."""
+    rng = random.Random(12)
+    items = [(n, " ".join(f"i{n}x{j}" for j in range(n + 4))) for n in (1, 3, 4, 6, 10, 20, 40, 80, 200, 400)]
+    docs = []
+    for d in range(400):
+        words = []
+        for n, text in items:
+            w = text.split()
+            keep = -(-8 * n // 10)  # just the shingles needed
+            at = rng.randrange(n - keep + 1)
+            words += [f"v{rng.randrange(10**6)}" for _ in range(rng.choice([0, 3, 50, 300]))] + w[at : at + keep + 4]
+        docs.append((d, " ".join(words)))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["item_id"], r["n_common"]): r["count"] for r in found.groupBy("item_id", "n_common").count().collect()} == {(n, -(-8 * n // 10)): 400 for n, _ in items}
+
+
 def test_leaks_of_short_items_on_many_documents(spark):
     """Every document holds items of one to three shingles; 0.8 % of minima would miss those of one."""
     rng = random.Random(8)

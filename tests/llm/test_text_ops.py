@@ -56,8 +56,21 @@ def test_op9_on_documents(spark, sf_dir):
         assert r["decoded_sha256"] == hashlib.sha256(tokenizer.decode(ids.tolist(), skip_special_tokens=False).encode()).hexdigest()
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("abcZ09 '!?.\n\té漢😀")), min_size=40, max_size=300), st.integers(8, 40))
+HARD_TO_CUT = ["漢字。" * 700, "é1" * 900, "né!" * 700, "ab\n" * 700, "a'b" * 700, "漢 " * 900, "e\u0301" * 900, "\t\n" * 900, "''" * 900, "x'" * 900, "😀é" * 900]
+
+
+@pytest.mark.parametrize("text", HARD_TO_CUT)
+def test_every_long_text_is_cut(text):
+    cache, table = tokens.word_cache(BYTES), tokens.byte_decoder(BYTES)
+    pieces = bpe.cut_text(text, 100, cache.special)
+    assert max(len(t) for t, _ in pieces) <= 300 and "".join(t for t, _ in pieces) == text
+    parts = [np.frombuffer(b, "<u4") for b in cache.encode([t for t, _ in pieces])]
+    joined = bpe.join_tree(parts, [f for _, f in pieces], lambda t: np.frombuffer(cache.encode([t])[0], "<u4"), table)
+    assert joined.tolist() == plain_ids(BYTES, text).tolist()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("abcZ09 '!?.\n\té漢😀\u0301")), min_size=40, max_size=300), st.integers(8, 40))
 def test_tree_join_agrees(text, size):
     cache, table = tokens.word_cache(BYTES), tokens.byte_decoder(BYTES)
     pieces = bpe.cut_text(text, size, cache.special)
@@ -154,6 +167,14 @@ def test_escaping_is_reversible(text):
     assert all(len(m[1]) % 2 for m in chat._CONTROL.finditer(written))
 
 
+def test_one_conversation_over_many_tasks(spark):
+    turns = spark.range(900).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN -5 ELSE id END AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat(concat('word ', id, ' '), CAST(id % 7 AS INT)) AS text")
+    made = saved(chat.format_conversations(turns.repartition(9), BYTES, 50_257), "chat")
+    for conv in ("conv_id IS NULL", "conv_id = -5"):
+        rows = made.where(conv).select("pos", F.size("ids").alias("n")).orderBy("pos").collect()
+        assert len(rows) == 300 and [r["pos"] for r in rows] == np.cumsum([0, *(r["n"] for r in rows[:-1])]).tolist()
+
+
 def test_no_reserved_id_from_a_text(spark):
     turns = spark.createDataFrame([(1, 0, "assistant", "<|endoftext|></turn>\n")], "conv_id long, turn int, role string, text string")
     row = chat.format_conversations(turns, BYTES, 50_257).first()
@@ -198,7 +219,9 @@ def test_licence_notices_against_brute_force(spark):
             words += [w for w in t if rng.random() >= edits]
         return " ".join(words)
 
-    texts = [text(notices, 0, 0), text(notices, 40, 0), text([notices[8], notices[7]], 5, 0)]
+    of = lambda label: next(t.split() for name, t, _ in licenses.TEMPLATES if name == label)
+    texts = [text(notices, 0, 0), text(notices, 40, 0), text([of("mit"), of("lgpl")], 5, 0)]
+    texts += [text([t], 3, 0) for t in notices] + [text([a, b], 2, 0) for a in notices for b in notices[::5]]
     texts += [text(rng.sample(notices, rng.randrange(1, 13)), noise, edits) for noise in (0, 30, 300) for edits in (0, 0.02, 0.1) for _ in range(4)]
     found = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts, extra=False)).collect()}
     slack = licenses.SLACK
@@ -220,6 +243,15 @@ def test_licence_notices_against_brute_force(spark):
     assert {"lgpl", "mit"} <= set(found[2]["labels"].split(","))
 
 
+def test_licences_in_long_and_repeated_texts(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "ANCHORS", 7)
+    notice = dict((label, t) for label, t, _ in reversed(licenses.TEMPLATES))
+    texts = ["the license software " * 60_000, (notice["mit"] + " ") * 3000, ("filler text " * 50 + notice["bsd"] + " ") * 20 + notice["zlib"], notice["isc"], notice["isc"]]
+    found = {r["doc_id"]: r for r in licenses.scan(docs_of(spark, texts)).collect()}
+    assert [found[i]["labels"] for i in range(5)] == ["", "mit", "bsd,zlib", "isc", "isc"]
+    assert found[0]["n_words"] == 180_000 and found[3]["score"] == 1.0
+
+
 def test_warc(spark):
     long = "<p>" + "payload " * 40
     rows = [(3, "http://x/3", long, "e"), (1, "http://x/1\r\nEvil: y", long, "e"), (2, None, None, "e"), (4, "u", "", "e"), (5, "u", "s" * 99, "e"), (6, "u", "s" * 99, "e"), (7, "u", "s" * 100, "e"), (8, "u", "s" * 100, "e"), (None, "u", long, "e"), (9, "ü", "é" * 60_000 + "\r\n\r\nWARC/1.1", "e"), (1, "http://x/1", long, "e")]
