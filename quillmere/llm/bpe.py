@@ -3,9 +3,10 @@
 A text of up to `piece_chars` characters is encoded in the task that reads it. A longer one is cut into
 pieces that are dealt over the cluster and encoded there. Most cuts lie where the vocabulary's own rule
 always splits (a character that is no blank, then a blank), so the ids of both sides simply follow each
-other. Where a stretch has no such place (one unbroken run of letters, digits, signs or blanks), the cut
-goes through the run; then the sides are joined pairwise, as in a tree: a window of ids around the join is
-encoded again and grown until its first ids agree with the left side and its last ids with the right side.
+other. Where a stretch has no such place, the cut goes between characters of different kinds, or through an
+unbroken run of letters, digits, signs or blanks; then the sides are joined pairwise, as in a tree: a window of
+ids around the join is encoded again and grown until its first ids agree with the left side and its last ids with
+the right side. So every text of more than `piece_chars` characters is cut.
 
 Defined results: a null text counts as empty, with no ids; rows repeated under one key give a row each;
 only the key and the text are read, so other columns and their names do not matter.
@@ -21,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import resting, text_slices
+from ._spark import resting, saved, text_slices
 from .tokens import FEW_PIECES, byte_decoder, trim_caches, word_cache
 
 PIECE_CHARS = 16_384
@@ -32,6 +33,10 @@ _RUN = regex.compile(
     r"(?<=[A-Za-z]{3})(?=[A-Za-z]{3})|(?<=[0-9]{3})(?=[0-9]{3})|(?<=\p{L}{3})(?=\p{L}{3})|(?<=\p{N}{3})(?=\p{N}{3})"
     r"|(?<=[^\s\p{L}\p{N}']{3})(?=[^\s\p{L}\p{N}']{3})|(?<='{3})(?='{3})|(?<=\s{3})(?=\s{3})"
 )
+#: A blank after a sign or letter of ASCII, of any kind; and any other change of kind but those at which the
+#: vocabulary's rule may not split (a blank or an apostrophe, then a letter or sign).
+_BLANK = regex.compile(r"(?<=[!-~])(?=[ \t\n\r])")
+_KIND = regex.compile(r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=[^\s\p{L}\p{N}'])(?=[\s\p{L}\p{N}])")
 _CHANGE = regex.compile(r"(?<=[A-Za-z])(?=[0-9!-/:-@\[-`{-~])|(?<=[0-9])(?=[A-Za-z!-/:-@\[-`{-~])")
 
 
@@ -55,7 +60,7 @@ def _cut(text: str, low: int, high: int, special: list[str]) -> tuple[int | None
             if "!" <= text[at - 1] <= "~":
                 return at, False
             at = text.rfind(" ", low, at)
-        for rule, through in ((_CHANGE, False), (_RUN, True)):
+        for rule, through in ((_BLANK, False), (_CHANGE, False), (_RUN, True), (_KIND, True)):
             for m in rule.finditer(text, low - 3, min(len(text), high + 3)):
                 at = m.start()
                 if low <= at < len(text) and not any(s in text[max(0, at - len(s) + 1) : at + len(s) - 1] for s in special):
@@ -134,7 +139,9 @@ def encode(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
                     names=["doc_id", "row", "piece", "fused", "text"],
                 )
 
-    pieces = long.mapInArrow(cut_rows, f"doc_id {kind}, row long, piece int, fused boolean, text string").repartition("row", "piece")
+    # Written first: a row's number holds good however often a lost executor's tasks run again.
+    cut = saved(long.mapInArrow(cut_rows, f"doc_id {kind}, row long, piece int, fused boolean, text string"), "pieces")
+    pieces = cut.repartition("row", "piece")
     coded = pieces.mapInArrow(encode_rows, f"doc_id {kind}, row long, piece int, fused boolean, ids binary")
 
     def join_pieces(table: pa.Table) -> pa.Table:

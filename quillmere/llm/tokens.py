@@ -62,12 +62,12 @@ class WordCache:
         self.pieces = _WORDS_ONLY if self.words else _WITH_BLANKS
         self.special = [t["content"] for t in spec["added_tokens"]]
         alphabet = byte_alphabet()
-        #: The end of a word is written as byte FF, which UTF-8 never has.
-        self.end = b"\xff" if self.words else b""
+        #: The end of a word is written as character 0, which no plain piece has.
+        self.end = "\0" if self.words else ""
 
         def spelled(token: str) -> bytes:
             mark = bool(suffix) and token.endswith(suffix)
-            return bytes(alphabet[c] for c in (token[: -len(suffix)] if mark else token)) + self.end * mark
+            return bytes(alphabet[c] for c in (token[: -len(suffix)] if mark else token)) + self.end.encode() * mark
 
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {spelled(t): i for t, i in spec["model"]["vocab"].items() if t not in special}
@@ -75,7 +75,7 @@ class WordCache:
         order = [spec["model"]["vocab"][a + b] for a, b in first]
         #: Ranks stand for merges only where ids follow the order of the merges.
         self.ranked = all(x < y for x, y in zip(order, order[1:], strict=False)) and all(bytes([b]) in ranks for b in range(256))
-        self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece if self.ranked else None
+        self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if self.ranked else None
         if self.words:
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         else:
@@ -96,7 +96,7 @@ class WordCache:
             return self.raw([text])[0]
         ids: list[int] = []
         for part in self.split(text.lower() if self.words else text):
-            ids += self.merge(part.encode() + self.end)
+            ids += self.merge(part + self.end)
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
