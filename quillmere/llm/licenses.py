@@ -3,11 +3,14 @@
 1. One pass over the texts keeps, for each file, the places of words that any template or phrase has. Document
    frequencies of these words (a fixed, small vocabulary) are counted over all files.
 2. For each template whose mandatory key phrases the file holds, the template's own words of highest inverse
-   document frequency are looked up. A word at place p of the file and t of a template votes for the alignments
-   within SLACK of p - t. An accepted alignment covers all but a few words of the template, so one word more than
-   those few is looked up: each accepted alignment then has a vote, however many other licence words a file has.
-3. An alignment counts if the template's words cover it well enough in order, and if every mandatory key phrase
-   of the template stands, word by word, within the aligned stretch.
+   document frequency are looked up around the places of a key phrase. A word at place p of the file and t of a
+   template votes for the alignments within SLACK of p - t. An accepted alignment covers all but a few words of the
+   template, so one word more than those few is looked up: each accepted alignment then has a vote, however many
+   other licence words a file has. Places of the key phrase are gone through ANCHORS at a time, so a text that
+   repeats a notice a million times takes no more memory than its places do.
+3. The postings of all words of the template are intersected at the alignments that have a vote: an alignment
+   counts if the words cover it well enough, each within SLACK of its place, and if every mandatory key phrase of
+   the template stands, word by word, within the aligned stretch.
 
 Places where a base phrase stands are found by the same places (words next to each other), always.
 Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased.
@@ -27,23 +30,36 @@ from .words import ALNUM, LOWER, find_words, hash_words
 
 #: Base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Label, notice, mandatory key phrases. Notices are the public texts of the licences.
+#: Label, notice, mandatory key phrases. Notices are sentences of the public texts of the licences.
 TEMPLATES = [
     ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation", ["gnu affero general public license"]),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program", ["copy of the gnu affero general public license"]),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ["apache license", "in compliance with the license"]),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", ["distributed on an as is basis without warranties or conditions"]),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["redistribution and use in source and binary forms"]),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"]),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright"]),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"]),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program", ["copy of the gnu general public license"]),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ["with or without fee is hereby granted"]),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", ["the author disclaims all warranties with regard to this software"]),
     ("lgpl", "it under the terms of the gnu lesser general public license as published by the free software foundation", ["gnu lesser general public license"]),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", ["copy of the gnu lesser general public license"]),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ["permission is hereby granted free of charge"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["this permission notice shall be included in all copies"]),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", ["copy of the mpl was not distributed with this file"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy modify publish use compile sell or distribute this software"]),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", ["in no event will the authors be held liable"]),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", ["the origin of this software must not be misrepresented"]),
 ]
 #: Share of a template's words that an alignment must cover in order, and how far a word may be off its place.
 COVER, SLACK = 0.6, 3
+#: Places of a key phrase whose surroundings are aligned at once, and licence words a task matches, about.
+ANCHORS, TASK_WORDS = 4096, 1 << 20
 
 
 def _vocabulary() -> list[str]:
@@ -110,11 +126,12 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float
 
     Null, empty and blank texts have no words: counts are 0, first_word and last_word null, labels "" and
     score 0. The score is 1 where a base phrase stands, else the best cover of an accepted template. Repeated
-    rows get a row each. Other columns are not read.
+    rows get a row each. Very long texts are read whole. Other columns are not read.
     """
     found = saved(licence_words(docs, key, text), "licence-words")
     kind = found.schema["doc_id"].dataType.simpleString()
-    total = found.count()
+    facts = found.agg(F.count("*").alias("files"), F.sum(F.size("terms")).alias("words")).first()
+    total = facts["files"]
     counted = found.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count()
     df = {r["term"]: r["count"] for r in counted.collect()}  # a row a word of the vocabulary at most
     idf = np.array([np.log((total + 1) / (df.get(i, 0) + 0.5)) for i in range(len(_vocabulary()))])
@@ -157,21 +174,31 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float
                 names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
             )
 
-    return found.mapInArrow(match, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    # Places are small next to the texts: read as files they would make a few large tasks.
+    dealt = found.repartition(max(found.sparkSession.sparkContext.defaultParallelism, (facts["words"] or 0) // TASK_WORDS))
+    return dealt.mapInArrow(match, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def align(index: _Index, t: int, place: np.ndarray, term: np.ndarray, starts: list[np.ndarray], idf: np.ndarray, cover: float) -> float:
     """The best cover of one template in a file whose key phrases start at `starts`, 0 if none is accepted."""
     words = index.templates[t]
-    at = {w: place[term == w] for w in set(words.tolist())}
     spared = sum(h / len(words) < cover for h in range(1, len(words) + 1))  # hits that do not suffice
     rarest = np.lexsort((words, -idf[words]))[: len(words) - spared]
-    shift = np.unique(np.concatenate([at[words[i]] - i for i in rarest]))
-    shift = np.unique(shift[:, None] + np.arange(-SLACK, SLACK + 1))
-    for k, first in zip(index.keys[t], starts):
-        shift = shift[np.searchsorted(first, shift - SLACK) < np.searchsorted(first, shift + len(words) + SLACK - len(k), "right")]
-    hits = np.zeros(len(shift), int)
-    for i, w in enumerate(words.tolist()):
-        hits += np.searchsorted(at[w], shift + i - SLACK) < np.searchsorted(at[w], shift + i + SLACK, "right")
-    best = hits.max(initial=0) / len(words)
-    return best if best >= cover else 0.0
+    key, anchors = min(zip(index.keys[t], starts, strict=True), key=lambda pair: len(pair[1]))
+    best, reach = 0, len(words) + SLACK
+    for begin in range(0, len(anchors), ANCHORS):
+        some = anchors[begin : begin + ANCHORS]
+        # Only places within reach of these anchors can be part of an alignment that holds one of them.
+        near = np.searchsorted(some, place - reach) < np.searchsorted(some, place + reach, "right")
+        here, what = place[near], term[near]
+        at = {w: here[what == w] for w in set(words.tolist())}
+        shift = np.unique(np.concatenate([at[words[i]] - i for i in rarest]))
+        shift = np.unique(shift[:, None] + np.arange(-SLACK, SLACK + 1))
+        for k, first in zip(index.keys[t], starts, strict=True):
+            first = some if k is key else first
+            shift = shift[np.searchsorted(first, shift - SLACK) < np.searchsorted(first, shift + reach - len(k), "right")]
+        hits = np.zeros(len(shift), int)
+        for i, w in enumerate(words.tolist()):
+            hits += np.searchsorted(at[w], shift + i - SLACK) < np.searchsorted(at[w], shift + i + SLACK, "right")
+        best = max(best, int(hits.max(initial=0)))
+    return best / len(words) if best / len(words) >= cover else 0.0
