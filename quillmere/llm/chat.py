@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import resting, text_slices
+from ._spark import resting, saved, sent, text_slices
 from .tokens import byte_decoder, word_cache
 
 #: Fixed values of the template: strings that may not stand unescaped inside a text.
@@ -58,16 +59,22 @@ def format_conversations(turns: DataFrame, tokenizer: str, size: int, conv: str
 
     Null roles and texts count as empty. Turns stand in the order of (turn, role, text), null turns first,
     so ties and repeated rows have a defined place too. Rows with a null conv_id are one conversation.
-    Other columns are not read. Every turn is encoded on its own, wherever its row lies; conversations are
-    then put in order by one sort and running sums.
+    Other columns are not read, and no turns give no rows. Every turn is encoded on its own, wherever its row
+    lies. Turns are sorted over the cluster by (conversation, turn), so a conversation of a third of all rows is
+    dealt over many tasks; a task adds up the ids of its own stretch of each conversation, and the stretches
+    before it, a row a task and conversation, are added to that.
     """
     own = reserved_ids(size)
     rows = turns.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
+    # Sorted before they are encoded, for the bounds of the ranges come from a first pass over the rows.
+    sorted_rows = rows.repartitionByRange("conv_id", "turn", "role", "text").sortWithinPartitions("conv_id", "turn", "role", "text")
+
     @resting
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_cache(tokenizer)
         special = re.compile("|".join(map(re.escape, cache.special)) or r"(?!)")
+        part, now, total = TaskContext.get().partitionId(), (), 0
 
         def segment(value: str) -> bytes:
             parts, at = [], 0
@@ -79,18 +86,25 @@ def format_conversations(turns: DataFrame, tokenizer: str, size: int, conv: str
 
         for batch in batches:
             for some in text_slices(batch):
-                ids, size, begin = [], [], []
-                for r, t in zip(some.column("role").to_pylist(), some.column("text").to_pylist(), strict=True):
+                ids, size, begin, before = [], [], [], []
+                for c, r, t in zip(*(some.column(n).to_pylist() for n in ("conv_id", "role", "text")), strict=True):
                     head, body = np.frombuffer(segment(r), "<u4"), np.frombuffer(segment(t), "<u4")
                     ids.append(np.concatenate([[own["open"]], head, [own["body"]], body, [own["close"]]]).astype(np.int32))
                     begin.append(len(head) + 2)
                     size.append(len(ids[-1]))
+                    now, total = (c,), total if now == (c,) else 0
+                    before.append(total)
+                    total += size[-1]
                 flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *size]), pa.int32()), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("conv_id", "turn", "role", "text")), flat, pa.array(begin, pa.int32()), pa.array(size, pa.int32())], names=["conv_id", "turn", "role", "text", "ids", "begin", "size"])
-
-    coded = rows.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, begin int, size int")
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    placed = coded.withColumn("pos", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("pos", F.coalesce("pos", F.lit(0)).cast("long"))
+                numbers = [pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array([part] * len(size), pa.int32()), pa.array(before, pa.int64())]
+                yield pa.RecordBatch.from_arrays([some.column("conv_id"), some.column("role"), flat, *numbers], names=["conv_id", "role", "ids", "begin", "size", "part", "pos"])
+
+    added = saved(sorted_rows.mapInArrow(encode, "conv_id long, role string, ids array<int>, begin int, size int, part int, pos long"), "turns")
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = added.groupBy("conv_id", "part").agg(F.sum("size").alias("total")).withColumn("base", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    # Only stretches that begin within a conversation have something before them: one a task at most.
+    later = stretches.where("base > 0").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), "base")
+    placed = added.join(sent(later), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")), "left").withColumn("pos", F.col("pos") + F.coalesce("base", F.lit(0)))
 
     @resting
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
