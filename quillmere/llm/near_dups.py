@@ -19,7 +19,7 @@ A band's bucket is missed by a pair at similarity 0.8 with chance 1 - 0.8**ROWS,
 posterior bound drops such a pair with a chance of about 1e-6 (miss_chance). More similar pairs are lost less often.
 
 A class with very many partners (the centre of a star, a text copied with edits a million times) is joined last:
-the partners' sets and signatures travel once each, and the centre's own is not copied into the shuffle.
+the partners' sets and signatures travel once each, and the centre's own goes once to each PARTNERS of them.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ from .words import LOWER, NO_BLANK, find_words, hash_words, mix, shingles
 BANDS, ROWS = 40, 5
 BATCH = 20
 MISS = 1e-7
+#: A class with more partners than this meets them in several tasks, so many in each.
+PARTNERS = 1000
 
 _RNG = np.random.default_rng(8_191)
 _FACTORS = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -140,6 +142,16 @@ def oriented(pairs: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
+def meet(pairs: DataFrame, a_rows: DataFrame, b_rows: DataFrame) -> DataFrame:
+    """pairs (a, b) joined with a_rows by a, then with b_rows by b; the rows of a b with very many partners are
+    dealt over several tasks."""
+    hot = pairs.groupBy("b").count().where(F.col("count") > PARTNERS)  # a row for each PARTNERS pairs at most
+    hot = sent(saved(hot.select("b", F.ceil(F.col("count") / PARTNERS).cast("int").alias("deals")), "hot"))
+    dealt = pairs.join(hot, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"))
+    every = b_rows.join(hot, "b", "left").withColumn("deal", F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))).drop("deals")
+    return dealt.join(a_rows, "a").join(every, ["b", "deal"])
+
+
 def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss: float) -> DataFrame:
     """Pairs (a, b) whose posterior never fell below the bound; b is joined last."""
     least = least_matches(similarity, miss, BANDS * ROWS, BATCH)
@@ -159,7 +171,7 @@ def bayes_filter(pairs: DataFrame, classes: DataFrame, similarity: float, miss:
                 kept = pa.array(alive)
                 yield pa.RecordBatch.from_arrays([some.column("a").take(kept), some.column("b").take(kept)], names=["a", "b"])
 
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return meet(pairs, one, two).select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -187,7 +199,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     two = sets.select(F.col("doc_id").alias("b"), F.col("runs").alias("rb"))
     common = F.size(F.array_intersect("ra", "rb")).cast("long")
     union = F.size("ra") + F.size("rb") - common
-    found = saved(pairs.join(one, "a").join(two, "b").where(100 * common >= percent * union).select("a", "b").distinct(), "links")
+    found = saved(meet(pairs, one, two).where(100 * common >= percent * union).select("a", "b").distinct(), "links")
     dropped(sets)
     dropped(ids)
     return found
@@ -256,6 +268,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     shared = members.join(heads, "band").where("class_id <> rep").groupBy("class_id", "rep", "n").agg(F.count("*").alias("bands"))
     best = Window.partitionBy("class_id").orderBy(F.desc("bands"), "rep")
     stars = shared.join(sizes, "rep").where(fits).withColumn("place", F.row_number().over(best)).where("place = 1").select(F.col("class_id").alias("a"), F.col("rep").alias("b"))
+    stars = saved(stars, "meetings")
     tested = saved(bayes_filter(stars, classes, similarity, miss), "stars")
     links = [confirm(tested, rows, words, percent)]
 
@@ -268,7 +281,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     dropped(placed)
     pairs = rare_pairs(open_, rows, words, percent)
     before = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = saved(bayes_filter(oriented(pairs.join(before, ["a", "b"], "left_anti")), classes, similarity, miss), "rest")
+    untested = saved(oriented(pairs.join(before, ["a", "b"], "left_anti")), "untested")
+    rest = saved(bayes_filter(untested, classes, similarity, miss), "rest")
     links.append(confirm(rest, rows, words, percent))
 
     joined = saved(connected_components(reduce(DataFrame.unionByName, links)), "components")

@@ -54,7 +54,8 @@ def edited(rng, words, share):
 
 
 @pytest.mark.parametrize("k", [4, 5])
-def test_near_duplicates_against_brute_force(spark, k):
+def test_near_duplicates_against_brute_force(spark, monkeypatch, k):
+    monkeypatch.setattr(near_dups, "PARTNERS", 3)
     rng = random.Random(k)
     vocabulary = [f"w{i}" for i in range(400)]
     docs, common = [], [rng.choice(vocabulary) for _ in range(30)]
