@@ -124,11 +124,15 @@ def community_report(response: Column) -> Column:
 
 
 def commit_message(subject: Column, author: Column) -> Column:
-    """Subject and author on one line each, cut at 8 KiB; author's line ends are dropped."""
+    """Subject and author on one line each, author's line ends dropped. A message of more than 8 KiB is cut to
+    the longest run of whole characters that fits, and an ellipsis follows."""
     name = F.regexp_replace(F.coalesce(author, F.lit("")), r"[\r\n]", "")
     full = F.when(name != "", F.concat(subject, F.lit("\n\nAuthor: "), name)).otherwise(subject)
-    # A prefix of so many characters that its bytes fit whatever they are.
-    return F.when(F.octet_length(full) <= MESSAGE_MAX_BYTES, full).otherwise(F.concat(F.left(full, F.lit(MESSAGE_MAX_BYTES // 4 - 1)), F.lit("…")))
+    # The first bytes that fit; one to three of them may begin a character that does not.
+    data = F.substring(F.encode(full, "UTF-8"), 1, MESSAGE_MAX_BYTES + 1)
+    cuts = F.array(*(F.substring(data, 1, MESSAGE_MAX_BYTES - k) for k in range(4)))
+    whole = F.element_at(F.filter(cuts, lambda c: F.is_valid_utf8(c.cast("string"))), 1)
+    return F.when(F.octet_length(full) <= MESSAGE_MAX_BYTES, full).otherwise(F.concat(whole.cast("string"), F.lit("…")))
 
 
 def status_class(status: Column) -> Column:

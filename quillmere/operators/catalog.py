@@ -150,6 +150,12 @@ def activity_feed(notes: DataFrame, documents: DataFrame, limit: int = 20) -> Da
     return one.unionByName(two).orderBy(F.desc("happened_at"), "kind", "id").limit(limit)
 
 
+def palette(notes: DataFrame, documents: DataFrame, n: int = 5) -> DataFrame:
+    """kind, id, title: n hits among notes and n among documents (columns id, title, in order of id)."""
+    some = lambda rows, kind: rows.select(F.lit(kind).alias("kind"), "id", "title").orderBy("id").limit(n)
+    return some(notes, "note").unionByName(some(documents, "document"))
+
+
 def latency_histogram(events: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:
     """Cumulative bucket counts, sum and count of a measure, as a metrics page shows them."""
     buckets = [F.count(F.when(F.col(value) <= b, 1)).alias(f"le_{b:g}".replace(".", "_")) for b in bounds]

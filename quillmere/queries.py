@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived as d
+from . import query_tables, query_text  # noqa: F401  they enter their queries
 from .functions import text, vectors
 from .functions.chunking import chunk
 from .functions.html import links as html_links
@@ -15,23 +14,10 @@ from .functions.html import main_content
 from .operators import catalog, communities, extraction, fulltext, graph, merge, notes, vector_search
 from .plans import search
 from .providers import OfflineProvider
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .sources import web
 from .tables import cut
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _vector_zero(spark: SparkSession, sf_dir: str) -> list[float]:
     row = d.table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()
     return list(row[0])
@@ -216,10 +202,13 @@ def list_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.list_claims(d.claims(spark, sf_dir), "disputed").select("id", "doc_id")
 
 
-@query(f"WITH {d.DOCUMENTS_SQL} SELECT id FROM documents_ WHERE path NOT IN (SELECT path FROM documents_ WHERE doc_type = 'en')")
+@query(f"WITH {d.DOCUMENTS_SQL}, p AS (SELECT id, CASE CAST(id AS BIGINT) % 11 WHEN 0 THEN 'https://host/' || path WHEN 1 THEN '' ELSE path END AS path FROM documents_) SELECT id FROM p WHERE path <> '' AND NOT regexp_matches(path, '^https?://') AND path NOT IN (SELECT path FROM documents_ WHERE path LIKE 'src1%')")
 def prune_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the files only those of some sources are still there; web pages and empty paths are no files."""
     docs = d.documents(spark, sf_dir)
-    return merge.pruned(docs, docs.where("doc_type = 'en'"))
+    case = F.pmod(F.col("id").cast("long"), F.lit(11))
+    stored = docs.withColumn("path", F.when(case == 0, F.concat(F.lit("https://host/"), "path")).when(case == 1, "").otherwise(F.col("path")))
+    return merge.pruned(stored, docs.where("path LIKE 'src1%'"))
 
 
 @query(f"""WITH {d.DOCUMENTS_SQL}, files AS (SELECT source || '/' || CAST(doc_id % 10 AS VARCHAR) AS path, max(CASE WHEN doc_id % 3 = 0 THEN sha256(text || 'x') ELSE sha256(text) END) AS file_hash, max(doc_id) - 1 AS mtime FROM documents GROUP BY 1)
@@ -231,17 +220,34 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.classify_changes(d.documents(spark, sf_dir).where("doc_type <> 'fr'"), files).select("path", "change", "version")
 
 
-@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
-def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upsert of all events by user and type."""
+_STORED = "first AS (SELECT user_id, event_type, min(event_id) AS event_id, min_by(value, event_id) AS value FROM events WHERE event_id % 3 = 0 GROUP BY ALL)"
+
+
+def _stored_and_incoming(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A stored row for each user and type among a third of the events; the other events come in."""
     rows = d.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    return merge.upsert(rows.limit(0), rows, ["user_id", "event_type"], "event_id")
+    stored = rows.where("event_id % 3 = 0").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"), F.min_by("value", "event_id").alias("value"))
+    return stored, rows.where("event_id % 3 <> 0")
 
 
-@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 1")
+@query(f"WITH {_STORED}, new AS (SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT * FROM new UNION ALL SELECT * FROM first ANTI JOIN new USING (user_id, event_type)")
+def latest_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert of events by user and type over stored ones."""
+    stored, incoming = _stored_and_incoming(spark, sf_dir)
+    return merge.upsert(stored, incoming, ["user_id", "event_type"], "event_id")
+
+
+@query(f"WITH {_STORED}, new AS (SELECT user_id, event_type, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT user_id, event_type, n.event_id, coalesce(f.value, n.value) AS value FROM new n LEFT JOIN first f USING (user_id, event_type) UNION ALL SELECT * FROM first ANTI JOIN new USING (user_id, event_type)")
+def latest_wins_keeping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As latest_wins, with the stored rows' values kept."""
+    stored, incoming = _stored_and_incoming(spark, sf_dir)
+    return merge.upsert(stored, incoming, ["user_id", "event_type"], "event_id", keep_first=("value",))
+
+
+@query(f"WITH {_STORED}, new AS (SELECT user_id, event_type, min(event_id) AS event_id, min_by(value, event_id) AS value FROM events WHERE event_id % 3 <> 0 GROUP BY ALL) SELECT * FROM first UNION ALL SELECT * FROM new ANTI JOIN first USING (user_id, event_type)")
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = d.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    return merge.insert_or_ignore(rows.limit(0), rows, ["user_id", "event_type"], "event_id")
+    stored, incoming = _stored_and_incoming(spark, sf_dir)
+    return merge.insert_or_ignore(stored, incoming, ["user_id", "event_type"], "event_id")
 
 
 @query("SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.m IS NULL THEN 'added' WHEN b.m IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT user_id, max(event_id) AS m FROM events WHERE event_type = 'click' GROUP BY 1) a FULL JOIN (SELECT user_id, max(event_id) AS m FROM events WHERE event_type <> 'click' GROUP BY 1) b USING (user_id) WHERE a.m IS DISTINCT FROM b.m")
@@ -311,12 +317,17 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.page_documents(d.table(spark, sf_dir, "pages")).select("path", "title", F.char_length("content").alias("chars"), "file_hash")
 
 
-@query()
+@query("""SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/]+') || split_part(split_part(h, '#', 1), '?', 1) AS link
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM pages) WHERE h LIKE '/%'""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.table(spark, sf_dir, "pages").select("page_id", F.explode(html_links(F.col("html"), F.col("url"))).alias("link"))
 
 
-@query()
+@query("""WITH p AS (SELECT split_part(url, '?', 1) AS url, html FROM pages),
+    l AS (SELECT DISTINCT url AS source, regexp_extract(url, '^https?://[^/]+') || split_part(split_part(h, '#', 1), '?', 1) AS target FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS h FROM p) WHERE h LIKE '/%'),
+    d0 AS (SELECT split_part(url, '?', 1) AS url FROM pages ORDER BY page_id LIMIT 1),
+    d1 AS (SELECT target AS url FROM l JOIN d0 ON source = url), d2 AS (SELECT target AS url FROM l JOIN d1 ON source = url), d3 AS (SELECT target AS url FROM l JOIN d2 ON source = url)
+    SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT url, 0 AS depth FROM d0 UNION ALL SELECT url, 1 FROM d1 UNION ALL SELECT url, 2 FROM d2 UNION ALL SELECT url, 3 FROM d3) GROUP BY url ORDER BY 2, 1 LIMIT 500""")
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breadth first over the pages' links from the first page, 500 at most."""
     pages = d.table(spark, sf_dir, "pages")
