@@ -107,6 +107,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op3_minhash_near_dups": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, hash(array_to_string(w[p : p + 3], ' ')) AS run FROM w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS u(p) WHERE len(w) > 0
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        sets AS (SELECT doc_id, n, list_sort(list(run)) AS runs FROM s JOIN n USING (doc_id) GROUP BY ALL),
+        named AS (SELECT n, runs, min(doc_id) AS class_id FROM sets GROUP BY ALL),
+        member AS (SELECT doc_id, class_id FROM sets JOIN named USING (n, runs)),
+        posted AS (SELECT s.doc_id, run, n FROM s JOIN n USING (doc_id) SEMI JOIN named ON named.class_id = s.doc_id),
+        common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c FROM posted a JOIN posted b ON a.run = b.run AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+        linked AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (total - c)),
+        arcs AS (SELECT a AS x, b AS y FROM linked UNION ALL SELECT b, a FROM linked),
+        reach AS (SELECT DISTINCT x AS start, x AS at FROM arcs UNION SELECT start, y FROM reach JOIN arcs ON x = at),
+        least_of AS (SELECT start AS class_id, min(at) AS component_id FROM reach GROUP BY start)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, m.class_id, d.doc_id) AS component_id, d.doc_id = coalesce(l.component_id, m.class_id, d.doc_id) AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN member m USING (doc_id) LEFT JOIN least_of l USING (class_id)
+    """,
     "op4_compacted_shards": """
         SELECT doc_id, CAST(coalesce(((doc_id % 16) + 16) % 16, 0) AS INTEGER) AS arrival,
                octet_length(encode(text)) AS text_bytes, sha256(text) AS text_sha256, lang, source, n_chars
