@@ -120,8 +120,8 @@ ORACLES: dict[str, str] = {
         common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n + b.n AS total, count(*) AS c FROM posted a JOIN posted b ON a.run = b.run AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
         linked AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (total - c)),
         arcs AS (SELECT a AS x, b AS y FROM linked UNION ALL SELECT b, a FROM linked),
-        reach AS (SELECT DISTINCT x AS start, x AS at FROM arcs UNION SELECT start, y FROM reach JOIN arcs ON x = at),
-        least_of AS (SELECT start AS class_id, min(at) AS component_id FROM reach GROUP BY start)
+        reach AS (SELECT DISTINCT x AS first, x AS met FROM arcs UNION SELECT first, y FROM reach JOIN arcs ON x = met),
+        least_of AS (SELECT first AS class_id, min(met) AS component_id FROM reach GROUP BY first)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(l.component_id, m.class_id, d.doc_id) AS component_id, d.doc_id = coalesce(l.component_id, m.class_id, d.doc_id) AS kept
         FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN member m USING (doc_id) LEFT JOIN least_of l USING (class_id)
     """,
