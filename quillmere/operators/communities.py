@@ -38,26 +38,30 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS,
         return labels
     arcs = cut(edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "weight").select("e.node", "e.other", "weight"), "arcs")
     strength = cut(edges.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k")), "strength")
-    best, best_q, still = labels, modularity(edges, labels, total), 0
-    for sweep in range(sweeps):
-        sizes = labels.join(strength, "node").groupBy("label").agg(F.sum("k").alias("tot"))
-        links = arcs.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("inside"))
+    loops = edges.where("a = b").agg(F.sum("weight")).first()[0] or 0.0
+    best, best_q, still = labels, float("-inf"), 0
+    for sweep in range(sweeps + 1):
         own = labels.join(strength, "node").select("node", F.col("label").alias("own"), "k")
+        sizes = own.groupBy(F.col("own").alias("label")).agg(F.sum("k").alias("tot"))
+        links = arcs.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("inside"))
         # A node may stay although it has no link inside its community.
         options = links.join(own, "node").unionByName(own.select("node", F.col("own").alias("label"), F.lit(0.0).alias("inside"), "own", "k")).groupBy("node", "label", "own", "k").agg(F.max("inside").alias("inside")).join(sizes, "label")
+        options = cut(options, "options")
+        # The labelling's modularity, from the rows of the nodes' own communities.
+        facts = options.where("label = own").agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares")).first()
+        q = (facts["inside"] / 2 + loops) / total - facts["squares"] / (4 * total * total)
+        if q > best_q + 1e-12:
+            best, best_q, still = labels, q, 0
+        else:
+            still += 1
+        if still >= patience or sweep == sweeps:
+            break
         rest = F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("inside") - rest * F.col("k") / (2 * total), 9)
-        chosen = options.groupBy("node").agg(F.max(F.struct(gain.alias("gain"), (F.col("label") == F.col("own")).alias("stays"))).alias("top"), F.collect_list(F.struct(gain.alias("gain"), "label")).alias("all"))
-        target = F.array_min(F.transform(F.filter("all", lambda x: x["gain"] == F.col("top.gain")), lambda x: x["label"]))
-        moves = chosen.where("not top.stays").where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).select("node", target.alias("to"))
-        moved = cut(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label"), F.col("to").isNotNull().alias("moved")), "labels")
-        q = modularity(edges, moved, total)
-        still = 0 if q > best_q + 1e-12 else still + 1
-        labels = moved.select("node", "label")
-        if q > best_q:
-            best, best_q = labels, q
-        if still >= patience:
-            break
+        # The highest gain, staying before moving, the smallest label.
+        chosen = options.groupBy("node").agg(F.min(F.struct((F.lit(0.0) - gain).alias("loss"), (F.col("label") != F.col("own")).alias("moves"), "label")).alias("top"))
+        moves = chosen.where("top.moves").where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).select("node", F.col("top.label").alias("to"))
+        labels = cut(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
     return best
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_phrases
+from ..tables import cut
 
 #: Fixed values of the ranking.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -42,8 +43,9 @@ def _occurrences(column: str, phrase: list[str]) -> str:
 
 def search(index: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     """key, title, snippet, tags, rank of notes that have every phrase of the query in some column; rank is minus
-    BM25, ascending, ties by key. A blank query has no hits. Document counts of phrases, the number of notes
-    and their mean length are one aggregate; scoring is one scan with a top-k."""
+    BM25, ascending, ties by key. A blank query has no hits. One pass over the notes keeps each note's counts of
+    phrases and its length, a few numbers; statistics, scores and the top-k come from these, and only the hits'
+    texts are read again."""
     spark = index.sparkSession
     plain = query.lower().translate(str.maketrans(MARKED, PLAIN))
     import regex
@@ -53,7 +55,7 @@ def search(index: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
         return index.limit(0).select("key", "title", F.lit("").alias("snippet"), "tags", F.lit(0.0).alias("rank"))
     counts = {f"tf{i}": F.expr(" + ".join(_occurrences(c, p) for c in ("w_title", "w_content", "w_tags"))) for i, p in enumerate(phrases)}
     length = F.size("w_title") + F.size("w_content") + F.size("w_tags")
-    counted = index.withColumns(counts | {"dl": length})
+    counted = cut(index.select("key", length.alias("dl"), *(c.cast("long").alias(name) for name, c in counts.items())), "counts")
     facts = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), *(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for i in range(len(phrases)))).first()
     if not facts["n"]:
         return spark.createDataFrame([], "key string, title string, snippet string, tags string, rank double")
@@ -65,7 +67,8 @@ def search(index: DataFrame, query: str, limit: int = LIMIT) -> DataFrame:
     every = F.lit(True)
     for i in range(len(phrases)):
         every = every & (F.col(f"tf{i}") > 0)
-    hits = counted.where(every).select("key", "title", "content", "tags", (-score).alias("rank")).orderBy("rank", "key").limit(limit)
+    best = cut(counted.where(every).select("key", (-score).alias("rank")).orderBy("rank", "key").limit(limit), "best")
+    hits = index.join(F.broadcast(best), "key").orderBy("rank", "key").limit(limit)  # `limit` rows
     return hits.select("key", "title", snippet(F.col("content"), [p[0] for p in phrases]).alias("snippet"), "tags", "rank")
 
 

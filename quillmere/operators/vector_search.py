@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine_similarity, query_similarity
-from ..tables import cut
+from ..tables import cut, scratch
 from .catalog import chunk_embeddings, dominant_model
 
 
@@ -57,39 +60,48 @@ def build(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
 class CellIndex:
     """Vectors dealt to the nearest of `cells` centres; a search reads the `probes` cells nearest the query and
     ranks their vectors exactly. Centres come from k-means on a sample of at most `sample` vectors; every
-    vector is in the index. Written by cell, so that a search prunes all other files."""
+    vector is in the index. It is written by cell, so that a search reads the files of its cells only, and can
+    be opened again from its folder."""
 
-    def __init__(self, centres: np.ndarray, rows: DataFrame, vector: str = "vector", key: str = "id"):
-        self.centres, self.rows, self.vector, self.key = centres, rows, vector, key
+    def __init__(self, folder: str, centres: np.ndarray, rows: DataFrame, vector: str, key: str):
+        self.folder, self.centres, self.rows, self.vector, self.key = folder, centres, rows, vector, key
 
     @classmethod
-    def build(cls, rows: DataFrame, cells: int, key: str = "id", vector: str = "vector", sample: int = 20_000, rounds: int = 8) -> CellIndex:
+    def build(cls, rows: DataFrame, cells: int, key: str = "id", vector: str = "vector", folder: str | None = None, sample: int = 20_000, rounds: int = 8) -> CellIndex:
+        """Written to `folder` (default: a new one in the shared folder), which must not be there yet."""
+        spark = rows.sparkSession
+        folder = folder or scratch(spark, "cells")
         some = rows.where(F.size(vector) > 0).orderBy(F.xxhash64(key), key).limit(sample).select(vector).collect()
-        x = _unit(np.array([r[0] for r in some], float))
+        x = _unit(np.array([r[0] for r in some], float).reshape(len(some), -1))
         centres = x[:cells].copy()
         for _ in range(rounds):
+            if not len(x):
+                break
             nearest = np.argmax(x @ centres.T, axis=1)
             total = np.zeros_like(centres)
             np.add.at(total, nearest, x)
             there = np.bincount(nearest, minlength=len(centres)) > 0
             centres[there] = _unit(total[there])
-        scores = F.array(*(query_similarity(F.col(vector), c.tolist()) for c in centres)) if len(centres) <= 64 else None
-        if scores is not None:
-            cell = F.array_position(scores, F.array_max(scores)).cast("int") - 1
-        else:
-            import pandas as pd
 
-            @F.pandas_udf("int")
-            def nearest_cell(vectors: pd.Series) -> pd.Series:
-                return pd.Series(np.argmax(_unit(np.stack(vectors.to_numpy()).astype(float)) @ centres.T, axis=1).astype("int32")) if len(vectors) else pd.Series([], dtype="int32")
+        @F.pandas_udf("int")
+        def nearest_cell(vectors: pd.Series) -> pd.Series:
+            return pd.Series(np.argmax(_unit(np.stack(vectors.to_numpy()).astype(float)) @ centres.T, axis=1).astype("int32")) if len(vectors) else pd.Series([], dtype="int32")
+
+        dealt = rows.where(F.size(vector) > 0).withColumn("cell", nearest_cell(F.col(vector)))
+        dealt.write.partitionBy("cell").parquet(f"{folder}/rows")
+        spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.parquet(f"{folder}/centres")
+        return cls.open(spark, folder, key, vector, dealt.schema)
 
-            cell = nearest_cell(F.col(vector))
-        return cls(centres, rows.where(F.size(vector) > 0).withColumn("cell", cell), vector, key)
+    @classmethod
+    def open(cls, spark, folder: str, key: str = "id", vector: str = "vector", schema=None) -> CellIndex:
+        found = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return cls(folder, np.array([r["centre"] for r in found], float).reshape(len(found), -1), reader.parquet(f"{folder}/rows"), vector, key)
 
     def search(self, query: list[float], k: int, probes: int) -> DataFrame:
-        if len(query) != self.centres.shape[1]:
+        if len(self.centres) and len(query) != self.centres.shape[1]:
             raise DimensionError(f"the index has {self.centres.shape[1]} components")
-        order = np.argsort(-(self.centres @ _unit(np.array([query], float))[0]), kind="stable")[:probes]
+        order = np.argsort(-(self.centres @ _unit(np.array([query], float))[0]), kind="stable")[:probes] if len(self.centres) else []
         return top_k(self.rows.where(F.col("cell").isin([int(c) for c in order])), query, k, self.vector, self.key)
 
 
@@ -109,10 +121,6 @@ def grouped_top_k(queries: DataFrame, rows: DataFrame, k: int, by: str) -> DataF
 
 def embed_rows(rows: DataFrame, text: str, provider, batch_size: int = 20) -> DataFrame:
     """With `vector`, from a provider called by the tasks for batches no larger than it takes, in order."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
     limit = max(1, min(batch_size, provider.batch_ceiling()))
 
     @F.pandas_udf("array<float>")

@@ -6,11 +6,14 @@ stored, so that a filter on it prunes files.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DOCUMENTS = "id string, path string, title string, doc_type string, file_hash string, structured string, version int, canonical_id string, is_latest boolean, indexed_mtime long, created_at long, updated_at long"
 CHUNKS = "id string, doc_id string, chunk_index int, content string, token_count int, metadata string"
@@ -29,54 +32,94 @@ SCHEMAS = {
     "claims": CLAIMS, "communities": COMMUNITIES, "community_members": MEMBERS, "projects": PROJECTS, "notes": NOTES, "history": HISTORY,
 }
 
-#: Tables of so many rows at most are sent to every task; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
 def shared_root(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session of one process (tests)
+    gets a folder of its own; on a cluster that is an error, for no local folder would do."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quillmere-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_root(spark)}/quillmere/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write and read back: cuts the lineage of a loop, and survives lost executors."""
-    path = f"{shared_root(df.sparkSession)}/quillmere/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables of so many rows and bytes at most are sent to every task; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About the bytes that a value takes as a row's field."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(column, F.lit(16).cast("long"), lambda total, x: total + _bytes(x, kind.elementType)), F.lit(16))
+    if isinstance(kind, T.StructType):
+        return reduce(lambda total, f: total + _bytes(column[f.name], f.dataType), kind.fields, F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
 def sent(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if its size, which is counted, allows that."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """Marked for broadcast if its rows and bytes, which are counted, allow that."""
+    size = reduce(lambda total, f: total + _bytes(F.col(f"`{f.name}`"), f.dataType), table.schema.fields, F.lit(16).cast("long"))
+    found = table.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).first()
+    return F.broadcast(table) if found["rows"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES else table
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
 
 
-def load(spark: SparkSession, folder: str, name: str, project: str | None = None) -> DataFrame:
-    """A stored table, of one project if given (partition pruning); empty if it was never written."""
-    path = f"{folder}/{name}"
+def _versions(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """Complete versions of a stored table, ascending: those whose job put its mark of success."""
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return []
+    numbers = [s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().isdigit()]
+    return sorted(int(n) for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{n}/_SUCCESS")))
+
+
+def load(spark: SparkSession, folder: str, name: str, project: str | None = None) -> DataFrame:
+    """The last complete version of a stored table, of one project if given (partition pruning); empty if it was
+    never written."""
+    versions = _versions(spark, folder, name)
+    if not versions:
         return empty(spark, name)
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+    df = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}/{versions[-1]:08d}")
     if project is not None and "project" in df.columns:
         df = df.where(F.col("project") == project).drop("project")
     return df
 
 
-def store(df: DataFrame, folder: str, name: str) -> None:
-    """Replace a stored table. The new rows are written beside it first, so they may be computed from it."""
+def store(df: DataFrame, folder: str, name: str, keep: int = 2) -> int:
+    """Write a new version of a table, which may be computed from the last one, and return its number. Readers
+    see the old version until the new one is complete, whatever happens in between; the last `keep` versions
+    stay for those who read them."""
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{folder}/.{name}-{uuid.uuid4().hex[:8]}"), jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs = old.getFileSystem(conf)
+    jvm = spark.sparkContext._jvm
+    versions = _versions(spark, folder, name)
+    number = versions[-1] + 1 if versions else 1
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{number:08d}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    while fs.exists(at):  # left by a writer that was lost
+        number += 1
+        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{number:08d}")
     writer = df.write
-    (writer.partitionBy("project") if "project" in df.columns else writer).parquet(new.toString())
-    fs.delete(old, True)
-    fs.rename(new, old)
+    (writer.partitionBy("project") if "project" in df.columns else writer).parquet(f"{folder}/{name}/{number:08d}")
+    for old in [*versions, number][:-keep]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{old:08d}"), True)
+    return number

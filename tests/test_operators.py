@@ -2,11 +2,12 @@
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from quillmere import queries
+from quillmere import queries, tables
 from quillmere.functions import chunking, text
-from quillmere.operators import communities, extraction, graph
+from quillmere.operators import communities, extraction, graph, vector_search
 from quillmere.providers import OfflineProvider
 
 EDGES = "id string, source_id string, target_id string, weight double, doc_id string"
@@ -22,8 +23,8 @@ def test_wikilinks(spark):
 
 
 def test_keys(spark):
-    bad = ["", "..", "../etc", "foo/../bar", "/abs", "back\\slash", "./x", "x/", "k" * 513]
-    good = ["a", "foo/bar", "ünï", "k" * 512]
+    bad = ["", ".", "up/../down", "a//b", "/from/root", "w\\in", "nul\0", "end/", "é" * 257, None]
+    good = ["n", "deep/er/note", "größe", "...", "é" * 256]
     rows = spark.createDataFrame([(k, k in good) for k in bad + good], "k string, ok boolean")
     assert rows.where(F.coalesce(text.valid_key(F.col("k")), F.lit(False)) != F.col("ok")).count() == 0
 
@@ -43,13 +44,13 @@ def test_chunk_nulls_and_order(spark):
 
 
 def test_scoped_walk(spark):
-    edges = spark.createDataFrame([("rA1", "e1", "e2", 1.0, "docA"), ("rA2", "e2", "e3", 1.0, "docA"), ("rB1", "e1", "e4", 1.0, "docB")], EDGES)
-    start = spark.createDataFrame([("e1",)], "id string")
-    scope = spark.createDataFrame([("docA",)], "doc_id string")
+    edges = spark.createDataFrame([("near", "me", "you", 1.0, "here"), ("far", "you", "them", 1.0, "here"), ("aside", "me", "it", 1.0, "there")], EDGES)
+    start = spark.createDataFrame([("me",)], "id string")
+    scope = spark.createDataFrame([("here",)], "doc_id string")
     ids = lambda frame: {r["id"] for r in frame.collect()}
-    assert ids(graph.walk(edges, start, 2)) == {"rA1", "rA2", "rB1"}
-    assert ids(graph.walk(edges, start, 2, scope)) == {"rA1", "rA2"}
-    assert ids(graph.walk(edges, start, 1, scope)) == {"rA1"}
+    assert ids(graph.walk(edges, start, 2)) == {"near", "far", "aside"}
+    assert ids(graph.walk(edges, start, 2, scope)) == {"near", "far"}
+    assert ids(graph.walk(edges, start, 1, scope)) == {"near"}
     assert ids(graph.walk(edges, start, 2, scope.limit(0))) == set()
 
 
@@ -97,3 +98,67 @@ def test_extracted_graph_against_brute_force(spark, monkeypatch):
     assert len(rows) == len(want) and len({r["predicate"] for r in rows}) == 1
     assert {(r["source_id"], r["target_id"], r["doc_id"]) for r in rows} == want
     assert {r["doc_id"] for r in rows} >= {"0", "5", "6"}
+
+
+def test_stored_versions(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    assert tables.load(spark, folder, "projects").count() == 0
+    rows = spark.createDataFrame([("a", "A", None, 1)], tables.PROJECTS)
+    assert tables.store(rows, folder, "projects") == 1
+    more = tables.load(spark, folder, "projects").unionByName(spark.createDataFrame([("b", "B", None, 2)], tables.PROJECTS))
+    assert tables.store(more, folder, "projects") == 2  # computed from what it replaces
+    (tmp_path / "projects" / "00000003").mkdir()  # a writer lost half-way
+    assert tables.load(spark, folder, "projects").count() == 2
+    assert tables.store(rows, folder, "projects") == 4
+    assert tables.load(spark, folder, "projects").count() == 1
+    assert sorted(p.name for p in (tmp_path / "projects").iterdir()) == ["00000002", "00000003", "00000004"]
+
+
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
+    rows = spark.range(100).selectExpr("id", "array('x', repeat('y', 1000)) AS words", "struct(id AS n, 'z' AS t) AS s")
+    hinted = lambda frame: "hint" in frame._jdf.queryExecution().logical().toString().lower()
+    assert hinted(tables.sent(rows))
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", 50_000)
+    assert not hinted(tables.sent(rows)) and hinted(tables.sent(rows.limit(10)))
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 5)
+    assert not hinted(tables.sent(rows.limit(10)))
+
+
+def test_cell_index_recall(spark):
+    """Against brute force: clustered vectors, of whose 32 cells 8 are read; opened again from its folder."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 4000)] + 0.7 * rng.normal(size=(4000, 32))
+    rows = spark.createDataFrame([(f"{i:05}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    built = vector_search.CellIndex.build(rows, 32)
+    index = vector_search.CellIndex.open(spark, built.folder)
+    assert index.rows.count() == 4000
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 4000, 200):
+        found = index.search(x[q].tolist(), 10, 8)
+        hits += len({int(r["id"]) for r in found.collect()} & set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()))
+    assert hits >= 0.95 * 20 * 10
+    assert "PartitionFilters: [" in found._jdf.queryExecution().toString() and "cell" in found._jdf.queryExecution().toString().split("PartitionFilters: [")[1][:200]
+
+
+def test_modularity_of_communities(spark):
+    """Six cliques of six in a ring: Louvain finds them, and its modularity is that of plain arithmetic."""
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "abcdef" for i in range(6) for j in range(i)] + [(f"{c}0", f"{e}1") for c, e in zip("abcdef", "bcdefa")]
+    edges = spark.createDataFrame([(f"r{i}", a, b, 1.0, "d") for i, (a, b) in enumerate(pairs)], EDGES)
+    labels = {r["entity_id"]: r["label"] for r in communities.louvain(edges).where("level = 0").collect()}
+    assert all(labels[f"{c}{i}"] == f"{c}0" for c in "abcdef" for i in range(6))
+    total = len(pairs)
+    want = sum(labels[a] == labels[b] for a, b in pairs) / total - sum((sum((labels[a] == c) + (labels[b] == c) for a, b in pairs) / (2 * total)) ** 2 for c in set(labels.values()))
+    named = spark.createDataFrame(list(labels.items()), "node string, label string")
+    got = communities.modularity(graph.edge_weights(edges), named, float(total))
+    assert abs(got - want) < 1e-9 and got > 0.7
+
+
+def test_commit_messages_at_the_limit(spark):
+    for filler in ("x", "é", "漢", "😀"):
+        for shift in range(4):
+            full = "a" * shift + filler * 9000
+            made = spark.createDataFrame([(full,)], "v string").select(text.commit_message(F.col("v"), F.lit(None).cast("string")).alias("m")).first()["m"]
+            assert made.endswith("…") and full.startswith(made[:-1]) and 8189 <= len(made[:-1].encode()) <= 8192
+    assert one(spark, "x" * 8192, lambda c: text.commit_message(c, F.lit(""))) == "x" * 8192
