@@ -1,21 +1,17 @@
-"""Helpers shared by the operators: shared scratch tables and Arrow batch slicing."""
+"""Helpers shared by the operators: memory given back by tasks, folders, and Arrow batch slicing."""
 
 from __future__ import annotations
 
 import ctypes
 import functools
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, SparkSession
 
+from ..tables import cut as saved
+from ..tables import scratch, sent  # noqa: F401  the operators take them from here
 from .tokens import trim_caches
 
 
@@ -37,30 +33,6 @@ def resting(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a session of one process (tests)
-    gets a folder of its own; on a cluster that is an error, for no local folder would do."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quillmere-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_root(spark)}/quillmere/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(df: DataFrame) -> None:
     """Delete the files behind a table made by saved(); nothing may read it afterwards."""
     spark = df.sparkSession
@@ -69,28 +41,6 @@ def dropped(df: DataFrame) -> None:
         remove(spark, folder)
 
 
-#: Tables of so many rows and bytes at most are sent to every task; larger ones are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
-
-
-def _bytes(column: Column, kind: T.DataType) -> Column:
-    """About the bytes that a value takes as a row's field."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + 16
-    if isinstance(kind, T.ArrayType):
-        return F.coalesce(F.aggregate(column, F.lit(16).cast("long"), lambda total, x: total + _bytes(x, kind.elementType)), F.lit(16))
-    if isinstance(kind, T.StructType):
-        return reduce(lambda total, f: total + _bytes(column[f.name], f.dataType), kind.fields, F.lit(16).cast("long"))
-    return F.lit(8).cast("long")
-
-
-def sent(table: DataFrame) -> DataFrame:
-    """Marked for broadcast if its rows and bytes, which are counted, allow that."""
-    size = reduce(lambda total, f: total + _bytes(F.col(f"`{f.name}`"), f.dataType), table.schema.fields, F.lit(16).cast("long"))
-    found = table.select(size.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).first()
-    return F.broadcast(table) if found["rows"] <= BROADCAST_ROWS and (found["bytes"] or 0) <= BROADCAST_BYTES else table
-
-
 def make_folder(spark: SparkSession, path: str) -> None:
     """So that a reader finds an empty folder where nothing was written."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
