@@ -44,7 +44,9 @@ WIDTHS = 60 // COUNTS
 #: A file is closed once it holds so many ids (about 20 MB).
 FILE_IDS = 8_000_000
 #: Encoded pieces that a task keeps, twice at most (about 600 bytes each); nothing else runs beside it.
-ROOM = 400_000
+ROOM = 200_000
+#: Texts encoded at once hold about so many bytes: the more, the fewer lookups of the same word.
+SLICE_BYTES = 1 << 23
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +173,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
                 keys, coded, held, seq = [], [], 0, seq + 1
 
         for batch in batches:
-            for some in text_slices(batch):
-                for k, ids in zip(some.column("doc_id").to_pylist(), cache.encode(some.column("text").to_pylist()), strict=True):
+            for some in text_slices(batch, limit=SLICE_BYTES):
+                for k, ids in zip(some.column("doc_id").to_pylist(), cache.encode_array(some.column("text")), strict=True):
                     keys.append(k)
                     coded.append(ids + end)
                     held += len(ids) // 4 + len(end) // 4

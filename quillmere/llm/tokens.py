@@ -6,6 +6,8 @@ each piece is encoded once and its ids are reused. Texts with any rarer white sp
 next to which that rule could differ between libraries, are encoded whole by the tokenizers library, and
 so are pieces with characters from U+0180 on or with the string of a special token. The other pieces go
 through tiktoken's merge loop with the ranks of the same vocabulary, which gives the same ids faster.
+With the vocabulary that drops white space, pieces are words, and a slice of a column is encoded at once
+(`encode_array`).
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Blanks after which, or before which, a cut is not provably neutral: these texts are not cut.
@@ -77,7 +81,11 @@ class WordCache:
         self.ranked = all(x < y for x, y in zip(order, order[1:], strict=False)) and all(bytes([b]) in ranks for b in range(256))
         self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if self.ranked else None
         if self.words:
+            # One call merges many words: a line each, every part of a word closed by character 0.
+            self.merge_lines = tiktoken.Encoding("lines", pat_str=r"\n|[^\x00\n]+\x00", mergeable_ranks=ranks, special_tokens={}).encode_ordinary if self.ranked else None
+            self.line = ranks.get(b"\n")
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+            self.close = regex.compile(r"(?:'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)").sub
         else:
             self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
         self.known: dict[str, bytes] = {}
@@ -99,6 +107,67 @@ class WordCache:
             ids += self.merge(part + self.end)
         return np.array(ids, "<u4").tobytes()
 
+    def fresh_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words not met before: plain ones in one call, the others by the tokenizers library."""
+        def merged(text: str) -> bool:
+            return self.merge is not None and _PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
+
+        # Ends of lines are plain too, so all words may be tested at once.
+        plain = [True] * len(words) if merged("\n".join(words)) else [merged(w) for w in words]
+        lines = [w for w, p in zip(words, plain, strict=True) if p]
+        coded = iter(())
+        if lines:
+            ids = np.array(self.merge_lines(self.close("\\g<0>\0", "\n".join(lines).lower() + "\n")), "<u4")
+            ends = np.flatnonzero(ids == self.line)
+            data, stops = ids.tobytes(), (4 * ends).tolist()
+            coded = iter([data[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops, strict=False)])
+        others = iter(self.raw([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(coded) if p else next(others) for p in plain]
+
+    def lookup_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache where it has them."""
+        found = [self.known.get(w) for w in words]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = []
+        for i in missing:
+            found[i] = self.older.get(words[i])
+            if found[i] is None:
+                new.append(i)
+        for i, ids in zip(new, self.fresh_words([words[i] for i in new]), strict=True):
+            found[i] = ids
+        for i in missing:
+            if len(words[i]) <= CACHE_PIECE_CHARS:
+                if len(self.known) >= self.room:
+                    self.known, self.older = {}, self.known
+                self.known[words[i]] = found[i]
+        return found
+
+    def encode_array(self, texts: pa.Array) -> list[bytes]:
+        """encode() of a slice of a column without nulls. With a vocabulary that drops white space, the slice's
+        distinct words are looked up once each and their ids gathered."""
+        if not self.words:
+            return self.encode(texts.to_pylist())
+        as_str = texts.to_pylist()
+        rare = [i for i, text in enumerate(as_str) if _RARE_BLANKS.search(text)]
+        whole = dict(zip(rare, self.raw([as_str[i] for i in rare]), strict=True))
+        if rare:
+            texts = pa.array(["" if i in whole else text for i, text in enumerate(as_str)], texts.type)
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        parts = self.lookup_words(coded.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.array([len(p) for p in parts], np.int64) // 4
+        at = coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        place = np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - counts), counts)
+        place += np.arange(len(place))
+        data = ids[place].tobytes()
+        # Lists of a sliced array start at their own offset.
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        stops = (4 * np.concatenate([[0], ends])[offsets - offsets[0]]).tolist()
+        return [whole[i] if i in whole else data[a:b] for i, (a, b) in enumerate(zip(stops, stops[1:], strict=False))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         known, out = self.known, []
         for text in texts:

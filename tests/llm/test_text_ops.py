@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -91,6 +92,17 @@ def test_simple8b_round_trip(values):
     assert (keys, starts.tolist(), back.tolist()) == ([5, None], [0, len(ids), len(ids)], values)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="aAbZ 19'.!\t\n\r\x00\x0b\x1c\xa0éÉßſİı\u0130\u2003漢😀<|>", max_size=40), max_size=8), st.integers(1, 50))
+def test_words_of_a_column_as_the_library_encodes_them(texts, room):
+    texts = [*texts, *(t for t in TEXTS if t is not None and len(t) < 100), "isn't WE'LL <|endoftext|> y", *texts]
+    cache = tokens.word_cache(WORDS, room)
+    cache.trim()
+    for column in (pa.array(texts, pa.string()), pa.array(["other", *texts, "more"], pa.large_string()).slice(1, len(texts))):
+        assert cache.encode_array(column) == cache.raw(texts)
+    assert cache.encode_array(pa.array([], pa.string())) == []
+
+
 def test_token_file_damage_is_seen():
     data = bytearray(token_files.to_bytes([1], [np.arange(100, dtype="<u4").tobytes()]))
     data[60] ^= 1
