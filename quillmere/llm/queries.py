@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licenses, near_dups, permutation_index, shards, token_files, toxicity, warc
+from . import alignment, bpe, chat, decontaminate, licenses, merkle, near_dups, permutation_index, shards, simhash, token_files, toxicity, warc
 from ._spark import saved, scratch
 
 
@@ -92,6 +92,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two tokenizers aligned over all documents."""
+    return alignment.align(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))[0]
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and their check where a fifth of them is lower-cased."""
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    found = merkle.manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], group="source", order="doc_id", changed=tampered)
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose SimHash fingerprints differ in at most 4 bits."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_permutation_index": op2_permutation_index,
@@ -103,10 +120,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_simhash_near_dups": op13_simhash_near_dups,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op12_merkle_manifest": r"""
+        WITH RECURSIVE given AS (
+            SELECT *, regexp_extract_all(CAST(doc_id AS VARCHAR), '.') AS digits,
+                   concat_ws('', coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                             coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+                   coalesce(strlen(text) || ':' || text, '-') AS tail
+            FROM documents
+        ), summed AS (  -- CRC-32, bit by bit
+            SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(digits, lambda d: CAST(ascii(d) AS BIGINT))),
+                       lambda c, d: list_reduce(list_prepend(xor(c, d), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+            FROM given
+        ), leaves AS (
+            SELECT doc_id, source, sha256(head || tail) AS h,
+                   CASE WHEN crc % 5 = 0 THEN sha256(head || translate(tail, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) ELSE sha256(head || tail) END AS other
+            FROM summed
+        ), placed AS (
+            SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS idx,
+                   count(*) OVER (PARTITION BY source) AS n
+            FROM leaves
+        ), nodes AS (
+            SELECT 0 AS level, tree, idx, n, h FROM placed
+            UNION ALL
+            SELECT level + 1, tree, idx // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, tree, idx // 16
+        ), subroots AS (SELECT tree, h AS subroot FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 1000 AS level, tree AS idx, (SELECT count(*) FROM subroots) AS n, subroot AS h FROM subroots
+            UNION ALL
+            SELECT level + 1, idx // 16, any_value((n + 15) // 16), sha256(string_agg(h, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY level, idx // 16
+        ), every AS (SELECT * FROM nodes WHERE n > 1 UNION ALL SELECT level, -1, idx, n, h FROM tops WHERE n > 1),
+        sides AS (
+            SELECT level, tree, idx, n, coalesce(string_agg(h, '' ORDER BY idx) OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                   coalesce(string_agg(h, '' ORDER BY idx) OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+            FROM every WINDOW run AS (PARTITION BY level, tree, idx // 16 ORDER BY idx)
+        ), inside AS (
+            SELECT tree, idx AS doc_idx, 0 AS level, idx, other AS held, '' AS proof FROM placed
+            UNION ALL
+            SELECT w.tree, doc_idx, w.level + 1, w.idx // 16, sha256(s.l || held || s.r), proof || s.l || s.r FROM inside w JOIN sides s ON s.tree = w.tree AND s.level = w.level AND s.idx = w.idx
+        ), outside AS (
+            SELECT tree, doc_idx, 1000 AS level, tree AS idx, max_by(held, level) AS held, max_by(proof, level) AS proof FROM inside GROUP BY tree, doc_idx
+            UNION ALL
+            SELECT w.tree, doc_idx, w.level + 1, w.idx // 16, sha256(s.l || held || s.r), proof || s.l || s.r FROM outside w JOIN sides s ON s.tree = -1 AND s.level = w.level AND s.idx = w.idx
+        ), ended AS (SELECT tree, doc_idx, max_by(held, level) AS folded_root, sha256(max_by(proof, level)) AS proof_sha256 FROM outside GROUP BY tree, doc_idx)
+        SELECT p.doc_id, p.h AS leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root, proof_sha256, folded_root, folded_root = (SELECT h FROM tops WHERE n = 1) AS verified
+        FROM placed p JOIN subroots USING (tree) JOIN ended ON ended.tree = p.tree AND doc_idx = p.idx
+    """,
     "op3_minhash_near_dups": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
