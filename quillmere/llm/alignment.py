@@ -62,7 +62,8 @@ class _Pair:
         out = []
         coded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
         for text, one, b in zip(texts, coded, self.b.encode(texts, num_threads=1), strict=True):
-            a = one.ids
+            # A segment that is a text's last space alone; an empty text by itself would be given no space.
+            a, b = one.ids, b if text else [self.b.piece_to_id(MARK)]
             whole = b" " + text.encode()
             if self.a_bytes.decode(np.array(a, np.int64)) != whole or b"".join([self.spelled[i] for i in b]) != whole:
                 out.append((False, 0, 0, [], [], ""))
