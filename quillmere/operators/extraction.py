@@ -124,7 +124,7 @@ def resolve(found: DataFrame, entities: DataFrame, relationships: DataFrame) ->
         F.when(F.col("x.l") > F.coalesce(F.char_length("o.description"), F.lit(0)), F.col("x.d")).otherwise(F.col("o.description")).alias("description"),
         F.coalesce("o.rank", F.lit(0)).cast("int").alias("rank"), F.col("o.community_id").alias("community_id"), F.col("o.vector").alias("vector"),
     )
-    all_entities = upsert(entities, merged, ["id"])
+    all_entities = upsert(entities, merged, ["id"], "id")  # a row an id
     ids = all_entities.groupBy(normalise_name(F.col("name")).alias("n")).agg(F.min("id").alias("id"))
     rows = found.where("kind = 'relation'").select("doc_id", normalise_name(F.col("source")).alias("s"), normalise_name(F.col("target")).alias("t"), normalise_predicate(F.coalesce("predicate", F.lit(""))).alias("predicate"), "description", "weight", "batch", "ordinal")
     ended = rows.join(ids.select(F.col("n").alias("s"), F.col("id").alias("source_id")), "s").join(ids.select(F.col("n").alias("t"), F.col("id").alias("target_id")), "t")

@@ -16,24 +16,31 @@ def _one_each(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     return rows.withColumn("__place", F.row_number().over(first)).where("__place = 1").drop("__place")
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], sequence: str | None = None, keep_first: tuple[str, ...] = ()) -> DataFrame:
+def _same(left: str, right: str, keys: list[str]):
+    """Equal keys, null like any other value."""
+    return reduce(lambda x, y: x & y, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], sequence: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
     """Incoming rows replace those of equal keys; of several incoming ones the last by `sequence` (a column of
-    incoming). Columns in keep_first keep the stored row's value."""
-    kept = [F.col(f"o.{c}").alias(f"__{c}") for c in keep_first]
+    incoming), ties to the largest row. Columns in keep_first keep the stored row's value. A null key is a key like
+    any other."""
     columns = existing.columns
-    order = [F.desc_nulls_last(sequence)] if sequence else []
-    new = _one_each(incoming, keys, *order, *(F.col(c).asc_nulls_last() for c in keys), *(F.xxhash64(*columns),) if not sequence else ()).select(*columns)
-    if kept:
-        joined = new.alias("n").join(existing.alias("o"), [F.col(f"n.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], "left")
+    new = _one_each(incoming, keys, F.desc_nulls_last(sequence), F.to_json(F.struct(*columns)).desc()).select(*columns)
+    if keep_first:
+        joined = new.alias("n").join(existing.alias("o"), _same("n", "o", keys), "left")
         new = joined.select(*(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) if c in keep_first else F.col(f"n.{c}").alias(c) for c in columns))
-    return existing.join(new.select(*keys), keys, "left_anti").select(*columns).unionByName(new)
+    rest = existing.alias("o").join(new.select(*keys).alias("n"), _same("o", "n", keys), "left_anti")
+    return rest.select(*columns).unionByName(new)
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, keys: list[str], sequence: str | None = None) -> DataFrame:
-    """Incoming rows of new keys only, of several the first by `sequence`."""
+    """Incoming rows of new keys only, of several the first by `sequence`, or the smallest row. A null key is a key like any
+    other."""
     columns = existing.columns
-    fresh = incoming.join(existing.select(*keys), keys, "left_anti")
-    return existing.unionByName(_one_each(fresh, keys, F.asc(sequence) if sequence else F.xxhash64(*columns)).select(*columns))
+    fresh = incoming.alias("n").join(existing.select(*keys).alias("o"), _same("n", "o", keys), "left_anti")
+    order = [*([F.asc(sequence)] if sequence else []), F.to_json(F.struct(*columns)).asc()]
+    return existing.unionByName(_one_each(fresh, keys, *order).select(*columns))
 
 
 def supersede(documents: DataFrame, ids: DataFrame) -> DataFrame:

@@ -20,13 +20,18 @@ def read_notes(raw: DataFrame) -> DataFrame:
     return p.select("key", F.col("p.body").alias("content"), F.col("p.author").alias("author"), normalise_tags(F.col("p.tags")).alias("tags"), F.col("p.frontmatter").alias("frontmatter"), time("p.created").alias("created_at"), time("p.updated").alias("updated_at"), F.col("p.error").alias("error"))
 
 
-def write_notes(notes: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The notes with incoming ones written over them: created_at stays, tags are normalised. Bad keys are an
-    error."""
+def normalised(incoming: DataFrame) -> DataFrame:
+    """Notes as they are stored, tags normalised. Bad keys are an error."""
     bad = incoming.where(~valid_key(F.col("key"))).select("key").first()
     if bad:
         raise ValueError(f"bad note key {bad['key']!r}")
-    return upsert(notes, incoming.withColumn("tags", normalise_tags(F.col("tags"))), ["key"], "updated_at", keep_first=("created_at",))
+    return incoming.withColumn("tags", normalise_tags(F.col("tags")))
+
+
+def write_notes(notes: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The notes with incoming ones written over them: created_at stays, tags are normalised. Bad keys are an
+    error."""
+    return upsert(notes, normalised(incoming), ["key"], "updated_at", keep_first=("created_at",))
 
 
 def delete_note(notes: DataFrame, key: str) -> DataFrame:

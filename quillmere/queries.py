@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived as d
-from . import query_tables, query_text  # noqa: F401  they enter their queries
+from . import query_index, query_tables, query_text  # noqa: F401  they enter their queries
 from .functions import text, vectors
 from .functions.chunking import chunk
 from .functions.html import links as html_links

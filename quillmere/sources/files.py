@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 EXTENSIONS = ("pdf", "docx", "txt", "md", "markdown", "text")
 IMPORT_ENTRIES, IMPORT_BYTES, NOTE_BYTES = 10_000, 500 << 20, 10 << 20
 SNIFFED = 8192
+#: Spark SQL's condition on `path`.
+WANTED = rf"lower(path) rlike '[.]({'|'.join(EXTENSIONS)})$'"
 RAW = "path string, title string, doc_type string, content string, file_hash string, mtime long, error string"
 
 
@@ -103,21 +105,33 @@ def load_bytes(path: str, data: bytes) -> tuple[str, str, str]:
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, mtime (epoch seconds), size of all files to index under a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    wanted = F.col("path").rlike(rf"(?i)\.({'|'.join(EXTENSIONS)})$")
-    return files.where(wanted).select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
-
-
-def load_files(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
-    """Documents of a folder (or of one file); `only` has the paths to read. Files that cannot be loaded come
-    with their error and no content."""
+    """path, mtime (epoch seconds), size of all files to index under a folder, or of one file; contents are not read.
+    Spark's own reader passes over files without bytes, so these are listed beside it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if root.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
-        files = files.where(F.col("path").rlike(rf"(?i)\.({'|'.join(EXTENSIONS)})$"))
-    if only is not None:
-        files = files.join(only.select("path"), "path", "left_semi")
-    rows = files.select("path", "content", F.sha2("content", 256).alias("file_hash"), F.unix_timestamp("modificationTime").alias("mtime"))
+        files = files.where(WANTED)
+    full = files.select("path", F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    return full.unionByName(_empty_files(spark, root).select("path", "mtime", F.lit(0).cast("long").alias("size")))
+
+
+def _empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, mtime of files without bytes. The file system is walked as its listing streams, and only these are kept."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []
+    files = fs.listFiles(at, True) if fs.exists(at) else None
+    while files is not None and files.hasNext():
+        one = files.next()
+        path = one.getPath().toString()
+        hidden = any(x.startswith((".", "_")) for x in path[len(root) :].split("/"))
+        if not one.getLen() and not hidden and path.rsplit(".", 1)[-1].lower() in EXTENSIONS:
+            found.append((path, one.getModificationTime() // 1000))
+    return spark.createDataFrame(found, "path string, mtime long")
+
+
+def load_raw(rows: DataFrame) -> DataFrame:
+    """Documents of files (path, content, mtime); those that cannot be loaded come with their error and no content."""
     loaders = dict(LOADERS)
 
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +145,18 @@ def load_files(spark: SparkSession, root: str, only: DataFrame | None = None) ->
                     out.append((r.path, None, None, None, r.file_hash, r.mtime, str(e)))
             yield pd.DataFrame(out, columns=["path", "title", "doc_type", "content", "file_hash", "mtime", "error"])
 
-    return rows.mapInPandas(load, RAW)
+    return rows.select("path", "content", F.sha2("content", 256).alias("file_hash"), "mtime").mapInPandas(load, RAW)
+
+
+def load_files(spark: SparkSession, root: str, only: DataFrame | None = None) -> DataFrame:
+    """Documents of a folder (or of one file); `only` has the paths to read. Files that cannot be loaded, empty ones
+    included, come with their error and no content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if root.rsplit(".", 1)[-1].lower() not in EXTENSIONS:
+        files = files.where(WANTED)
+    rows = files.select("path", "content", F.unix_timestamp("modificationTime").alias("mtime"))
+    rows = rows.unionByName(_empty_files(spark, root).select("path", F.lit(b"").alias("content"), "mtime"))
+    return load_raw(rows if only is None else rows.join(only.select("path"), "path", "left_semi"))
 
 
 def read_notes(spark: SparkSession, root: str) -> DataFrame:

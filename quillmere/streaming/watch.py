@@ -9,32 +9,22 @@ from pyspark.sql import functions as F
 
 from ..operators.merge import snapshot_diff
 from ..plans.index import Base, index_documents
-from ..sources.files import EXTENSIONS, LOADERS, RAW, LoadError, list_files, load_bytes
+from ..sources.files import WANTED, list_files, load_raw
+from ..tables import cut
 
 
-def watch_files(spark: SparkSession, root: str, base: Base, checkpoint: str, provider=None, max_files: int = 100, available_now: bool = True):
+def watch_files(spark: SparkSession, root: str, base: Base, checkpoint: str, provider=None, max_files: int = 100, available_now: bool = True, on_error: Callable[[str, str], None] | None = None):
     """Index new and changed files of a folder as they come, `max_files` a batch (back pressure). A batch that is
-    run again after a failure finds its files unchanged and adds nothing."""
+    run again after a failure finds its files unchanged and adds nothing. Each file that cannot be loaded is told to on_error."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", max_files).load(root)
-    wanted = files.where(F.col("path").rlike(rf"(?i)\.({'|'.join(EXTENSIONS)})$"))
-    loaders = dict(LOADERS)
-
-    def load(parts):
-        import pandas as pd
-
-        LOADERS.update(loaders)
-        for part in parts:
-            out = []
-            for r in part.itertuples(index=False):
-                try:
-                    out.append((r.path, *load_bytes(r.path, bytes(r.content)), r.file_hash, r.mtime, None))
-                except LoadError as e:
-                    out.append((r.path, None, None, None, r.file_hash, r.mtime, str(e)))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RAW.split(", ")])
+    wanted = files.where(WANTED)
 
     def index(batch: DataFrame, _: int) -> None:
-        rows = batch.select("path", "content", F.sha2("content", 256).alias("file_hash"), F.unix_timestamp("modificationTime").alias("mtime"))
-        index_documents(base, rows.mapInPandas(load, RAW).where("error is null"), provider)
+        loaded = cut(load_raw(batch.select("path", "content", F.unix_timestamp("modificationTime").alias("mtime"))), "loaded")
+        index_documents(base, loaded.where("error is null"), provider)
+        if on_error is not None:
+            for row in loaded.where("error is not null").select("path", "error").toLocalIterator():
+                on_error(row["path"], row["error"])
 
     writer = wanted.writeStream.foreachBatch(index).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
@@ -43,8 +33,6 @@ def watch_files(spark: SparkSession, root: str, base: Base, checkpoint: str, pro
 def poll(spark: SparkSession, root: str, before: DataFrame | None, on_change: Callable[[str, str], None]) -> DataFrame:
     """One round of a watcher that sees deletions too: tell each added, changed or removed path since the listing
     before, and return the listing now. The first round tells nothing."""
-    from ..tables import cut
-
     now = cut(list_files(spark, root), "listing")
     if before is not None:
         for row in snapshot_diff(before, now, "path", "mtime").orderBy("path").toLocalIterator():

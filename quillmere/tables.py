@@ -56,6 +56,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
+    """Written to the shared folder in buckets of a hash of `keys` and read back: joins and groupings on them need not move it."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"quillmere_{uuid.uuid4().hex}"
+    df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).option("path", scratch(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
 #: Tables of so many rows and bytes at most are sent to every task; larger ones are joined by a shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 << 20
 
@@ -80,46 +88,3 @@ def sent(table: DataFrame) -> DataFrame:
 
 def empty(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], SCHEMAS[name])
-
-
-def _versions(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """Complete versions of a stored table, ascending: those whose job put its mark of success."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(at):
-        return []
-    numbers = [s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().isdigit()]
-    return sorted(int(n) for n in numbers if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{n}/_SUCCESS")))
-
-
-def load(spark: SparkSession, folder: str, name: str, project: str | None = None) -> DataFrame:
-    """The last complete version of a stored table, of one project if given (partition pruning); empty if it was
-    never written."""
-    versions = _versions(spark, folder, name)
-    if not versions:
-        return empty(spark, name)
-    df = spark.read.option("mergeSchema", "true").parquet(f"{folder}/{name}/{versions[-1]:08d}")
-    if project is not None and "project" in df.columns:
-        df = df.where(F.col("project") == project).drop("project")
-    return df
-
-
-def store(df: DataFrame, folder: str, name: str, keep: int = 2) -> int:
-    """Write a new version of a table, which may be computed from the last one, and return its number. Readers
-    see the old version until the new one is complete, whatever happens in between; the last `keep` versions
-    stay for those who read them."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    versions = _versions(spark, folder, name)
-    number = versions[-1] + 1 if versions else 1
-    at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{number:08d}")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    while fs.exists(at):  # left by a writer that was lost
-        number += 1
-        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{number:08d}")
-    writer = df.write
-    (writer.partitionBy("project") if "project" in df.columns else writer).parquet(f"{folder}/{name}/{number:08d}")
-    for old in [*versions, number][:-keep]:
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/{old:08d}"), True)
-    return number

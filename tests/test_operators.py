@@ -100,20 +100,6 @@ def test_extracted_graph_against_brute_force(spark, monkeypatch):
     assert {r["doc_id"] for r in rows} >= {"0", "5", "6"}
 
 
-def test_stored_versions(spark, tmp_path):
-    folder = f"file://{tmp_path}"
-    assert tables.load(spark, folder, "projects").count() == 0
-    rows = spark.createDataFrame([("a", "A", None, 1)], tables.PROJECTS)
-    assert tables.store(rows, folder, "projects") == 1
-    more = tables.load(spark, folder, "projects").unionByName(spark.createDataFrame([("b", "B", None, 2)], tables.PROJECTS))
-    assert tables.store(more, folder, "projects") == 2  # computed from what it replaces
-    (tmp_path / "projects" / "00000003").mkdir()  # a writer lost half-way
-    assert tables.load(spark, folder, "projects").count() == 2
-    assert tables.store(rows, folder, "projects") == 4
-    assert tables.load(spark, folder, "projects").count() == 1
-    assert sorted(p.name for p in (tmp_path / "projects").iterdir()) == ["00000002", "00000003", "00000004"]
-
-
 def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch):
     rows = spark.range(100).selectExpr("id", "array('x', repeat('y', 1000)) AS words", "struct(id AS n, 'z' AS t) AS s")
     hinted = lambda frame: "hint" in frame._jdf.queryExecution().logical().toString().lower()
