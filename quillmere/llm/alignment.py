@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -42,6 +43,19 @@ MARK = "▁"
 _SPLIT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]) ")
 
 
+class _Bytes:
+    """The bytes of a vocabulary's entries, for many ids at once."""
+
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(e) for e in entries], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+
+    def of(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        return self.data[np.repeat(self.starts[ids] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))].tobytes()
+
+
 class _Pair:
     """Both tokenizers, loaded in a worker."""
 
@@ -50,32 +64,41 @@ class _Pair:
 
         self.a = load_tokenizer(a)
         self.a.encode_special_tokens = True  # their strings inside texts are plain text
-        self.a_bytes = ByteDecoder(a)
+        decoder = ByteDecoder(a)
+        self.a_bytes = _Bytes([decoder.data[i : i + n].tobytes() for i, n in zip(decoder.starts.tolist(), decoder.lengths.tolist(), strict=True)])
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         pieces = [self.b.id_to_piece(i) for i in range(len(self.b))]
-        spelled = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
-        self.b_sizes = np.array([len(s) for s in spelled])
-        self.spelled = spelled
-
-    def align(self, texts: list[str]) -> list[tuple]:
-        """For each text: whether both give its bytes back, tokens of A and of B, the links' ids, the groups' text."""
-        out = []
-        coded = self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)
-        for text, one, b in zip(texts, coded, self.b.encode(texts, num_threads=1), strict=True):
-            # A segment that is a text's last space alone; an empty text by itself would be given no space.
-            a, b = one.ids, b if text else [self.b.piece_to_id(MARK)]
-            whole = b" " + text.encode()
-            if self.a_bytes.decode(np.array(a, np.int64)) != whole or b"".join([self.spelled[i] for i in b]) != whole:
-                out.append((False, 0, 0, [], [], ""))
-                continue
-            ends_a, ends_b = np.cumsum(self.a_bytes.lengths[a]), np.cumsum(self.b_sizes[b])
-            _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-            groups, i, j = [], 0, 0
-            for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-                groups.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-                i, j = x, y
-            out.append((True, len(a), len(b), [a[i] for i in at_a], [b[i] for i in at_b], ";".join(groups)))
-        return out
+        self.b_bytes = _Bytes([bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)])
+
+    def align(self, texts: list[str]) -> dict[str, list]:
+        """For each text: whether both give its bytes back, tokens of A and of B, the links' ids, the groups' text; all
+        texts at once, for where both do, their bytes one after the other end at the same places."""
+        ids_a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+        # A segment that is a text's last space alone; an empty text by itself would be given no space.
+        ids_b = [ids if t else [self.b.piece_to_id(MARK)] for t, ids in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
+        wholes = [b" " + t.encode() for t in texts]
+        flat = lambda lists: np.fromiter(itertools.chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+        joined = b"".join(wholes)
+        valid = np.ones(len(texts), bool)
+        if self.a_bytes.of(flat(ids_a)) != joined or self.b_bytes.of(flat(ids_b)) != joined:
+            valid = np.array([self.a_bytes.of(np.array(x, np.int64)) == w == self.b_bytes.of(np.array(y, np.int64)) for x, y, w in zip(ids_a, ids_b, wholes, strict=True)])
+            ids_a, ids_b = ([ids if v else [] for ids, v in zip(lists, valid, strict=True)] for lists in (ids_a, ids_b))
+        a, b = flat(ids_a), flat(ids_b)
+        n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
+        ends_a, ends_b = np.cumsum(self.a_bytes.sizes[a]), np.cumsum(self.b_bytes.sizes[b])
+        meets = np.minimum(np.searchsorted(ends_b, ends_a), max(len(b) - 1, 0))
+        at_a = np.flatnonzero(ends_b[meets] == ends_a) if len(b) else np.zeros(0, np.int64)
+        at_b = meets[at_a]
+        says_a, says_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        groups, i, j = [], 0, 0
+        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
+            groups.append((says_a[i] if x == i + 1 else ",".join(says_a[i:x])) + "|" + (says_b[j] if y == j + 1 else ",".join(says_b[j:y])))
+            i, j = x, y
+        # A text's last tokens end together, so each text has its own groups.
+        ends = np.searchsorted(at_a, np.cumsum(n_a)).tolist()
+        said = [";".join(groups[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+        lists = lambda ids: pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids.astype(np.int32)))
+        return {"valid": pa.array(valid), "n_a": pa.array(n_a), "n_b": pa.array(n_b), "ids_a": lists(a[at_a]), "ids_b": lists(b[at_b]), "groups": pa.array(said, pa.string())}
 
 
 @functools.lru_cache(maxsize=1)
@@ -117,7 +140,6 @@ def _blocks(docs: DataFrame, split: bool, block_bytes: int) -> DataFrame:
     @resting
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _forget()
-        kind = pa.list_(pa.struct([("segment", pa.string()), ("n", pa.int64())]))
         for batch in batches:
             for some in text_slices(batch, limit=block_bytes):
                 known: dict[str, int] = {}
@@ -126,7 +148,8 @@ def _blocks(docs: DataFrame, split: bool, block_bytes: int) -> DataFrame:
                     own = segments(text, split) if text else []
                     coded.append(np.array([known.setdefault(s, len(known)) for s in own], "<u4"))
                 n = np.bincount(np.concatenate(coded), minlength=len(known))
-                words = pa.array([[{"segment": s, "n": c} for s, c in zip(known, n.tolist(), strict=True)], *[None] * (len(coded) - 1)], kind)
+                each = pa.StructArray.from_arrays([pa.array(list(known), pa.string()), pa.array(n.astype(np.int64))], names=["segment", "n"])
+                words = pa.ListArray.from_arrays(pa.array([0, *[None] * (len(coded) - 1), len(known)], pa.int32()), each)
                 block = some.column("row")[0].as_py()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(coded), pa.int64()), some.column("row"), some.column("doc_id"), pa.array([c.tobytes() for c in coded], pa.binary()), words],
@@ -143,11 +166,7 @@ def _align(segments_: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             for some in text_slices(batch, "segment", 1 << 18):
                 found = _pair(a, b).align(some.column("segment").to_pylist())
-                valid, n_a, n_b, ids_a, ids_b, groups = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("segment"), some.column("n"), pa.array(valid), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(ids_a, pa.list_(pa.int32())), pa.array(ids_b, pa.list_(pa.int32())), pa.array(groups, pa.string())],
-                    names=["segment", "n", "valid", "n_a", "n_b", "ids_a", "ids_b", "groups"],
-                )
+                yield pa.RecordBatch.from_arrays([some.column("segment"), some.column("n"), *found.values()], names=["segment", "n", *found])
 
     return segments_.mapInArrow(work, "segment string, n long, valid boolean, n_a long, n_b long, ids_a array<int>, ids_b array<int>, groups string")
 
