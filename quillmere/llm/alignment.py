@@ -9,7 +9,7 @@ that end there are a link.
    pieces has its space mark after another character (`cuts` reads that from both files; where it does not hold,
    a text is one segment). The second tokenizer's own space before a text stands for each segment's first one.
 2. Texts go in blocks of a bounded size. A block keeps its distinct segments, with how often they occur, and each text as
-   a list of numbers of these segments.
+   a list of numbers of these segments. Blocks are written before they are numbered in any other table.
 3. Segments distinct over all blocks are tokenised and aligned once each.
 4. A text with a segment whose bytes a tokenizer does not give back has no tokens. Its segments are taken off the
    counts, so a pair of ids is counted once for each link of the texts that have tokens.
@@ -26,18 +26,23 @@ import hashlib
 import itertools
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import dropped, resting, saved, sent, text_slices
+from ._spark import resting, saved, scratch, sent, text_slices
 from .tokens import ByteDecoder, load_tokenizer, trim_caches
 
-#: Bytes of text in a block; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Characters of text in a block, about; a longer text ends its block.
+BLOCK_BYTES = 32 << 20
+#: A segment's place is its block's number, then its own in the block; blocks have their task's, then their own.
+CODE_BITS, BLOCKS_BITS = 28, 12
 MARK = "▁"
 #: A space after anything but white space, as any of the libraries' rules understands that.
 _SPLIT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]) ")
@@ -134,29 +139,40 @@ def segments(text: str, split: bool = True) -> list[str]:
 
 
 def _blocks(docs: DataFrame, split: bool, block_bytes: int) -> DataFrame:
-    """(block, row, doc_id, codes, words): a text's segments as little-endian 32-bit numbers in the block's own list
-    `words` (segment, n), which stands in the block's first row."""
+    """(block, doc_id, codes, words): a row for each text, with its segments as little-endian 32-bit numbers in its block's own list;
+    and one for each block with that list, words (segment, n), and nothing else. Blocks are numbered as they are written."""
 
     @resting
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _forget()
+        names = ["block", "doc_id", "codes", "words"]
+        block, held, known, counts = TaskContext.get().partitionId() << BLOCKS_BITS, 0, {}, np.zeros(0, np.int64)
+        kind = pa.list_(pa.struct([("segment", pa.string()), ("n", pa.int64())]))
+
+        def listed() -> pa.RecordBatch:
+            each = pa.StructArray.from_arrays([pa.array(list(known), pa.string()), pa.array(counts)], names=["segment", "n"])
+            words = pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), each)
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), words], names=names)
+
         for batch in batches:
-            for some in text_slices(batch, limit=block_bytes):
-                known: dict[str, int] = {}
+            for some in text_slices(batch, limit=min(block_bytes, 1 << 21)):
                 coded = []
                 for text in some.column("text").to_pylist():
                     own = segments(text, split) if text else []
                     coded.append(np.array([known.setdefault(s, len(known)) for s in own], "<u4"))
-                n = np.bincount(np.concatenate(coded), minlength=len(known))
-                each = pa.StructArray.from_arrays([pa.array(list(known), pa.string()), pa.array(n.astype(np.int64))], names=["segment", "n"])
-                words = pa.ListArray.from_arrays(pa.array([0, *[None] * (len(coded) - 1), len(known)], pa.int32()), each)
-                block = some.column("row")[0].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(coded), pa.int64()), some.column("row"), some.column("doc_id"), pa.array([c.tobytes() for c in coded], pa.binary()), words],
-                    names=["block", "row", "doc_id", "codes", "words"],
-                )
+                    held += len(text)
+                more = np.bincount(np.concatenate(coded), minlength=len(known)).astype(np.int64)
+                more[: len(counts)] += counts
+                counts = more
+                rows = [pa.array([block] * len(coded), pa.int64()), some.column("doc_id"), pa.array([c.tobytes() for c in coded], pa.binary()), pa.nulls(len(coded), kind)]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
+                if held >= block_bytes:
+                    yield listed()
+                    block, held, known, counts = block + 1, 0, {}, np.zeros(0, np.int64)
+        if held:
+            yield listed()
 
-    return docs.mapInArrow(code, "block long, row long, doc_id long, codes binary, words array<struct<segment:string,n:long>>")
+    return docs.mapInArrow(code, "block long, doc_id long, codes binary, words array<struct<segment:string,n:long>>")
 
 
 def _align(segments_: DataFrame, a: str, b: str) -> DataFrame:
@@ -171,9 +187,14 @@ def _align(segments_: DataFrame, a: str, b: str) -> DataFrame:
     return segments_.mapInArrow(work, "segment string, n long, valid boolean, n_a long, n_b long, ids_a array<int>, ids_b array<int>, groups string")
 
 
+def _block(place: str) -> Column:
+    return F.shiftright(place, CODE_BITS)
+
+
 def _lost(coded: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
     """(segment, lost): how often segments occur in texts that hold one of the bad segments."""
-    marked = words.join(sent(bad), "segment").groupBy("block").agg(F.collect_list("code").alias("bad"))
+    code = F.col("place").bitwiseAND(F.lit((1 << CODE_BITS) - 1))
+    marked = words.join(sent(bad), "segment").groupBy(_block("place").alias("block")).agg(F.collect_list(code).alias("bad"))
 
     @resting
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +202,12 @@ def _lost(coded: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
             for i in range(batch.num_rows):
                 codes = np.frombuffer(batch.column("codes")[i].as_py(), "<u4")
                 if np.isin(codes, batch.column("bad")[i].values.to_numpy()).any():
-                    code, n = np.unique(codes, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(code), pa.int64()), pa.array(code.astype(np.int32)), pa.array(n.astype(np.int64))], names=["block", "code", "lost"])
+                    found, n = np.unique(codes, return_counts=True)
+                    places = (batch.column("block")[i].as_py() << CODE_BITS) + found.astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n.astype(np.int64))], names=["place", "lost"])
 
-    found = coded.select("block", "codes").join(marked, "block").mapInArrow(count, "block long, code int, lost long")
-    return words.join(found.groupBy("block", "code").agg(F.sum("lost").alias("lost")), ["block", "code"]).groupBy("segment").agg(F.sum("lost").alias("lost"))
+    found = coded.select("block", "codes").join(marked, "block").mapInArrow(count, "place long, lost long")
+    return words.join(found.groupBy("place").agg(F.sum("lost").alias("lost")), "place").groupBy("segment").agg(F.sum("lost").alias("lost"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -210,50 +232,66 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     segment. An empty table gives no rows and no pairs. Other columns are not read.
     """
     split = cuts(a, b)
-    # Written with their numbers, which hold good however often a lost executor's tasks run again.
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
-    coded = saved(_blocks(rows, split, block_bytes), "coded")
-    words = coded.where("words is not null").select("block", F.posexplode("words").alias("code", "w")).select("block", "code", "w.segment", "w.n")
-    aligned = saved(_align(words.groupBy("segment").agg(F.sum("n").alias("n")), a, b), "aligned")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    written = _kept(_blocks(rows, split, block_bytes), "coded")
+    coded = written.where("codes is not null").select("block", "doc_id", "codes")
+    lists = written.where("words is not null").select(F.shiftleft("block", CODE_BITS).alias("first"), F.posexplode("words").alias("code", "w"))
+    words = lists.select((F.col("first") + F.col("code")).alias("place"), "w.segment", "w.n")
+    aligned = _kept(_align(words.groupBy("segment").agg(F.sum("n").alias("n")), a, b), "aligned", by="segment")
 
     bad = aligned.where("not valid").select("segment")
     if not bad.isEmpty():
-        less = _lost(coded, words, bad)
-        whole = aligned
-        aligned = saved(whole.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).select(*whole.columns), "counted")
-        dropped(whole)
+        less = _lost(coded, words.select("place", "segment"), bad)
+        counted = aligned.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).select(*aligned.columns)
+        aligned = _kept(counted, "counted", by="segment")
     pairs = saved(pair_counts(aligned), "counts")
     links = aligned.where("valid").select("segment", F.explode(F.arrays_zip("ids_a", "ids_b")).alias("l")).select("segment", F.col("l.ids_a").alias("a"), F.col("l.ids_b").alias("b"))
+    # By segment, as the aligned segments lie already.
     sums = links.join(sent(pairs), ["a", "b"]).groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = aligned.select("segment", "valid", "n_a", "n_b", F.size("ids_a").cast("long").alias("n_links"), "groups").join(sums, "segment", "left")
-    facts = saved(words.select("block", "code", "segment").join(facts, "segment").drop("segment"), "facts")
-    return _compose(coded.select("block", "row", "doc_id", "codes"), facts), pairs
+    facts = aligned.select("segment", F.when(F.col("valid"), F.col("groups")).alias("groups"), "n_a").join(sums, "segment", "left")
+    placed = words.select("place", "segment").join(facts, "segment").select("place", "groups", "n_a", "n_best", "count_sum")
+    return _compose(coded, placed), pairs
+
 
+def _kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Written and read back, compressed well for its size on disk; in buckets of `by`, by which it is dealt already, so that
+    joins on it need not move it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    writer = df.write.option("compression", "zstd")
+    if by is None:
+        writer.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    table = f"aligned_{uuid.uuid4().hex}"
+    writer.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(table)
+    return spark.table(table)
 
-def _compose(coded: DataFrame, facts: DataFrame) -> DataFrame:
-    names = ["n_a", "n_b", "n_links", "n_best", "count_sum"]
 
+def _compose(coded: DataFrame, placed: DataFrame) -> DataFrame:
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
         _forget()
-        order = np.argsort(right.column("code").to_numpy())
-        groups = [g.encode() for g in right.column("groups").take(pa.array(order)).to_pylist()]
-        valid = right.column("valid").to_numpy(zero_copy_only=False)[order].astype(bool)
-        numbers = np.stack([right.column(n).fill_null(0).to_numpy()[order] for n in names]) if len(order) else np.zeros((len(names), 0), np.int64)
-        sums, digests = [], []
-        for held in left.column("codes"):
+        order = np.argsort(right.column("place").to_numpy())
+        texts = right.column("groups").combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.string())
+        valid = texts.is_valid().to_numpy(zero_copy_only=False)
+        groups = [g.encode() for g in texts.fill_null("").to_pylist()]
+        of = lambda name: right.column(name).fill_null(0).to_numpy()[order]
+        n_a, n_links = of("n_a"), np.where(valid, pc.count_substring(texts, ";").fill_null(0).to_numpy() + 1, 0)
+        # A group's text has a comma between the ids of each side.
+        n_b = np.where(valid, pc.count_substring(texts, ",").fill_null(0).to_numpy() + 2 * n_links - n_a, 0)
+        numbers = np.stack([n_a, n_b, n_links, of("n_best"), of("count_sum")]).astype(np.int64)
+        sums, digests = np.zeros((left.num_rows, 5), np.int64), []
+        for i, held in enumerate(left.column("codes")):
             codes = np.frombuffer(held.as_py(), "<u4")
-            if len(codes) and valid[codes].all():
-                sums.append(numbers[:, codes].sum(axis=1))
-                digest = hashlib.sha256()
-                for i in range(0, len(codes), 1 << 16):
-                    digest.update(b";" * bool(i) + b";".join([groups[c] for c in codes[i : i + (1 << 16)].tolist()]))
-                digests.append(digest.hexdigest())
-            else:
-                sums.append(np.zeros(len(names), np.int64))
+            if not len(codes) or not valid[codes].all():
                 digests.append("")
-        n_a, n_b, n_links, n_best, count_sum = np.stack(sums).T
-        columns = {"doc_id": left.column("doc_id"), "n_a": n_a, "n_b": n_b, "n_groups": n_links, "n_links": n_links, "n_best": n_best, "count_sum": count_sum, "groups_sha256": digests}
-        return pa.table(columns)
-
-    both = coded.groupBy("block").cogroup(facts.groupBy("block"))
+                continue
+            sums[i] = numbers[:, codes].sum(axis=1)
+            digest = hashlib.sha256()
+            for first in range(0, len(codes), 1 << 16):
+                digest.update(b";" * bool(first) + b";".join([groups[c] for c in codes[first : first + (1 << 16)].tolist()]))
+            digests.append(digest.hexdigest())
+        names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+        columns = dict(zip(names, (sums[:, k] for k in (0, 1, 2, 2, 3, 4)), strict=True))
+        return pa.table({"doc_id": left.column("doc_id"), **columns, "groups_sha256": pa.array(digests, pa.string())})
+
+    both = coded.groupBy("block").cogroup(placed.groupBy(_block("place").alias("block")))
     return both.applyInArrow(compose, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

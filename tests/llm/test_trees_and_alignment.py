@@ -251,7 +251,7 @@ def test_alignment_of_odd_texts(spark, pair):
     texts += [None, "", " ", "   ", "\n", "▁", "some ▁ mark", "some common words here", "some common words here", "w" * 50_000, "trailing ", " leading", "a  b   c", " ".join(f"w{i % 900}" for i in range(40_000))]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id"), (3, "repeated id")]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, block int, segment string").repartition(3)
-    found, pairs = alignment.align(docs, queries._tokenizer("byte_bpe_50k.json"), queries._tokenizer("piece_bpe_32k.model"), block_bytes=2_000)
+    found, pairs = alignment.align(docs, queries._tokenizer("byte_bpe_50k.json"), queries._tokenizer("piece_bpe_32k.model"), block_bytes=2_000)  # many blocks
     want, counts = brute_alignment(pair, rows)
     assert Counter(tuple(r[n] for n in NAMES) for r in found.collect()) == want
     assert {(r.a, r.b): (r["count"], r.best) for r in pairs.collect()} == counts
