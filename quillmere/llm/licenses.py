@@ -1,16 +1,18 @@
-"""License scans with a positional index of licence templates and each template's rarest words.
+"""License scans with a positional index of licence templates, asked for each file's rarest licence words.
 
 1. One pass over the texts keeps, for each file, the places of words that any template or phrase has. Document
    frequencies of these words (a fixed, small vocabulary) are counted over all files.
-2. For each template whose mandatory key phrases the file holds, the template's own words of highest inverse
-   document frequency are looked up around the places of a key phrase. A word at place p of the file and t of a
-   template votes for the alignments within SLACK of p - t. An accepted alignment covers all but a few words of the
-   template, so one word more than those few is looked up: each accepted alignment then has a vote, however many
-   other licence words a file has. Places of the key phrase are gone through ANCHORS at a time, so a text that
-   repeats a notice a million times takes no more memory than its places do.
-3. The postings of all words of the template are intersected at the alignments that have a vote: an alignment
-   counts if the words cover it well enough, each within SLACK of its place, and if every mandatory key phrase of
-   the template stands, word by word, within the aligned stretch.
+2. The index has two posting lists for a word: the (template, place) pairs of all templates that hold it, and those of the
+   templates among whose rarest words it is. An accepted alignment covers all but a few words of its template, so a
+   template's rarest words are one more than those few, by inverse document frequency: each accepted alignment
+   covers one of them at least. The postings of a file's words, counted, tell which templates the file has words
+   enough for; in these, each occurrence of a rarest word, at place p of the file and t of the template, votes for the
+   alignment p - t and those within SLACK of it. Nothing else is aligned, so the work grows with the postings met.
+3. The postings of all words of such a template are intersected at the alignments voted for: an alignment counts if the words
+   cover it well enough, each within SLACK of its place.
+4. Last, alignments that count are verified: every mandatory key phrase of the template must stand, word by word, within
+   the aligned stretch. Votes are gone through ANCHORS at a time, so a text that repeats a notice a million times
+   takes no more memory than its places do.
 
 Places where a base phrase stands are found by the same places (words next to each other), always.
 Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased.
@@ -58,7 +60,7 @@ TEMPLATES = [
 ]
 #: Share of a template's words that an alignment must cover in order, and how far a word may be off its place.
 COVER, SLACK = 0.6, 3
-#: Places of a key phrase whose surroundings are aligned at once, and licence words a task matches, about.
+#: Alignments that are looked at at once, and licence words a task matches, about.
 ANCHORS, TASK_WORDS = 4096, 1 << 20
 
 
@@ -67,9 +69,9 @@ def _vocabulary() -> list[str]:
 
 
 class _Index:
-    """Vocabulary, templates and phrases as numbers."""
+    """Vocabulary, templates and phrases as numbers, and the templates' postings."""
 
-    def __init__(self):
+    def __init__(self, idf: np.ndarray | None = None, cover: float = COVER):
         words = _vocabulary()
         self.number = {w: i for i, w in enumerate(words)}
         data = "".join(words).encode()
@@ -80,6 +82,19 @@ class _Index:
         self.templates = [np.array([self.number[w] for w in t.split()]) for _, t, _ in TEMPLATES]
         self.keys = [[np.array([self.number[w] for w in k.split()]) for k in ks] for _, _, ks in TEMPLATES]
         self.phrases = [(np.array([self.number[w] for w in p.split()]), label) for p, label in BASE.items()]
+        #: How often each template (row) has each word, and the fewest words of it that cover it well enough.
+        self.counts = np.zeros((len(self.templates), len(words)), np.int32)
+        for row, t in zip(self.counts, self.templates, strict=True):
+            np.add.at(row, t, 1)
+        self.enough = np.array([next(h for h in range(1, len(t) + 1) if h / len(t) >= cover) for t in self.templates])
+        #: Template and place of each rarest word, lists of all words one after the other.
+        rare = []
+        for t, words_ in enumerate(self.templates if idf is not None else []):
+            asked = np.lexsort((words_, -idf[words_]))[: len(words_) - self.enough[t] + 1]
+            rare += [(int(words_[i]), t, int(i)) for i in asked]
+        rare = np.array(sorted(rare), np.int64).reshape(-1, 3)
+        self.rare_at = np.searchsorted(rare[:, 0], np.arange(len(words) + 1))
+        self.rare_template, self.rare_place = rare[:, 1], rare[:, 2]
 
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for others."""
@@ -138,7 +153,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float
 
     @resting
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _Index()
+        index = _Index(idf, cover)
         for batch in batches:
             places, terms = batch.column("places"), batch.column("terms")
             cut = places.offsets.to_numpy()
@@ -157,15 +172,27 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float
                 for d in set(doc[at].tolist()):
                     base[d].add(label)
             own, best = [set(b) for b in base], np.zeros(n)
-            for t, keys in enumerate(index.keys):
-                starts = [phrase_places(k, doc, place, term) for k in keys]
-                within = [np.searchsorted(doc[at], np.arange(n + 1)) for at in starts]
-                for d in set.intersection(*(set(doc[at].tolist()) for at in starts)):
-                    mine = slice(cut[d], cut[d + 1])
-                    hit = align(index, t, place[mine], term[mine], [place[at[w[d] : w[d + 1]]] for at, w in zip(starts, within)], idf, cover)
-                    if hit >= cover:
-                        own[d].add(TEMPLATES[t][0])
-                        best[d] = max(best[d], hit)
+            held = np.zeros((n, len(idf)), np.int32)
+            held[doc, term] = 1
+            able = held @ index.counts.T >= index.enough
+            # The postings of each word among the rarest; those of templates for which a file has words enough are votes.
+            lists = np.diff(index.rare_at)[term]
+            row = np.repeat(np.arange(len(term)), lists)
+            posting = np.repeat(index.rare_at[term] - (np.cumsum(lists) - lists), lists) + np.arange(len(row))
+            useful = able[doc[row], index.rare_template[posting]]
+            row, posting = row[useful], posting[useful]
+            # By file and template.
+            pair = doc[row] * len(index.templates) + index.rare_template[posting]
+            order = np.argsort(pair, kind="stable")
+            pair, shift = pair[order], (place[row] - index.rare_place[posting])[order]
+            begins = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else []
+            for first, last in zip(begins, [*begins[1:], len(pair)], strict=False):
+                d, t = divmod(int(pair[first]), len(index.templates))
+                mine = slice(cut[d], cut[d + 1])
+                hit = align(index, t, place[mine], term[mine], shift[first:last], cover)
+                if hit >= cover:
+                    own[d].add(TEMPLATES[t][0])
+                    best[d] = max(best[d], hit)
             labels = [",".join(sorted(o)) for o in own]
             points = np.where([bool(b) for b in base], 1.0, best)
             none = count == 0
@@ -179,26 +206,26 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", cover: float
     return dealt.mapInArrow(match, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
-def align(index: _Index, t: int, place: np.ndarray, term: np.ndarray, starts: list[np.ndarray], idf: np.ndarray, cover: float) -> float:
-    """The best cover of one template in a file whose key phrases start at `starts`, 0 if none is accepted."""
-    words = index.templates[t]
-    spared = sum(h / len(words) < cover for h in range(1, len(words) + 1))  # hits that do not suffice
-    rarest = np.lexsort((words, -idf[words]))[: len(words) - spared]
-    key, anchors = min(zip(index.keys[t], starts, strict=True), key=lambda pair: len(pair[1]))
-    best, reach = 0, len(words) + SLACK
-    for begin in range(0, len(anchors), ANCHORS):
-        some = anchors[begin : begin + ANCHORS]
-        # Only places within reach of these anchors can be part of an alignment that holds one of them.
-        near = np.searchsorted(some, place - reach) < np.searchsorted(some, place + reach, "right")
-        here, what = place[near], term[near]
-        at = {w: here[what == w] for w in set(words.tolist())}
-        shift = np.unique(np.concatenate([at[words[i]] - i for i in rarest]))
-        shift = np.unique(shift[:, None] + np.arange(-SLACK, SLACK + 1))
-        for k, first in zip(index.keys[t], starts, strict=True):
-            first = some if k is key else first
-            shift = shift[np.searchsorted(first, shift - SLACK) < np.searchsorted(first, shift + reach - len(k), "right")]
+def align(index: _Index, t: int, place: np.ndarray, term: np.ndarray, votes: np.ndarray, cover: float) -> float:
+    """The best cover of one template in a file, over the alignments near those voted for that hold its key phrases; 0
+    if none is accepted."""
+    words, best = index.templates[t], 0
+    votes = np.unique(votes)
+    for begin in range(0, len(votes), ANCHORS):
+        some = votes[begin : begin + ANCHORS]
+        # Only places within reach of these alignments can be part of one.
+        left, right = np.searchsorted(place, some[0] - 2 * SLACK), np.searchsorted(place, some[-1] + len(words) + 2 * SLACK, "right")
+        here, what = place[left:right], term[left:right]
+        shift = np.unique(some[:, None] + np.arange(-SLACK, SLACK + 1))
         hits = np.zeros(len(shift), int)
+        at = {w: here[what == w] for w in set(words.tolist())}
         for i, w in enumerate(words.tolist()):
             hits += np.searchsorted(at[w], shift + i - SLACK) < np.searchsorted(at[w], shift + i + SLACK, "right")
+        well = (hits >= index.enough[t]) & (hits > best)
+        shift, hits = shift[well], hits[well]
+        for key in index.keys[t] if len(shift) else []:
+            first = here[phrase_places(key, np.zeros(len(here), int), here, what)]
+            stands = np.searchsorted(first, shift - SLACK) < np.searchsorted(first, shift + len(words) + SLACK - len(key), "right")
+            shift, hits = shift[stands], hits[stands]
         best = max(best, int(hits.max(initial=0)))
-    return best / len(words) if best / len(words) >= cover else 0.0
+    return best / len(words)
