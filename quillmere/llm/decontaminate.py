@@ -13,6 +13,10 @@ collisions that its size allows, it is missed at the threshold with chance `miss
 are unions of those of a smaller, and so are minima: a document is signed once, at the smallest load asked for, and
 a minimum collides with an item only if it is one at the item's own load.
 
+Before minima are taken out of their arrays, each is held against a bitmap of the items' hashes (MOST_BITS bits at most,
+built by one aggregation): what no item can have is left in its array, so few rows are made from long documents. The
+bitmap passes every hash that an item has, so nothing is lost by it.
+
 Items too short for that at LEAST_LOAD (three shingles or fewer) are not left to minima: all shingles of the
 documents are held against theirs, and none is lost. Colliding pairs are then checked exactly, on the shingles
 themselves. So what is lost is at most `miss` of the pairs at the threshold, far less of those above it.
@@ -34,6 +38,8 @@ from ._spark import dropped, saved, sent
 MISS = 1e-7
 #: The smallest load; items that it would miss more often are sought among all shingles.
 LEAST_LOAD = 1 / 64
+#: Bits of the bitmap for a hash of the items, and all of them at most.
+BITS_EACH, MOST_BITS = 16, 1 << 18
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -75,6 +81,18 @@ def least_collisions(common: int, chance: float, miss: float) -> int:
     return max(1, m)
 
 
+def known_hashes(posting: DataFrame) -> str:
+    """SQL: whether the hash {h} may be one of posting's; true for all of these. A condition for filters on arrays."""
+    rows = posting.count()
+    bits = min(MOST_BITS, 1 << max(6, math.ceil(math.log2(max(1, rows * BITS_EACH)))))
+    at = F.col("hash").bitwiseAND(F.lit(bits - 1))
+    held = posting.select(F.shiftright(at, 6).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(hash & 63 AS INT))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    words = dict(held.collect())  # bits / 64 rows at most
+    # The smallest long has no literal of its own.
+    table = ", ".join(f"{words.get(i, 0)}L" if words.get(i, 0) != -(1 << 63) else "shiftleft(1L, 63)" for i in range(bits // 64))
+    return f"getbit(array({table})[CAST(shiftright({{h}} & {bits - 1}L, 6) AS INT)], CAST({{h}} & 63 AS INT)) = 1"
+
+
 def item_sets(items: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """item_id, k (words in a run), n and runs of each item with words."""
     split = items.select(F.col(key).cast("long").alias("item_id"), word_list(F.col(text)).alias("w")).where("item_id is not null and size(w) > 0").withColumn("k", F.least(F.size("w"), F.lit(words)))
@@ -122,18 +140,21 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     # Each hash with the one before it; what begins no bin of its own is no minimum.
     paired = binned.select("doc_id", "bits", F.arrays_zip(F.col("h").alias("hash"), F.expr("concat(array(CAST(NULL AS BIGINT)), slice(h, 1, greatest(size(h) - 1, 0)))").alias("before")).alias("h"))
     first = "({0}before IS NULL OR shiftright({0}hash, 64 - {1}) <> shiftright({0}before, 64 - {1}))"
-    signed = paired.select("doc_id", "bits", F.expr(f"filter(h, x -> {first.format('x.', 'bits')})").alias("minima"))
+    longer = posting.where(~F.col("n").isin(short)) if short else posting
+    asked = known_hashes(longer).format(h="x.hash")
+    signed = paired.select("doc_id", "bits", F.expr(f"filter(h, x -> {asked} AND {first.format('x.', 'bits')})").alias("minima"))
     # The outer form, for the inner one is given a filter on the array, which the optimizer would push below the
     # projections and work out anew for every element.
     flat = signed.select("doc_id", "bits", F.explode_outer("minima").alias("m")).select("doc_id", "bits", "m.hash", "m.before")
     met = []
     if loads:
-        own = posting.join(F.broadcast(least.select("n", "level")), "n")
-        hits = flat.join(sent(own.where(~F.col("n").isin(short)) if short else own), "hash")
+        hits = flat.join(sent(longer.join(F.broadcast(least.select("n", "level")), "n")), "hash")
         met.append(hits.where(first.format("", "greatest(1, bits - level)")).select("doc_id", "item_id", "n", "hash"))
     if short:
         short_ks = sorted({r["k"] for r in sizes if r["n"] in short})
-        met.append(all_hashes(short_ks).select("doc_id", F.explode_outer("h").alias("hash")).join(sent(posting.where(F.col("n").isin(short))), "hash").select("doc_id", "item_id", "n", "hash"))
+        brief = posting.where(F.col("n").isin(short))
+        possible = all_hashes(short_ks).select("doc_id", F.expr(f"filter(h, x -> {known_hashes(brief).format(h='x')})").alias("h"))
+        met.append(possible.select("doc_id", F.explode_outer("h").alias("hash")).join(sent(brief), "hash").select("doc_id", "item_id", "n", "hash"))
     found = reduce(DataFrame.unionByName, met).groupBy("doc_id", "item_id", "n").agg(F.count("*").alias("collisions"))
     pairs = saved(found.join(F.broadcast(least), "n").where("collisions >= least").select("doc_id", "item_id").distinct(), "pairs")
     dropped(posting)
