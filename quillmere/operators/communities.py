@@ -1,10 +1,15 @@
 """Communities by modularity (Louvain), on DataFrames.
 
-All nodes of a sweep decide at once, from the communities' totals before it, so a sweep is three aggregations
-and not a loop over nodes. To keep neighbours from swapping for ever, a sweep moves only one half of the nodes,
-dealt anew each time by a hash, and a level ends with the best labelling it has met. Ties go to the smallest
-label; the result does not depend on the order of rows. Each level runs on the graph of the communities before
-it, with the weight inside a community as a loop.
+All nodes that a sweep asks decide at once, from the communities' totals before it, so a sweep is a few aggregations and
+not a loop over nodes. To keep neighbours from swapping for ever, a sweep moves only one half of the nodes, dealt
+anew each time by a hash; the others are asked again. A sweep asks only nodes that were held back or that are next to
+one that moved; when none is left all are asked once more, and a level ends when none of all wants to move, when its
+modularity has stopped rising, or after MAX_SWEEPS; it returns the best labelling that it has met. Ties go to the
+smallest label; the result does not depend on the order of rows. Each level runs on the graph of the communities
+before it, with the weight inside a community as a loop.
+
+The arcs are written once a level, bucketed by node as the nodes' state is, so that asking a node moves only
+the arcs of those asked, to learn their other ends' labels. A node of very high degree is summed before it is moved.
 """
 
 from __future__ import annotations
@@ -12,10 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut
+from ..tables import bucketed, cut, discard
 from .graph import edge_weights
 
 MAX_SWEEPS, MAX_LEVELS, MIN_SIZE = 100, 3, 2
+#: Modularity is worked out after so many sweeps; a level ends after so many looks without so much of a rise.
+LOOK, PATIENCE, RISE = 3, 2, 1e-6
 
 
 def modularity(edges: DataFrame, labels: DataFrame, total: float) -> float:
@@ -30,39 +37,64 @@ def modularity(edges: DataFrame, labels: DataFrame, total: float) -> float:
     return inside / total - squares / (4 * total * total)
 
 
-def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS, patience: int = 4) -> DataFrame:
+def _quality(edges: DataFrame, state: DataFrame, total: float) -> float:
+    """modularity(), with the nodes' strengths k at hand."""
+    la, lb = state.select(F.col("node").alias("a"), F.col("label").alias("la")), state.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    inside = edges.join(la, "a").join(lb, "b").where("la = lb").agg(F.sum("weight")).first()[0] or 0.0
+    squares = state.groupBy("label").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] or 0.0
+    return inside / total - squares / (4 * total * total)
+
+
+def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS) -> DataFrame:
     """node, label of one level; edges (a, b, weight) with a <= b, nodes (node). Without weight all stay alone."""
+    spark = edges.sparkSession
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
-    labels = cut(nodes.select("node", F.col("node").alias("label")), "labels")
     if total <= 0:
-        return labels
-    arcs = cut(edges.where("a <> b").select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e"), "weight").select("e.node", "e.other", "weight"), "arcs")
-    strength = cut(edges.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k")), "strength")
-    loops = edges.where("a = b").agg(F.sum("weight")).first()[0] or 0.0
-    best, best_q, still = labels, float("-inf"), 0
-    for sweep in range(sweeps + 1):
-        own = labels.join(strength, "node").select("node", F.col("label").alias("own"), "k")
-        sizes = own.groupBy(F.col("own").alias("label")).agg(F.sum("k").alias("tot"))
-        links = arcs.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node", "label").agg(F.sum("weight").alias("inside"))
-        # A node may stay although it has no link inside its community.
-        options = links.join(own, "node").unionByName(own.select("node", F.col("own").alias("label"), F.lit(0.0).alias("inside"), "own", "k")).groupBy("node", "label", "own", "k").agg(F.max("inside").alias("inside")).join(sizes, "label")
-        options = cut(options, "options")
-        # The labelling's modularity, from the rows of the nodes' own communities.
-        facts = options.where("label = own").agg(F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares")).first()
-        q = (facts["inside"] / 2 + loops) / total - facts["squares"] / (4 * total * total)
-        if q > best_q + 1e-12:
-            best, best_q, still = labels, q, 0
+        return cut(nodes.select("node", F.col("node").alias("label")), "labels")
+    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
+    arcs = bucketed(spark, edges.where("a <> b").select(F.explode(ends).alias("e"), "weight").select("e.node", "e.other", "weight"), ["node"], "arcs")
+    strength = edges.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k"))
+    state = cut(nodes.join(strength, "node").select("node", F.col("node").alias("label"), "k", F.lit(True).alias("asked")), "state")
+    best, best_q, stale, every = state, -1.0, 0, True
+    for sweep in range(sweeps):
+        tot = state.groupBy("label").agg(F.sum("k").alias("tot"))
+        asked = state.where("asked").select("node", F.col("label").alias("own"), "k")
+        met = arcs.join(asked, "node").join(state.select(F.col("node").alias("other"), "label"), "other")
+        links = met.groupBy("node", "own", "k", "label").agg(F.sum("weight").alias("inside")).join(tot, "label")
+        share = F.col("k") / (2 * total)
+        gain = F.round(F.col("inside") - F.col("tot") * share, 9)
+        # The highest gain elsewhere, of the smallest label; and what the node has inside its own community.
+        away = F.min(F.when(F.col("label") != F.col("own"), F.struct((F.lit(0.0) - gain).alias("loss"), "label"))).alias("away")
+        offers = links.groupBy("node", "own", "k").agg(away, F.max(F.when(F.col("label") == F.col("own"), F.col("inside"))).alias("inside"))
+        stay = F.round(F.coalesce("inside", F.lit(0.0)) - (F.col("tot") - F.col("k")) * share, 9)
+        wishes = offers.where("away is not null").join(tot.withColumnRenamed("label", "own"), "own").where(-F.col("away.loss") > stay)
+        wishes = cut(wishes.select("node", F.col("away.label").alias("to"), (F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).alias("moves")), "wishes")
+        count = wishes.agg(F.count("*").alias("n"), F.count(F.when(F.col("moves"), 1)).alias("moved")).first()
+        if not count["n"]:
+            if every:
+                break
+            # Nobody who was asked wants to move; the others' gains may have changed with the communities' totals.
+            again, every = cut(state.withColumn("asked", F.lit(True)), "state"), True
         else:
-            still += 1
-        if still >= patience or sweep == sweeps:
-            break
-        rest = F.col("tot") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("inside") - rest * F.col("k") / (2 * total), 9)
-        # The highest gain, staying before moving, the smallest label.
-        chosen = options.groupBy("node").agg(F.min(F.struct((F.lit(0.0) - gain).alias("loss"), (F.col("label") != F.col("own")).alias("moves"), "label")).alias("top"))
-        moves = chosen.where("top.moves").where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).select("node", F.col("top.label").alias("to"))
-        labels = cut(labels.join(moves, "node", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-    return best
+            moves = wishes.where("moves").select("node", "to")
+            next_ = arcs.join(moves.select("node"), "node").select(F.col("other").alias("node")).unionByName(wishes.where("not moves").select("node")).distinct()
+            again, every = state.drop("asked").join(moves, "node", "left").join(next_.withColumn("asked", F.lit(True)), "node", "left"), False
+            again = cut(again.select("node", F.coalesce("to", "label").alias("label"), "k", F.coalesce("asked", F.lit(False)).alias("asked")), "state")
+        discard(wishes)
+        if state is not best:
+            discard(state)
+        state = again
+        if every or (sweep + 1) % LOOK == 0 or sweep + 1 == sweeps:
+            q = _quality(edges, state, total)
+            stale = stale + 1 if q <= best_q + RISE else 0
+            if q > best_q:
+                best, best_q = state, q
+            if stale >= PATIENCE:
+                break
+    else:
+        return best.select("node", "label")
+    # Ended between two looks.
+    return (state if _quality(edges, state, total) >= best_q else best).select("node", "label")
 
 
 def louvain(relationships: DataFrame, max_levels: int = MAX_LEVELS, sweeps: int = MAX_SWEEPS) -> DataFrame:

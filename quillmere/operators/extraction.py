@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_name, normalise_predicate
+from ..tables import cut
 from .catalog import resolve_claims
+from .ledger import Ledger
 from .merge import insert_or_ignore, upsert
 
 #: Chunks a call, characters a prompt, further passes, chunks read for claims.
@@ -33,22 +36,32 @@ def parse_entities(text: str) -> tuple[list[dict], list[dict]]:
     return list(data.get("entities") or []), list(data.get("relationships") or [])
 
 
+def _prompt(text: str, entities: list[dict] | None = None) -> str:
+    """Of a first pass, or of a further one that names what was found before."""
+    known = "" if entities is None else "\n" + "\n".join(f"known: {e['name'].lower()}" for e in entities if e.get("name"))
+    return "ENTITIES\n" + text[:ENTITY_CHARS] + known
+
+
+def _with_more(entities: list[dict], relations: list[dict], answer: str) -> tuple[list[dict], list[dict], bool]:
+    """With what a further pass has found and was not there; and whether that is anything."""
+    more, links = parse_entities(answer)
+    ends = lambda r: tuple(str(r.get(k, "")).lower() for k in ("source", "target", "predicate"))
+    seen, met = {str(e.get("name", "")).lower() for e in entities}, {ends(r) for r in relations}
+    fresh = [e for e in more if str(e.get("name", "")).lower() not in seen]
+    tied = [r for r in links if ends(r) not in met]
+    return entities + fresh, relations + tied, bool(fresh or tied)
+
+
 def extract_entities(text: str, provider, gleanings: int = GLEANINGS) -> tuple[list[dict], list[dict]]:
     """One call, and further ones that name what was found before; what a later pass repeats is dropped."""
-    entities, relations = parse_entities(provider.complete("ENTITIES\n" + text[:ENTITY_CHARS], json_mode=True))
+    entities, relations = parse_entities(provider.complete(_prompt(text), json_mode=True))
     for _ in range(gleanings):
-        names = [e.get("name") for e in entities if e.get("name")]
         try:
-            more, links = parse_entities(provider.complete("ENTITIES\n" + text[:ENTITY_CHARS] + "\n" + "\n".join(f"known: {n.lower()}" for n in names), json_mode=True))
+            entities, relations, more = _with_more(entities, relations, provider.complete(_prompt(text, entities), json_mode=True))
         except ValueError:
             break
-        seen = {str(e.get("name", "")).lower() for e in entities}
-        met = {tuple(str(r.get(k, "")).lower() for k in ("source", "target", "predicate")) for r in relations}
-        fresh = [e for e in more if str(e.get("name", "")).lower() not in seen]
-        tied = [r for r in links if tuple(str(r.get(k, "")).lower() for k in ("source", "target", "predicate")) not in met]
-        if not fresh and not tied:
+        if not more:
             break
-        entities, relations = entities + fresh, relations + tied
     return entities, relations
 
 
@@ -58,8 +71,15 @@ def batches(chunks: DataFrame, size: int = BATCH) -> DataFrame:
     return grouped.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n---\n").alias("text"))
 
 
-def extract(chunks: DataFrame, provider, gleanings: int = GLEANINGS) -> DataFrame:
-    """Entity and relation rows (EXTRACTED). A batch whose answer cannot be read is left out."""
+def _rows(doc: str, batch: int, entities: list[dict], relations: list[dict]) -> list[tuple]:
+    out = [(doc, batch, i, "entity", e.get("name"), e.get("type"), e.get("description"), None, None, None, None) for i, e in enumerate(entities)]
+    return out + [(doc, batch, i, "relation", None, None, r.get("description"), r.get("source"), r.get("target"), r.get("predicate"), float(r.get("weight") or 1.0)) for i, r in enumerate(relations)]
+
+
+def extract(chunks: DataFrame, provider, gleanings: int = GLEANINGS, ledger: Ledger | None = None) -> DataFrame:
+    """Entity and relation rows (EXTRACTED). A batch whose answer cannot be read is left out. With a ledger no prompt is asked
+    twice, over all runs."""
+    columns = [c.split()[0] for c in EXTRACTED.split(", ")]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -69,39 +89,79 @@ def extract(chunks: DataFrame, provider, gleanings: int = GLEANINGS) -> DataFram
                     entities, relations = extract_entities(text, provider, gleanings)
                 except ValueError:
                     continue
-                out += [(doc, batch, i, "entity", e.get("name"), e.get("type"), e.get("description"), None, None, None, None) for i, e in enumerate(entities)]
-                out += [(doc, batch, i, "relation", None, None, r.get("description"), r.get("source"), r.get("target"), r.get("predicate"), float(r.get("weight") or 1.0)) for i, r in enumerate(relations)]
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in EXTRACTED.split(", ")])
+                out += _rows(doc, batch, entities, relations)
+            yield pd.DataFrame(out, columns=columns)
+
+    if ledger is None:
+        return batches(chunks).mapInPandas(run, EXTRACTED)
+
+    # A pass over all batches at a time; `found` is what a batch's passes have found so far, null if that is nothing yet.
+    @F.pandas_udf("string")
+    def next_prompt(texts: pd.Series, founds: pd.Series) -> pd.Series:
+        return pd.Series([_prompt(t, json.loads(f)[0] if f else None) for t, f in zip(texts, founds, strict=True)], dtype=object)
+
+    @F.pandas_udf("found string, open boolean")
+    def after(founds: pd.Series, answers: pd.Series) -> pd.DataFrame:
+        out = []
+        for held, answer in zip(founds, answers, strict=True):
+            try:
+                entities, relations, more = _with_more(*json.loads(held), answer) if held else (*parse_entities(answer), True)
+                out.append((json.dumps([entities, relations]), more))
+            except ValueError:
+                out.append((held, False))
+        return pd.DataFrame(out, columns=["found", "open"])
+
+    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = part[["doc_id", "batch", "found"]].itertuples(index=False)
+            yield pd.DataFrame([x for doc, batch, found in rows for x in _rows(doc, batch, *json.loads(found))], columns=columns)
 
-    return batches(chunks).mapInPandas(run, EXTRACTED)
+    open_ = cut(batches(chunks).withColumn("found", F.lit(None).cast("string")), "batches")
+    done = []
+    for _ in range(1 + gleanings):
+        answered = ledger.complete(open_.withColumn("prompt", next_prompt("text", "found")), "prompt", provider, json_mode=True)
+        passed = cut(answered.withColumn("a", after("found", "answer")).select("doc_id", "batch", "text", "a.found", "a.open"), "passed")
+        done.append(passed.where("not open"))
+        open_ = passed.where("open").drop("open")
+    every = reduce(DataFrame.unionByName, [x.drop("open") for x in done], open_)
+    return every.where("found is not null").mapInPandas(told, EXTRACTED)
 
 
-def extract_claims(chunks: DataFrame, provider) -> DataFrame:
+def extract_claims(chunks: DataFrame, provider, ledger: Ledger | None = None) -> DataFrame:
     """doc_id, entity_name, claim, status from the first chunks of each document."""
 
+    def read(doc: str, answer: str) -> list[tuple]:
+        try:
+            found = json.loads(_fences(answer))
+        except ValueError:
+            return []
+        return [(doc, c.get("entity_name"), c.get("claim"), c.get("status")) for c in (found.get("claims", []) if isinstance(found, dict) else found) if c.get("claim")]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for doc, text in part[["doc_id", "text"]].itertuples(index=False):
-                try:
-                    found = json.loads(_fences(provider.complete("CLAIMS\n" + text[:CLAIM_CHARS], json_mode=True)))
-                except ValueError:
-                    continue
-                out += [(doc, c.get("entity_name"), c.get("claim"), c.get("status")) for c in (found.get("claims", []) if isinstance(found, dict) else found) if c.get("claim")]
-            yield pd.DataFrame(out, columns=["doc_id", "entity_name", "claim", "status"])
+            answers = part["answer"] if "answer" in part else [provider.complete(p, json_mode=True) for p in part["prompt"]]
+            yield pd.DataFrame([x for doc, a in zip(part["doc_id"], answers, strict=True) for x in read(doc, a)], columns=["doc_id", "entity_name", "claim", "status"])
 
-    first = batches(chunks.where(F.col("chunk_index") < CLAIM_CHUNKS), CLAIM_CHUNKS).select("doc_id", "text")
-    return first.mapInPandas(run, "doc_id string, entity_name string, claim string, status string")
+    first = batches(chunks.where(F.col("chunk_index") < CLAIM_CHUNKS), CLAIM_CHUNKS)
+    asked = first.select("doc_id", F.concat(F.lit("CLAIMS\n"), F.substring("text", 1, CLAIM_CHARS)).alias("prompt"))
+    return (asked if ledger is None else ledger.complete(asked, "prompt", provider, json_mode=True)).mapInPandas(run, "doc_id string, entity_name string, claim string, status string")
 
 
-def structure(docs: DataFrame, provider, text: str = "content") -> DataFrame:
+def structure(docs: DataFrame, provider, text: str = "content", ledger: Ledger | None = None) -> DataFrame:
     """id, structured: the provider's JSON summary of each document."""
 
     @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _fences(provider.complete("STRUCTURE\n" + t[:STRUCTURE_CHARS], json_mode=True)))
+    def run(prompts: pd.Series) -> pd.Series:
+        return prompts.map(lambda p: None if p is None else _fences(provider.complete(p, json_mode=True)))
+
+    @F.pandas_udf("string")
+    def bare(answers: pd.Series) -> pd.Series:
+        return answers.map(lambda a: None if a is None else _fences(a))
 
-    return docs.select("id", run(F.col(text)).alias("structured"))
+    asked = docs.select("id", F.concat(F.lit("STRUCTURE\n"), F.substring(F.col(text), 1, STRUCTURE_CHARS)).alias("prompt"))
+    if ledger is None:
+        return asked.select("id", run("prompt").alias("structured"))
+    return ledger.complete(asked, "prompt", provider, json_mode=True).select("id", bare("answer").alias("structured"))
 
 
 def merge_passes(base: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:

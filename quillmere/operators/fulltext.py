@@ -116,10 +116,11 @@ def snippet(content: Column, phrases: list[list[str]], width: int = SNIPPET) ->
     plain = F.filter(F.transform(parts, folded), lambda w: w.rlike(r"^[\p{L}\p{N}]"))
     places = F.sequence(F.lit(1), F.greatest(F.size(plain), F.lit(1)))
 
-    def begins(phrase: list[str]) -> Column:
-        return F.filter(places, lambda i: F.slice(plain, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase)))
+    def matches(n: int, phrase: list[str]) -> Column:
+        begins = F.filter(places, lambda i: F.slice(plain, i, F.lit(len(phrase))) == F.array(*map(F.lit, phrase)))
+        return F.transform(begins, lambda i: F.struct(i.alias("at"), F.lit(n).alias("phrase"), F.lit(len(phrase)).alias("words")))
 
-    found = F.flatten(F.array(*(F.transform(begins(p), lambda i, n=n, p=p: F.struct(i.alias("at"), F.lit(n).alias("phrase"), F.lit(len(p)).alias("words"))) for n, p in enumerate(phrases))))
+    found = F.flatten(F.array(*(matches(n, p) for n, p in enumerate(phrases))))
 
     def rated(start: Column) -> Column:
         inside = F.filter(found, lambda m: (m["at"] >= start["at"]) & (m["at"] + m["words"] <= start["at"] + width))

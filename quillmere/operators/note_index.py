@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import Layout, Store
@@ -99,8 +99,11 @@ class NoteIndex:
         parts = live.groupBy("key", "part", "dl").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
         none = F.array().cast("array<int>")
 
-        def times(phrase: list[str]):
-            begins = [F.transform(F.coalesce(F.try_element_at(F.col("at"), F.lit(w)), none), lambda x, i=i: x - i) for i, w in enumerate(phrase)]
+        def begin(i: int, word: str) -> Column:
+            return F.transform(F.coalesce(F.try_element_at(F.col("at"), F.lit(word)), none), lambda x: x - i)
+
+        def times(phrase: list[str]) -> Column:
+            begins = [begin(i, w) for i, w in enumerate(phrase)]
             both = begins[0]
             for more in begins[1:]:
                 both = F.array_intersect(both, more)

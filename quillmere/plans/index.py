@@ -15,9 +15,11 @@ from ..operators import extraction
 from ..operators.catalog import fingerprint
 from ..operators.communities import community_tables, community_texts, louvain
 from ..operators.graph import rank_entities
+from ..operators.ledger import Ledger
 from ..operators.merge import classify_changes, new_versions, pruned, supersede, update_values
 from ..operators.vector_search import embed_rows
 from ..sources.files import list_files, load_files
+from ..sources.web import MAX_PAGES, Fetch, crawl_site, site_documents
 from ..store import Layout, Snapshot, Store, Transaction
 from ..tables import CHUNKS, CLAIMS, COMMUNITIES, DOCUMENTS, EMBEDDINGS, ENTITIES, MEMBERS, RELATIONSHIPS, cut, sent
 
@@ -68,10 +70,11 @@ def _altered(after: DataFrame, before: DataFrame) -> DataFrame:
     return cut(after.exceptAll(before.select(*after.columns)), "altered")
 
 
-def index_documents(base: Base, loaded: DataFrame, provider=None, force: bool = False, use_mtime: bool = True, size: int = 512, overlap: int = 50, extract: bool = True, progress: Progress | None = None) -> dict[str, int]:
+def index_documents(base: Base, loaded: DataFrame, provider=None, force: bool = False, use_mtime: bool = True, size: int = 512, overlap: int = 50, extract: bool = True, progress: Progress | None = None, ledger: Ledger | None = None) -> dict[str, int]:
     """Index loaded documents (path, title, doc_type, content, file_hash, mtime): unchanged ones are passed over,
     touched ones get their new time, changed ones a new version. Without a provider there are no embeddings and
-    no graph. Returns counts of each change."""
+    no graph. With a ledger, a run that failed half-way asks the provider only for what is missing. Returns counts of each
+    change."""
     tell = progress or (lambda _: None)
     now = int(time.time())
     change = base.store.begin()
@@ -92,13 +95,13 @@ def index_documents(base: Base, loaded: DataFrame, provider=None, force: bool =
         change.merge("embeddings", vectors)
         tell({"phase": "embed"})
         if extract:
-            found = cut(extraction.extract(chunks, provider), "found")
+            found = cut(extraction.extract(chunks, provider, ledger=ledger), "found")
             entities, relationships = extraction.resolve(found, tables["entities"], tables["relationships"])
             entities = cut(entities, "entities")
             change.merge("entities", _altered(entities, tables["entities"])).merge("relationships", _altered(relationships, tables["relationships"]))
-            claims = extraction.add_claims(tables["claims"], extraction.extract_claims(chunks, provider), entities)
+            claims = extraction.add_claims(tables["claims"], extraction.extract_claims(chunks, provider, ledger), entities)
             change.merge("claims", _altered(claims, tables["claims"]))
-            documents = update_values(documents, extraction.structure(texts, provider), "id", "structured")
+            documents = update_values(documents, extraction.structure(texts, provider, ledger=ledger), "id", "structured")
             tell({"phase": "extract"})
     change.merge("documents", cut(documents, "documents"), sequence="version", keep_first=("created_at",)).merge("chunks", chunks, sequence="chunk_index", insert_only=True)
     change.commit()
@@ -124,6 +127,13 @@ def index_path(base: Base, root: str, provider=None, force: bool = False, prune:
     return counts | {"failed": failed} if failed else counts
 
 
+def index_site(base: Base, root: str, fetch: Fetch, provider=None, max_pages: int = MAX_PAGES, max_depth: int = 0, skip_sitemap: bool = False, **options) -> dict[str, int]:
+    """Index a site's pages. They have no times, so contents are compared by their hashes alone: a page that says the same is
+    unchanged, another text gives a new version."""
+    pages = crawl_site(base.spark, root, fetch, max_pages, max_depth, skip_sitemap)
+    return index_documents(base, cut(site_documents(pages), "site"), provider, use_mtime=False, **options)
+
+
 def prune_documents(base: Base, listing: DataFrame) -> int:
     """Delete documents of files that are not listed any more, with all that hangs on them, in one commit."""
     change = base.store.begin()

@@ -52,6 +52,16 @@ def models_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.models_by_count(d.embeddings(spark, sf_dir))
 
 
+@query(f"SELECT a.vec_id AS query_id, CAST(b.vec_id AS VARCHAR) AS id, CAST(row_number() OVER w AS INTEGER) AS rank FROM embeddings a JOIN embeddings b ON true WINDOW w AS (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, CAST(b.vec_id AS VARCHAR)) QUALIFY rank <= 5")
+def cell_index_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every vector, from all cells of an index to which a third of the vectors was added later."""
+    rows = d.embeddings(spark, sf_dir).select(F.col("chunk_id").alias("id"), "vector")
+    third = F.col("id").cast("long") % 3 == 0
+    index = vector_search.CellIndex.build(rows.where(~third), 16).add(rows.where(third))
+    asked = d.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return index.search_many(asked, 5, 16).select("query_id", "id", "rank")
+
+
 @query()
 def cell_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate top 10 of vector 0 from 12 of 32 cells."""
@@ -283,9 +293,9 @@ def related_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notes.related(edges, "src1/5").unionByName(notes.related(edges, "projects/en/3")).distinct()
 
 
-@query(f"WITH {d.NOTES_SQL} SELECT DISTINCT path, depth, type FROM (SELECT key AS path, CAST(2 AS INTEGER) AS depth, 'note' AS type FROM notes_ UNION ALL SELECT split_part(key, '/', 1), 1, 'folder' FROM notes_)")
+@query(f"WITH {d.NOTES_SQL} SELECT DISTINCT path, parent_path, name, depth, type FROM (SELECT key AS path, split_part(key, '/', 1) AS parent_path, split_part(key, '/', 2) AS name, CAST(2 AS INTEGER) AS depth, 'note' AS type FROM notes_ UNION ALL SELECT split_part(key, '/', 1), '', split_part(key, '/', 1), 1, 'folder' FROM notes_)")
 def notes_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return notes.tree(d.notes(spark, sf_dir)).select("path", "depth", "type")
+    return notes.tree(d.notes(spark, sf_dir))
 
 
 @query("SELECT page_id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(split_part(url, '?', 1), '^[a-z]+://', ''), '[^A-Za-z0-9_-]+', '-', 'g'), '-{2,}', '-', 'g'), '^[-_]+|[-_]+$', '', 'g')) AS slug FROM pages")

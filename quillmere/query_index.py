@@ -13,6 +13,7 @@ from .operators.note_index import NoteIndex
 from .plans import search
 from .providers import OfflineProvider
 from .registry import query
+from .sources import archives
 from .store import Layout, Store
 from .tables import cut, scratch
 
@@ -152,3 +153,11 @@ def global_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     communities = rows.select(F.concat(F.lit("c-"), F.col("vec_id").cast("string")).alias("id"), F.lit(0).alias("level"), F.lit("T").alias("title"), F.when(F.col("label") % 5 < 3, F.concat(F.lit("about "), F.col("vec_id").cast("string"))).otherwise("").alias("summary"), F.when(F.col("label") % 2 == 0, F.col("embedding")).alias("vector"))
     answer, ranked = search.global_search({"communities": communities}, _Vector(_query_vector(spark, sf_dir)), "what")
     return ranked.limit(1).select(F.lit(answer).alias("answer"))
+
+
+@query(f"WITH {d.NOTES_SQL} SELECT key, sha256(content) AS raw_sha256 FROM notes_")
+def archived_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All notes written to archives by tasks and streamed back."""
+    folder = scratch(spark, "archives")
+    archives.write_archives(d.notes(spark, sf_dir).select("key", F.col("content").alias("raw")), folder, 8)
+    return archives.read_archives(spark, folder).select("key", F.sha2("raw", 256).alias("raw_sha256"))

@@ -208,6 +208,14 @@ def note_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("key", "message").where(F.lit(one == 1))
 
 
+@query("SELECT sha256(CAST(doc_id AS VARCHAR)) AS commit, CAST(row_number() OVER (ORDER BY doc_id % 5 DESC, sha256(CAST(doc_id AS VARCHAR))) - 1 AS BIGINT) AS place FROM documents WHERE lang = 'en' QUALIFY place < 50")
+def history_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 50 commits of a key, newest first, ties by name; every text is a commit of its language."""
+    at = F.col("doc_id")
+    log = d.table(spark, sf_dir, "documents").select(F.sha2(at.cast("string"), 256).alias("commit"), F.col("lang").alias("key"), F.lit("ann").alias("author"), (at % 5).alias("time"), F.lit("m").alias("message"))
+    return notes.history_of(log, "en").coalesce(1).select("commit", F.monotonically_increasing_id().alias("place"))
+
+
 @query("SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS entities, (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM lineitem) AS relationships, (SELECT count(*) FROM documents) AS notes, true AS changes_are_seen")
 def graph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What communities are made from, by counts and hashes; another weight gives another fingerprint."""
@@ -226,10 +234,10 @@ def query_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select("id", "source_id", "target_id")
 
 
-@query(f"WITH {d.RELATIONSHIPS_SQL}, {d.ENTITIES_SQL}, deg AS (SELECT id, count(*) AS rank FROM (SELECT source_id AS id FROM relationships_ UNION ALL SELECT target_id FROM relationships_) GROUP BY id), top AS (SELECT e.id FROM entities_ e LEFT JOIN deg USING (id) ORDER BY coalesce(rank, 0) DESC, e.id LIMIT 60) SELECT id FROM relationships_ WHERE source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)")
+@query(f"WITH {d.RELATIONSHIPS_SQL}, {d.ENTITIES_SQL}, deg AS (SELECT id, count(*) AS rank FROM (SELECT source_id AS id FROM relationships_ UNION ALL SELECT target_id FROM relationships_) GROUP BY id), top AS (SELECT e.id FROM entities_ e LEFT JOIN deg USING (id) ORDER BY coalesce(rank, 0) DESC, e.id LIMIT 1000) SELECT id FROM relationships_ WHERE source_id IN (SELECT id FROM top) AND target_id IN (SELECT id FROM top)")
 def glance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rels = d.relationships(spark, sf_dir)
-    return graph.glance(graph.rank_entities(d.entities(spark, sf_dir), rels), rels)[1].select("id")
+    return graph.glance(graph.rank_entities(d.entities(spark, sf_dir), rels), rels, 1000)[1].select("id")
 
 
 @query(f"WITH {d.NOTES_SQL} SELECT source, target, target LIKE 'projects/%' AS cross_project FROM links_")

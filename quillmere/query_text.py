@@ -25,12 +25,12 @@ def same_origin_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", text.same_origin(moved, "https://m.example.net").alias("mobile"))
 
 
-@query("SELECT vec_id, octet_length(b) AS n_bytes, first, last FROM (SELECT vec_id, repeat('x', 4 * len(embedding))::BLOB AS b, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings)")
+@query("SELECT vec_id, CAST(4 * len(embedding) AS BIGINT) AS n_bytes, CAST(i - 1 AS INTEGER) AS place, CAST(embedding[i] AS DOUBLE) AS value FROM embeddings, unnest(range(1, len(embedding) + 1)) AS u(i)")
 def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors written as little-endian 32-bit floats and read back."""
+    """Vectors written as little-endian 32-bit floats and read back, component by component."""
     packed = d.table(spark, sf_dir, "embeddings").select("vec_id", vectors.pack_vector(F.col("embedding").cast("array<float>")).alias("b"))
-    both = packed.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), vectors.unpack_vector(F.col("b")).alias("v"))
-    return both.select("vec_id", "n_bytes", F.element_at("v", 1).cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
+    both = packed.select("vec_id", F.octet_length("b").cast("long").alias("n_bytes"), F.posexplode(vectors.unpack_vector(F.col("b"))).alias("place", "value"))
+    return both.withColumn("value", F.col("value").cast("double"))
 
 
 @query("SELECT a.vec_id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(c.v AS DOUBLE[])), 6) AS distance FROM embeddings a, (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) c UNION ALL SELECT -1, 1")

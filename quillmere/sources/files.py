@@ -164,7 +164,7 @@ def read_notes(spark: SparkSession, root: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     base = re.sub(r"^file:/*", "/", root).rstrip("/") if root.startswith(("file:", "/")) else root.rstrip("/")
     key = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("path"), r"^file:/*", "/"), f"^{re.escape(base)}/", ""), r"\.md$", "")
-    return files.select(key.alias("key"), F.decode("content", F.lit("UTF-8")).alias("raw"), F.unix_timestamp("modificationTime").alias("mtime")).where(~F.col("key").rlike(r"(^|/)\.")).orderBy("key")
+    return files.select(key.alias("key"), F.decode("content", "UTF-8").alias("raw"), F.unix_timestamp("modificationTime").alias("mtime")).where(~F.col("key").rlike(r"(^|/)\.")).orderBy("key")
 
 
 def untar_notes(spark: SparkSession, path: str, entries: int = IMPORT_ENTRIES, total: int = IMPORT_BYTES, each: int = NOTE_BYTES) -> DataFrame:

@@ -1,18 +1,20 @@
 """Documents from web pages: sitemaps, crawls over a table of links, page loading.
 
-Fetching is a function of the caller's (a url gives status, content type and body); tests and offline runs give
-a table of pages instead.
+Fetching is a function of the caller's (a url gives status, content type and body), called by the tasks of a data source;
+offline runs give a table of pages instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.html import extract_html, links, main_content, same_origin
 from ..tables import cut
@@ -91,48 +93,87 @@ def page_documents(pages: DataFrame, url: str = "url", html: str = "html") -> Da
     return rows.where(F.trim("m.text") != "").select("path", F.coalesce(F.nullif(F.col("m.title"), F.lit("")), place).alias("title"), F.lit("web").alias("doc_type"), F.col("m.text").alias("content"), F.sha2("m.text", 256).alias("file_hash"))
 
 
-def fetch_pages(urls: DataFrame, fetch: Fetch) -> DataFrame:
-    """url, title, content of the addresses that answer 200 with HTML or plain text of at most 10 MB and not
-    blank; fetched by the tasks, each its own part."""
+PAGE = "url string, depth int, status int, kind string, body binary"
 
-    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for url in part["url"]:
-                status, kind, body = fetch(url)
-                if status != 200 or not kind.startswith(("text/html", "text/plain")):
-                    continue
-                text = body[:PAGE_BYTES].decode("utf-8", "replace")
-                title, content = extract_html(text) if kind.startswith("text/html") else ("", text)
-                if content.strip():
-                    rows.append((url, title or urlsplit(url).path.strip("/") or urlsplit(url).netloc, content))
-            yield pd.DataFrame(rows, columns=["url", "title", "content"])
 
-    return urls.select("url").mapInPandas(load, "url string, title string, content string")
+class _Reader(DataSourceReader):
+    """A partition for each `size` addresses; each is fetched by one task, with the caller's function."""
+
+    def __init__(self, urls: list[tuple[str, int]], fetch: Fetch, size: int):
+        self.urls, self.fetch, self.size = urls, fetch, size
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(self.urls[i : i + self.size]) for i in range(0, len(self.urls), self.size)] or [InputPartition([])]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for url, depth in partition.value:
+            try:
+                status, kind, body = self.fetch(url)
+            except OSError:  # no answer
+                status, kind, body = 0, "", b""
+            yield url, depth, status, kind, body[:PAGE_BYTES]
+
+
+def page_source(urls: list[tuple[str, int]], fetch: Fetch, size: int = 4) -> type[DataSource]:
+    """A data source `pages` that reads the addresses (url, depth) through `fetch`; to be registered with a session."""
+
+    class Pages(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "pages"
+
+        def schema(self) -> str:
+            return PAGE
+
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(urls, fetch, size)
 
+    return Pages
 
-def index_site(fetch: Fetch, spark, root: str, max_pages: int = MAX_PAGES, max_depth: int = 0, skip_sitemap: bool = False) -> DataFrame:
-    """Addresses of a site: its sitemap's, else those of a crawl that fetches level by level; then the pages."""
+
+def fetched(spark: SparkSession, urls: list[tuple[str, int]], fetch: Fetch) -> DataFrame:
+    """Pages of the addresses, fetched once each and written: links and texts come from the same answers."""
+    spark.dataSource.register(page_source(urls, fetch))
+    return cut(spark.read.format("pages").load(), "pages")
+
+
+def crawl_site(spark: SparkSession, root: str, fetch: Fetch, max_pages: int = MAX_PAGES, max_depth: int = 0, skip_sitemap: bool = False) -> DataFrame:
+    """Pages of a site (url, depth, status, kind, body): those of its sitemap, else breadth first along its own links
+    from the root, level by level. At most max_pages (0: 500) are fetched; those at max_depth (0: no bound) are not
+    expanded. Each level's new addresses, a bounded list, are what the next one's reader is given."""
     bound = max_pages or MAX_PAGES
-    urls = [] if skip_sitemap else discover_sitemap(fetch, root)
-    if urls:
-        return fetch_pages(spark.createDataFrame([(u,) for u in urls[:bound]], "url string"), fetch)
-    seen, level, depth = {root: None}, [root], 0
-    while level and len(seen) < bound and (not max_depth or depth < max_depth):
+    listed = [] if skip_sitemap else discover_sitemap(fetch, root)
+    if listed:
+        return fetched(spark, [(u, 0) for u in listed[:bound]], fetch)
+    seen, level, depth, found = {root}, [root], 0, []
+    while level:
+        pages = fetched(spark, [(u, depth) for u in level], fetch)
+        found.append(pages)
         depth += 1
+        if len(seen) >= bound or (max_depth and depth > max_depth):
+            break
+        html = pages.where("status = 200 AND kind LIKE 'text/html%'").select("url", F.decode("body", "UTF-8").alias("html"))
+        known = spark.createDataFrame([(u,) for u in sorted(seen)], "target string")
+        fresh = link_table(html, base=root).select("target").distinct().join(F.broadcast(known), "target", "left_anti")  # bounded by max_pages
+        level = [r["target"] for r in fresh.orderBy("target").limit(bound - len(seen)).collect()]
+        seen |= set(level)
+    return reduce(DataFrame.unionByName, found)
+
+
+def site_documents(pages: DataFrame) -> DataFrame:
+    """path, title, doc_type, content, file_hash and mtime (null) of pages that answered 200 with HTML or plain text that is
+    not blank. The hash is the content's, so a page whose markup alone has changed is unchanged."""
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for url, kind, body in zip(part["url"], part["kind"], part["body"], strict=True):
+                text = bytes(body).decode("utf-8", "replace")
+                title, content = extract_html(text) if kind.startswith("text/html") else ("", text)
+                if content.strip():
+                    rows.append((url, title or urlsplit(url).path.strip("/") or urlsplit(url).netloc, content))
+            yield pd.DataFrame(rows, columns=["path", "title", "content"])
 
-        def expand(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            from ..functions.html import page_links
-
-            for part in parts:
-                out = []
-                for url in part["url"]:
-                    status, kind, body = fetch(url)
-                    if status == 200 and kind.startswith("text/html"):
-                        out += page_links(body[:PAGE_BYTES].decode("utf-8", "replace"), url, root)
-                yield pd.DataFrame({"url": out})
-
-        found = spark.createDataFrame([(u,) for u in level], "url string").mapInPandas(expand, "url string").distinct().orderBy("url")
-        level = [r["url"] for r in found.limit(bound + len(seen)).collect() if r["url"] not in seen]  # bounded by max_pages
-        seen |= dict.fromkeys(level)
-    return fetch_pages(spark.createDataFrame([(u,) for u in list(seen)[:bound]], "url string"), fetch)
+    wanted = pages.where("status = 200 AND (kind LIKE 'text/html%' OR kind LIKE 'text/plain%')").select("url", "kind", "body")
+    rows = wanted.mapInPandas(read, "path string, title string, content string")
+    return rows.select("path", "title", F.lit("web").alias("doc_type"), "content", F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("long").alias("mtime"))

@@ -31,14 +31,18 @@ BUCKETS = 16
 
 @dataclass(frozen=True)
 class Layout:
-    """A table's schema, what its rows are told apart by, and the columns whose hash names a row's bucket."""
+    """A table's schema, what its rows are told apart by, and the columns whose hash names a row's bucket; or one column that
+    has the bucket's number itself."""
 
     schema: str
     keys: tuple[str, ...]
     by: tuple[str, ...]
     buckets: int = BUCKETS
+    numbered: bool = False
 
     def bucket(self) -> Column:
+        if self.numbered:
+            return F.col(self.by[0]).cast("int")
         return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
     def bucket_of(self, spark: SparkSession, rows: Iterable[tuple]) -> list[int]:

@@ -56,6 +56,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the files behind tables made by cut(); nothing may read them afterwards."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(file).getParent()
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bucketed(spark: SparkSession, df: DataFrame, keys: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """Written to the shared folder in buckets of a hash of `keys` and read back: joins and groupings on them need not move it."""
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))

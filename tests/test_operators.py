@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillmere import queries, tables
@@ -117,15 +118,55 @@ def test_cell_index_recall(spark):
     x = centres[rng.integers(0, 40, 4000)] + 0.7 * rng.normal(size=(4000, 32))
     rows = spark.createDataFrame([(f"{i:05}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
     built = vector_search.CellIndex.build(rows, 32)
-    index = vector_search.CellIndex.open(spark, built.folder)
-    assert index.rows.count() == 4000
+    index = vector_search.CellIndex.open(spark, built.store.folder)
+    assert index.rows().count() == 4000
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    hits = 0
-    for q in range(0, 4000, 200):
-        found = index.search(x[q].tolist(), 10, 8)
-        hits += len({int(r["id"]) for r in found.collect()} & set(np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist()))
+    exact = {q: np.argsort(-(unit @ unit[q]), kind="stable")[:10].tolist() for q in range(0, 4000, 200)}
+    hits = sum(len({int(r["id"]) for r in index.search(x[q].tolist(), 10, 8).collect()} & set(want)) for q, want in exact.items())
     assert hits >= 0.95 * 20 * 10
-    assert "PartitionFilters: [" in found._jdf.queryExecution().toString() and "cell" in found._jdf.queryExecution().toString().split("PartitionFilters: [")[1][:200]
+    found = index.search(x[0].tolist(), 10, 8)
+    read = {f.split("bucket=")[1].split("/")[0] for f in found.inputFiles() if "/rows/" in f}
+    assert read == {str(c) for c in index._probed(x[:1], 8)[0]}  # files of other cells are not read
+
+
+@pytest.mark.parametrize("probes", [16, 32])
+def test_cell_index_of_many_queries(spark, sf_dir, monkeypatch, probes):
+    """All vectors as queries at once: with all cells the result is exact, with half of them near it; groups are split."""
+    monkeypatch.setattr(vector_search, "SLICE", 7)
+    monkeypatch.setattr(vector_search, "QUERIES", 50)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    x = np.array([r.vector for r in rows.orderBy("id").collect()], float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    index = vector_search.CellIndex.build(rows, 32)
+    asked = rows.select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector")).unionByName(spark.createDataFrame([(-1, None), (-2, [1.0])], "query_id long, query_vector array<float>"))
+    found = {}
+    for r in index.search_many(asked, 10, probes).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.id, r.score)
+    assert set(found) == set(range(len(x))) and all(sorted(v) == list(range(1, 11)) for v in found.values())
+    scores = unit @ unit.T
+    near = np.argsort(-scores, axis=1, kind="stable")[:, :10]
+    recall = np.mean([len({i for i, _ in found[q].values()} & set(near[q].tolist())) / 10 for q in found])
+    assert recall >= (0.999 if probes == 32 else 0.75)
+    assert all(abs(s - scores[q, i]) < 1e-9 for q in found for i, s in found[q].values())
+
+
+def test_cell_index_changes(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 8))
+    frame = lambda ids, shift=0.0: spark.createDataFrame([(i, (x[i] + shift).tolist()) for i in ids], "id long, vector array<double>")
+    index = vector_search.CellIndex.build(frame(range(200)), 8, folder=f"file://{tmp_path}/cells", source_version=3)
+    before = set(index.now.files("rows"))
+    other = vector_search.CellIndex.open(spark, f"file://{tmp_path}/cells", source_version=3)
+    index.add(frame([5, 250], 0.5), source_version=4).remove(spark.createDataFrame([(7,), (999,)], "id long"), source_version=5)
+    assert before < set(index.now.files("rows"))  # what was there is not written again
+    ids = lambda some, n=300: {r.id for r in some.search(x[7].tolist(), n, 8).collect()}
+    assert ids(index) == set(range(200)) - {7} | {250} and ids(other) == set(range(200))
+    assert index.search((x[5] + 0.5).tolist(), 1, 8).first().id == 5 and other.search(x[7].tolist(), 1, 8).first().id == 7
+    assert index.rows().count() == 200 and index.compact().rows().count() == 200 and ids(index) == ids(other.refresh())
+    with pytest.raises(vector_search.StaleIndex):
+        vector_search.CellIndex.open(spark, f"file://{tmp_path}/cells", source_version=6)
+    with pytest.raises(vector_search.DimensionError):
+        index.add(spark.createDataFrame([(1, [1.0])], "id long, vector array<double>"))
 
 
 def test_modularity_of_communities(spark):
