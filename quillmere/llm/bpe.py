@@ -32,6 +32,8 @@ AGREE = 2
 _RUN = regex.compile(
     r"(?<=[A-Za-z]{3})(?=[A-Za-z]{3})|(?<=[0-9]{3})(?=[0-9]{3})|(?<=\p{L}{3})(?=\p{L}{3})|(?<=\p{N}{3})(?=\p{N}{3})"
     r"|(?<=[^\s\p{L}\p{N}']{3})(?=[^\s\p{L}\p{N}']{3})|(?<='{3})(?='{3})|(?<=\s{3})(?=\s{3})"
+    # Signs and apostrophes in turn: no letter is near, so no contraction is cut.
+    r"|(?<=[^\s\p{L}\p{N}]{3})(?=[^\s\p{L}\p{N}]{3})"
 )
 #: A blank after a sign or letter of ASCII, of any kind; and any other change of kind but those at which the
 #: vocabulary's rule may not split (a blank or an apostrophe, then a letter or sign).
