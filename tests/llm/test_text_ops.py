@@ -342,3 +342,18 @@ def test_queries_without_rows(spark, no_rows, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, sf_dir, compare, name):
     compare(queries.QUERIES[name](spark, sf_dir), queries.ORACLES[name])
+
+
+def test_runs_of_signs_and_apostrophes_are_cut():
+    path = queries._tokenizer("byte_bpe_50k.json")
+    cache, table = tokens.word_cache(path), tokens.byte_decoder(path)
+    encode = lambda t: np.frombuffer(cache.encode([t])[0], "<u4")
+    rng = random.Random(4)
+    texts = ["!'" * 30_000, "_'" * 30_000, "'_" * 9000 + "s don't '" + "!''" * 9000]
+    texts += ["".join(rng.choice(["'s", "'", "''", "!", "_", "'re", " ", "a", "'ll", "…"]) for _ in range(3000)) for _ in range(20)]
+    for text in texts:
+        size = 16_384 if len(text) > 20_000 else rng.choice([40, 100, 1000])
+        pieces = bpe.cut_text(text, size, cache.special)
+        assert "".join(p for p, _ in pieces) == text and max(len(p) for p, _ in pieces) <= size
+        ids = bpe.join_tree([encode(p) for p, _ in pieces], [fused for _, fused in pieces], encode, table)
+        assert ids.tobytes() == cache.raw([text])[0]
