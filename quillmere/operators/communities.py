@@ -14,7 +14,7 @@ the arcs of those asked, to learn their other ends' labels. A node of very high
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..tables import bucketed, cut, discard
@@ -22,7 +22,7 @@ from .graph import edge_weights
 
 MAX_SWEEPS, MAX_LEVELS, MIN_SIZE = 100, 3, 2
 #: Modularity is worked out after so many sweeps; a level ends after so many looks without so much of a rise.
-LOOK, PATIENCE, RISE = 3, 2, 1e-6
+LOOK, PATIENCE, RISE = 4, 1, 1e-4
 
 
 def modularity(edges: DataFrame, labels: DataFrame, total: float) -> float:
@@ -54,11 +54,16 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS)
     ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
     arcs = bucketed(spark, edges.where("a <> b").select(F.explode(ends).alias("e"), "weight").select("e.node", "e.other", "weight"), ["node"], "arcs")
     strength = edges.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k"))
-    state = cut(nodes.join(strength, "node").select("node", F.col("node").alias("label"), "k", F.lit(True).alias("asked")), "state")
+    no = F.lit(False)
+    state = cut(nodes.join(strength, "node").select("node", F.col("node").alias("label"), "k", no.alias("moved"), no.alias("held")), "state")
     best, best_q, stale, every = state, -1.0, 0, True
     for sweep in range(sweeps):
+        asked = state
+        if not every:
+            near = arcs.join(state.where("moved").select("node"), "node").select(F.col("other").alias("node"))
+            asked = state.join(near.unionByName(state.where("held").select("node")), "node", "left_semi")
+        asked = asked.select("node", F.col("label").alias("own"), "k")
         tot = state.groupBy("label").agg(F.sum("k").alias("tot"))
-        asked = state.where("asked").select("node", F.col("label").alias("own"), "k")
         met = arcs.join(asked, "node").join(state.select(F.col("node").alias("other"), "label"), "other")
         links = met.groupBy("node", "own", "k", "label").agg(F.sum("weight").alias("inside")).join(tot, "label")
         share = F.col("k") / (2 * total)
@@ -68,33 +73,27 @@ def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS)
         offers = links.groupBy("node", "own", "k").agg(away, F.max(F.when(F.col("label") == F.col("own"), F.col("inside"))).alias("inside"))
         stay = F.round(F.coalesce("inside", F.lit(0.0)) - (F.col("tot") - F.col("k")) * share, 9)
         wishes = offers.where("away is not null").join(tot.withColumnRenamed("label", "own"), "own").where(-F.col("away.loss") > stay)
-        wishes = cut(wishes.select("node", F.col("away.label").alias("to"), (F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).alias("moves")), "wishes")
-        count = wishes.agg(F.count("*").alias("n"), F.count(F.when(F.col("moves"), 1)).alias("moved")).first()
-        if not count["n"]:
-            if every:
-                break
-            # Nobody who was asked wants to move; the others' gains may have changed with the communities' totals.
-            again, every = cut(state.withColumn("asked", F.lit(True)), "state"), True
-        else:
-            moves = wishes.where("moves").select("node", "to")
-            next_ = arcs.join(moves.select("node"), "node").select(F.col("other").alias("node")).unionByName(wishes.where("not moves").select("node")).distinct()
-            again, every = state.drop("asked").join(moves, "node", "left").join(next_.withColumn("asked", F.lit(True)), "node", "left"), False
-            again = cut(again.select("node", F.coalesce("to", "label").alias("label"), "k", F.coalesce("asked", F.lit(False)).alias("asked")), "state")
-        discard(wishes)
+        wishes = wishes.select("node", F.col("away.label").alias("to"), (F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).alias("moves"))
+        after = state.select("node", "label", "k").join(wishes, "node", "left")
+        after = after.select("node", F.when(F.col("moves"), F.col("to")).otherwise(F.col("label")).alias("label"), "k", F.coalesce("moves", no).alias("moved"), F.coalesce(~F.col("moves"), no).alias("held"))
+        counted = Observation()
+        after = cut(after.observe(counted, F.count(F.when(F.col("moved") | F.col("held"), 1)).alias("wish")), "state")
         if state is not best:
             discard(state)
-        state = again
-        if every or (sweep + 1) % LOOK == 0 or sweep + 1 == sweeps:
+        state, wished = after, counted.get["wish"]
+        if not wished and every:
+            break
+        # When nobody who was asked wants to move, others' gains may still have changed with the communities' totals.
+        every = not wished
+        if (sweep + 1) % LOOK == 0 or sweep + 1 == sweeps:
             q = _quality(edges, state, total)
             stale = stale + 1 if q <= best_q + RISE else 0
             if q > best_q:
                 best, best_q = state, q
             if stale >= PATIENCE:
                 break
-    else:
-        return best.select("node", "label")
-    # Ended between two looks.
-    return (state if _quality(edges, state, total) >= best_q else best).select("node", "label")
+    # It may have ended between two looks.
+    return (state if state is best or _quality(edges, state, total) >= best_q else best).select("node", "label")
 
 
 def louvain(relationships: DataFrame, max_levels: int = MAX_LEVELS, sweeps: int = MAX_SWEEPS) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmere import queries, tables
-from quillmere.functions import chunking, text
+from quillmere.functions import chunking, text, vectors
 from quillmere.operators import communities, extraction, graph, vector_search
 from quillmere.providers import OfflineProvider
 
@@ -37,6 +37,44 @@ def test_split_text():
     assert chunking.split_text("x" * 250, size=100, overlap=0) == ["x" * 100, "x" * 100, "x" * 50]
 
 
+def plain_chunks(text, size, overlap, separators=("\n\n", "\n", ". ", " ", "")):
+    """A second splitter, written from the rule: a text is cut at the coarsest separator that it has; what is too long goes on
+    to the finer ones; the others are packed greedily, each chunk beginning with as many of the last pieces as the overlap holds."""
+    separator = next((s for s in separators if s in text), "")
+    rest = separators[separators.index(separator) + 1 :]
+    out, pack = [], []
+
+    def length(parts):
+        return len(separator.join(parts))
+
+    def close():
+        if pack and separator.join(pack).strip():
+            out.append(separator.join(pack).strip())
+
+    for piece in list(text) if separator == "" else text.split(separator):
+        if len(piece) >= size:
+            close()
+            pack = []
+            out += plain_chunks(piece, size, overlap, rest) if rest else [piece]
+        else:
+            if pack and length([*pack, piece]) > size:
+                close()
+                while pack and (length(pack) > overlap or length([*pack, piece]) > size):
+                    pack = pack[1:]
+            pack.append(piece)
+    close()
+    return out
+
+
+def test_chunks_against_a_second_splitter(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    want = {(str(r.doc_id), i, c) for r in docs for i, c in enumerate(plain_chunks(r.text or "", 512, 50))}
+    found = chunking.chunk(spark.createDataFrame(docs), "doc_id", "text").collect()
+    assert {(r.doc_id, r.chunk_index, r.content) for r in found} == want and len(found) == len(want)
+    rows = queries.QUERIES["recursive_chunks"](spark, sf_dir).collect()
+    assert {(str(r.doc_id), r.chunk_index, r.chars) for r in rows} == {(d, i, len(c)) for d, i, c in want}
+
+
 def test_chunk_nulls_and_order(spark):
     docs = spark.createDataFrame([("a", None), ("b", "  "), ("c", "one. two. " * 100)], "id string, content string")
     rows = chunking.chunk(docs).orderBy("doc_id", "chunk_index").collect()
@@ -55,6 +93,41 @@ def test_scoped_walk(spark):
     assert ids(graph.walk(edges, start, 2, scope.limit(0))) == set()
 
 
+def test_walks_of_many_starts(spark, monkeypatch):
+    """Against walks one by one, with hubs dealt over slices."""
+    monkeypatch.setattr(graph, "HUB", 5)
+    rng = np.random.default_rng(2)
+    ends = rng.integers(0, 30, (120, 2)) % rng.integers(2, 31, (120, 2))
+    rows = [(f"r{i}", f"n{a}", f"n{b}", 1.0, f"d{i % 4}") for i, (a, b) in enumerate(ends.tolist())]
+    edges = spark.createDataFrame(rows, EDGES)
+    starts = [("w1", "n0"), ("w2", "n7"), ("w2", "n9"), ("w3", "nowhere"), ("w4", "n0")]
+    scopes = [("w1", "d0"), ("w1", "d1"), ("w2", "d2"), ("w2", "d0"), ("w3", "d0")]
+
+    def reach(walk, depth, docs):
+        seen, now, out = set(), {n for w, n in starts if w == walk}, {}
+        for hop in range(1, depth + 1):
+            seen |= now
+            met = [(r, a, b) for r, a, b, _, d in rows if (docs is None or d in docs) and (a in now or b in now)]
+            for r, _, _ in met:
+                out.setdefault(r, hop)
+            now = {x for _, a, b in met for x, y in ((a, b), (b, a)) if y in now} - seen
+        return {(walk, r, h) for r, h in out.items()}
+
+    frame = spark.createDataFrame(starts, "walk string, id string")
+    got = lambda *scope: {tuple(r) for r in graph.walks(edges, frame, 3, *scope).collect()}
+    walks = {w for w, _ in starts}
+    assert got() == set().union(*(reach(w, 3, None) for w in walks))
+    docs = {w: {d for v, d in scopes if v == w} for w in walks}
+    assert got(spark.createDataFrame(scopes, "walk string, doc_id string")) == set().union(*(reach(w, 3, docs[w]) for w in walks))
+
+
+def test_arguments_and_hash_vectors():
+    assert [text.int_arg(v, 7) for v in (None, "", "12", 3.9, "x", "1e3")] == [7, 7, 12, 3, 7, 1000]
+    v = vectors.hash_vector("some text", 64)
+    assert len(v) == 64 and v == vectors.hash_vector("some text", 64) != vectors.hash_vector("other", 64)
+    assert abs(sum(x * x for x in v) - 1) < 1e-6
+
+
 def test_two_communities(spark):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
     edges = spark.createDataFrame([(f"r{i}", a, b, 1.0, "d") for i, (a, b) in enumerate(pairs)], EDGES)
