@@ -12,8 +12,9 @@ table. It is committed by one rename that fails if the version is there already:
 does not, two writers cannot commit the same one, and files of an attempt that failed are never listed.
 
 Defined results: rows are stored as they come, so nulls, empty and very long texts, ties and repeated rows are
-read back as often as they were appended, in any order. A null in the column that tells arrivals apart is an
-arrival of its own. Columns may have any names; those that later arrivals add are null in earlier rows. An empty
+read back as often as they were appended, in any order. Rows with a null and with an empty string in the column that
+tells arrivals apart are one arrival, as folders of partitions have one name for both. A version is committed by a
+rename that fails if it exists, as far as the file system's rename does. Columns may have any names; those that later arrivals add are null in earlier rows. An empty
 first arrival makes a version without rows that has its columns; a store without any version cannot be read.
 """
 

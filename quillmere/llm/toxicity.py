@@ -235,7 +235,8 @@ def _likelihood_ratio(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int)
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, chars: int = CHARS) -> Model:
     """Fit on labelled documents outside the held-out fifth (crc32 of the id as text mod 5 = 0).
 
-    A document with several labels counts as toxic if any says so; null ids, texts and labels are left out.
+    A document with several labels counts as toxic if any says so; null ids, texts and labels are left out. The sample has at
+    most `positives` toxic and `negatives` clean ids; where ids repeat with several texts, it has twice as many texts at most.
     """
     marks = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id")).withColumn("h", F.xxhash64("doc_id"))
     # Some more ids than texts are wanted: the longest texts are left out of the sample.
