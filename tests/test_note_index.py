@@ -1,7 +1,5 @@
 """Full-text search: folding, snippets, and the stored index against the scan."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,36 +43,6 @@ def test_snippets(spark):
     assert of("école!", "ecole") == "<mark>école</mark>!" and of(None, "x") == "" and of("nothing here", "x") == "nothing here"
 
 
-def test_index_against_the_scan(spark, index):
-    """Batches of writes and deletes; after each, and after compaction, the index says what a scan of its notes says."""
-    rng = random.Random(1)
-    words = ["red", "blue", "green", "Grün", "the", "end", "x"]
-    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 40)))
-    batches = [
-        [(f"a/{i}", text(), ["red"] if i % 5 == 0 else []) for i in range(60)],
-        [(f"a/{i}", text()) for i in range(0, 60, 7)] + [(f"b/{i}-end", text()) for i in range(20)] + [("a/1", "the end"), ("a/1", "later wins: the end the end")],
-    ]
-    queries = ["Grun the-end", "the-end-the"]
-
-    def same():
-        notes = index.notes()
-        for q in queries:
-            assert hits(index.search(q, 500)) == hits(fulltext.search(fulltext.index_notes(notes), q, 500))
-        facts = index.store.snapshot().facts
-        assert facts["notes"] == notes.count()
-
-    for rows in batches:
-        index.write(note(spark, *rows))
-        same()
-    assert index.notes().count() == 80 and index.notes().where("key = 'a/1'").first().content.startswith("later")
-    index.delete(spark.createDataFrame([("a/1",), ("a/2",), ("gone",)], "key string"))
-    same()
-    before = index.store.snapshot()
-    index.compact()
-    same()
-    assert index.store.snapshot().read("postings").count() < before.read("postings").count()
-
-
 def test_a_search_reads_its_words_and_hits_only(spark, index):
     index.write(note(spark, *((f"n{i}", f"word{i} common text") for i in range(300))))
     found = index.search("word7")
