@@ -22,10 +22,17 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _cosine(product: Column, squares: Column) -> Column:
+    """From the inner product and the product of both squared lengths, -1 to 1. One root of the product, sums in order: the
+    digits that DuckDB gives, so that near ties keep their order."""
+    raw = product / F.sqrt(squares)
+    return F.when(F.isnan(raw) | raw.between(-1.0, 1.0), raw).otherwise(F.signum(raw))
+
+
 def cosine_similarity(a: Column, b: Column) -> Column:
     """0 where lengths differ or a vector is null, empty or zero."""
-    length = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (length > 0), dot(a, b) / length).otherwise(0.0)
+    squares = dot(a, a) * dot(b, b)
+    return F.when((F.size(a) == F.size(b)) & (squares > 0), _cosine(dot(a, b), squares)).otherwise(0.0)
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
@@ -40,11 +47,13 @@ def literal(vector: list[float]) -> Column:
 
 def query_similarity(column: Column, query: list[float]) -> Column:
     """Cosine with a constant vector: its length is worked out once, not for each row."""
-    length = float(np.sqrt(np.sum(np.square(np.asarray(query, float)))))
-    if not length:
+    own = 0.0
+    for v in query:
+        own += float(v) * float(v)
+    if not own:
         return F.lit(0.0)
-    mine = norm(column)
-    return F.when((F.size(column) == len(query)) & (mine > 0), dot(column, literal(query)) / (mine * length)).otherwise(0.0)
+    squares = dot(column, column) * own
+    return F.when((F.size(column) == len(query)) & (squares > 0), _cosine(dot(column, literal(query)), squares)).otherwise(0.0)
 
 
 def encode_vector(vector: list[float]) -> bytes:
