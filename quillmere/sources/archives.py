@@ -1,4 +1,5 @@
-"""Notes in gzipped tar archives, as a data source: an archive is a partition when read, a task's rows are one when written.
+"""Notes in gzipped tar archives, as a data source: an archive is a partition when read, a task's rows are one or several when
+written, each within the limits of an import.
 
 Reading streams the members, so no archive is held whole; each is held to the limits of an import. Writing puts the tasks'
 archives into a folder beside the target, which the commit renames into place, so readers see all of them or none; a task that
@@ -57,6 +58,28 @@ def members(stream, limits: Limits) -> Iterator[tuple[str, str]]:
                 yield re.sub(r"^\./", "", member.name)[:-3], tar.extractfile(member).read().decode("utf-8", "replace")
 
 
+def parted(rows, limits: Limits) -> Iterator[Iterator[tuple[str, bytes]]]:
+    """Key and bytes of notes (key, raw) in runs that an archive may hold, each to be used up before the next. A note over the
+    limit of one member fails."""
+    notes = ((row["key"], (row["raw"] or "").encode()) for row in rows)
+    ahead = next(notes, None)
+
+    def run() -> Iterator[tuple[str, bytes]]:
+        nonlocal ahead
+        entries = size = 0
+        while ahead is not None and entries < limits.entries and size + len(ahead[1]) <= limits.total:
+            if len(ahead[1]) > limits.each:
+                return
+            entries, size = entries + 1, size + len(ahead[1])
+            yield ahead
+            ahead = next(notes, None)
+
+    while ahead is not None:
+        if len(ahead[1]) > min(limits.each, limits.total) or limits.entries < 1:
+            raise LoadError(f"{ahead[0]} is over a limit")
+        yield run()
+
+
 class _Reader(DataSourceReader):
     def __init__(self, paths: list[str], limits: Limits):
         self.paths, self.limits = paths, limits
@@ -73,34 +96,34 @@ class _Reader(DataSourceReader):
 
 @dataclass
 class _Part(WriterCommitMessage):
-    name: str
-    notes: int
+    names: list[str]
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, target: str):
+    def __init__(self, target: str, limits: Limits):
+        self.limits = limits
         self.target, self.held = target.rstrip("/"), f"{target.rstrip('/')}.{uuid.uuid4().hex}.writing"
 
     def write(self, iterator) -> _Part:
         task = TaskContext.get()
         system, folder = _opened(self.held)
         system.create_dir(folder, recursive=True)
-        name, count = f"part-{task.partitionId():05d}-{task.taskAttemptId()}.tar.gz", 0
-        with system.open_output_stream(f"{folder}/{name}", compression=None) as out, gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as z, tarfile.open(fileobj=z, mode="w|") as tar:
-            for row in iterator:
-                data = (row["raw"] or "").encode()
-                info = tarfile.TarInfo(f"{row['key']}.md")
-                info.size, info.mode = len(data), 0o644
-                tar.addfile(info, io.BytesIO(data))
-                count += 1
-        return _Part(name, count)
+        names: list[str] = []
+        for notes in parted(iterator, self.limits):
+            names.append(f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{len(names):05d}.tar.gz")
+            with system.open_output_stream(f"{folder}/{names[-1]}", compression=None) as out, gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as z, tarfile.open(fileobj=z, mode="w|") as tar:
+                for key, data in notes:
+                    info = tarfile.TarInfo(f"{key}.md")
+                    info.size, info.mode = len(data), 0o644
+                    tar.addfile(info, io.BytesIO(data))
+        return _Part(names)
 
     def commit(self, messages: list[_Part | None]) -> None:
         from pyarrow import fs
 
         system, folder = _opened(self.held)
         system.create_dir(folder, recursive=True)
-        named = {m.name for m in messages if m is not None and m.notes}
+        named = {name for m in messages if m is not None for name in m.names}
         for file in system.get_file_info(fs.FileSelector(folder)):
             if file.base_name not in named:
                 system.delete_file(file.path)
@@ -132,7 +155,7 @@ def archive_source(paths: list[str], limits: Limits) -> type[DataSource]:
             return _Reader(paths, limits)
 
         def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-            return _Writer(self.options["path"])
+            return _Writer(self.options["path"], limits)
 
     return Archives
 
@@ -144,10 +167,11 @@ def read_archives(spark: SparkSession, path: str, limits: Limits = Limits()) ->
     return spark.read.format("note_archives").load()
 
 
-def write_archives(notes: DataFrame, folder: str, archives: int | None = None) -> None:
-    """Write notes (key, raw) as archives in a new folder, one a partition, each in key order; empty ones are not written."""
+def write_archives(notes: DataFrame, folder: str, archives: int | None = None, limits: Limits = Limits()) -> None:
+    """Write notes (key, raw) as archives in a new folder, one a partition or as many as its limits ask for, each in key order;
+    empty ones are not written."""
     spark = notes.sparkSession
     rows = notes.select("key", "raw")
     rows = rows.repartitionByRange(archives, "key") if archives else rows.repartitionByRange("key")
-    spark.dataSource.register(archive_source([], Limits()))
+    spark.dataSource.register(archive_source([], limits))
     rows.sortWithinPartitions("key").write.format("note_archives").mode("append").option("path", folder).save()

@@ -36,3 +36,16 @@ def test_titles_with_other_references(held):
     """References other than those of <, > and & are plain text, as are ones cut off."""
     titles = ["a &lt;b&gt; &amp; c", "say &quot;x&quot;", "cut &amp", "cut &am", "&amp;lt; &amp;quot;", "&#65; &#x41; &eacute;", "&lt &nbsp;x", " two\n lines ", "&&amp;;"]
     held("page_title", pages=pd.DataFrame({"page_id": range(len(titles)), "html": [f"<html><head><title>{t}</title></head><body>b</body></html>" for t in titles]}))
+
+
+def test_more_notes_than_an_archive_holds(spark, tmp_path):
+    from quillmere.sources import archives
+
+    notes = [(f"n{i:03}", "x" * i) for i in range(100)]
+    limits = archives.Limits(entries=9, total=300, each=99)
+    archives.write_archives(spark.createDataFrame(notes, archives.NOTE), f"file://{tmp_path}/a", 2, limits)
+    read = archives.read_archives(spark, f"file://{tmp_path}/a", limits)
+    assert sorted(map(tuple, read.collect())) == notes
+    assert len(list((tmp_path / "a").iterdir())) > 12
+    with pytest.raises(Exception, match="over a limit"):
+        archives.write_archives(spark.createDataFrame([("big", "x" * 100)], archives.NOTE), f"file://{tmp_path}/b", 2, limits)
