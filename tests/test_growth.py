@@ -45,3 +45,12 @@ def test_walks_that_meet_at_a_node(spark, moved):
     more = scopes.unionByName(spark.createDataFrame([("w7", "wide"), ("w8", "wide"), ("w8", "wide")], "walk string, doc_id string"))
     found = graph.walks(both, starts, 2, more).groupBy("walk").agg(F.count("*").alias("n")).where("n > 1").collect()
     assert sorted(map(tuple, found)) == [("w7", 1101), ("w8", 1101)]
+
+
+def test_a_walk_moves_what_it_meets_only(spark, moved):
+    own = F.col("id").cast("string")
+    rows = edges(spark, 100_000, F.concat(F.lit("a"), own), F.concat(F.lit("a"), (F.col("id") + 1).cast("string")), F.concat(F.lit("d"), own))
+    docs = spark.range(50_000).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("doc_id"))
+    found, mb = moved(lambda: graph.walk(rows, spark.createDataFrame([("a49999",)], "id string"), 3, docs).select("id", "hop", "doc_id").collect())
+    assert sorted(map(tuple, found)) == [("r49996", 3, "d49996"), ("r49997", 2, "d49997"), ("r49998", 1, "d49998"), ("r49999", 1, "d49999")]
+    assert mb < 0.5
