@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import by_pieces
 from .text import token_estimate
 
 #: Separators from coarse to fine, and the default sizes in characters.
@@ -52,10 +51,9 @@ def chunk(docs: DataFrame, key: str = "id", text: str = "content", size: int = S
     """id, doc_id, chunk_index, content, token_count, metadata: a row for each chunk, indices from 0. Null and
     blank texts have no chunks."""
 
-    @F.pandas_udf("array<string>")
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: split_text(t, size, overlap) if t else [])
+    @F.arrow_udf("array<string>")
+    def split(texts: pa.Array) -> pa.Array:
+        return by_pieces(lambda t: split_text(t, size, overlap) if t else [], pa.list_(pa.string()), texts)
 
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.posexplode(split(F.col(text))).alias("chunk_index", "content"))
     return rows.select(F.sha2(F.concat_ws("\0", "doc_id", F.col("chunk_index").cast("string"), "content"), 256).alias("id"), "doc_id", "chunk_index", "content", token_estimate(F.col("content")).alias("token_count"), F.lit(None).cast("string").alias("metadata"))

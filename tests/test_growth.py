@@ -54,3 +54,15 @@ def test_a_walk_moves_what_it_meets_only(spark, moved):
     found, mb = moved(lambda: graph.walk(rows, spark.createDataFrame([("a49999",)], "id string"), 3, docs).select("id", "hop", "doc_id").collect())
     assert sorted(map(tuple, found)) == [("r49996", 3, "d49996"), ("r49997", 2, "d49997"), ("r49998", 1, "d49998"), ("r49999", 1, "d49999")]
     assert mb < 0.5
+
+
+def test_pieces_of_texts():
+    """A task holds one piece as Python objects at a time, not its batch."""
+    import pyarrow as pa
+
+    from quillmere.functions.pieces import by_pieces, pieces
+
+    texts = pa.array(["x" * 40, None, "", "y" * 500, "é" * 30, "z", None])
+    assert [(p.start, p.stop) for p in pieces(texts, 100)] == [(0, 3), (3, 4), (4, 7)]
+    assert list(pieces(texts.slice(7))) == [] and len(by_pieces(len, pa.int32(), texts.slice(7))) == 0
+    assert by_pieces(lambda t, n: (t or "-")[:1] + str(n), pa.string(), texts.slice(1), pa.array(range(6))).to_pylist() == ["-0", "-1", "y2", "é3", "z4", "-5"]
