@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import derived as d
 from .functions import frontmatter, text, vectors
 from .functions.html import resolved
+from .functions.pieces import by_pieces
 from .operators import notes
 from .registry import query
 
@@ -145,9 +147,9 @@ def read_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frontmatter_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text written with a block of frontmatter and read back."""
 
-    @F.pandas_udf("string")
-    def written(titles, texts):
-        return texts.combine(titles, lambda body, title: frontmatter.encode({"title": title, "n": 1}, body))
+    @F.arrow_udf("string")
+    def written(texts: pa.Array, titles: pa.Array) -> pa.Array:
+        return by_pieces(lambda body, title: frontmatter.encode({"title": title, "n": 1}, body), pa.string(), texts, titles)
 
-    rows = d.table(spark, sf_dir, "documents").select("doc_id", frontmatter.parsed(written(F.col("lang"), F.col("text"))).alias("p"))
+    rows = d.table(spark, sf_dir, "documents").select("doc_id", frontmatter.parsed(written(F.col("text"), F.col("lang"))).alias("p"))
     return rows.select("doc_id", F.sha2("p.body", 256).alias("body"), F.col("p.frontmatter")["title"].alias("title"))
