@@ -1,15 +1,15 @@
 """Communities by modularity (Louvain), on DataFrames.
 
-All nodes that a sweep asks decide at once, from the communities' totals before it, so a sweep is a few aggregations and
-not a loop over nodes. To keep neighbours from swapping for ever, a sweep moves only one half of the nodes, dealt
-anew each time by a hash; the others are asked again. A sweep asks only nodes that were held back or that are next to
-one that moved; when none is left all are asked once more, and a level ends when none of all wants to move, when its
-modularity has stopped rising, or after MAX_SWEEPS; it returns the best labelling that it has met. Ties go to the
-smallest label; the result does not depend on the order of rows. Each level runs on the graph of the communities
-before it, with the weight inside a community as a loop.
-
-The arcs are written once a level, bucketed by node as the nodes' state is, so that asking a node moves only
-the arcs of those asked, to learn their other ends' labels. A node of very high degree is summed before it is moved.
+All nodes decide at once, from the communities' totals before a sweep, so a sweep is a few aggregations and not a loop
+over nodes. To keep neighbours from swapping for ever, a sweep moves only one half of the nodes, dealt anew each time
+by a hash; the others are asked again. A level ends when no node wants to move, when its modularity has stopped
+rising, or after MAX_SWEEPS; it returns the best labelling that it has met. Ties go to the smallest label; the result
+does not depend on the order of rows. Each level runs on the graph of the communities before it, with the weight
+inside a community as a loop.
+
+Nodes are numbered in their order once a level, and arcs are written once a level, bucketed by the end that tells its
+label, so they are not moved to meet the labels. What they tell is summed by the other end and label before it
+is moved to the other end. A sweep is one job; the modularity of the labelling before it is a sum that it makes by the way.
 """
 
 from __future__ import annotations
@@ -37,63 +37,71 @@ def modularity(edges: DataFrame, labels: DataFrame, total: float) -> float:
     return inside / total - squares / (4 * total * total)
 
 
-def _quality(edges: DataFrame, state: DataFrame, total: float) -> float:
-    """modularity(), with the nodes' strengths k at hand."""
-    la, lb = state.select(F.col("node").alias("a"), F.col("label").alias("la")), state.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    inside = edges.join(la, "a").join(lb, "b").where("la = lb").agg(F.sum("weight")).first()[0] or 0.0
-    squares = state.groupBy("label").agg(F.sum("k").alias("tot")).agg(F.sum(F.col("tot") * F.col("tot"))).first()[0] or 0.0
-    return inside / total - squares / (4 * total * total)
+def _asked(arcs: DataFrame, state: DataFrame, total: float, sweep: int) -> DataFrame:
+    """The state (id, node, label, k) after a sweep; also `wish`, whether the node wanted to move, and of the labelling
+    before it `inside`, the node's weight to others of its community, and `tot`, the community's total."""
+    told = state.join(state.groupBy("label").agg(F.sum("k").alias("tot")), "label")
+    met = arcs.join(told.select(F.col("id").alias("other"), "label", "tot"), "other").groupBy("id", "label", "tot").agg(F.sum("weight").alias("inside"))
+    own = told.select("id", "node", "k", F.col("label").alias("own"), F.col("tot").alias("own_tot"))
+    share = F.col("k") / (2 * total)
+    gain = F.round(F.col("inside") - F.col("tot") * share, 9)
+    # The highest gain elsewhere, of the smallest label; and what the node has inside its own community.
+    away = F.min(F.when(F.col("label") != F.col("own"), F.struct((F.lit(0.0) - gain).alias("loss"), "label"))).alias("away")
+    inside = F.sum(F.when(F.col("label") == F.col("own"), F.col("inside")).otherwise(0.0)).alias("inside")
+    offers = met.join(own, "id").groupBy("id", "node", "k", "own", "own_tot").agg(away, inside)
+    stay = F.round(F.col("inside") - (F.col("own_tot") - F.col("k")) * share, 9)
+    offers = offers.withColumn("wish", F.coalesce(-F.col("away.loss") > stay, F.lit(False)))
+    moves = F.col("wish") & (F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0)
+    return offers.select("id", "node", F.when(moves, F.col("away.label")).otherwise(F.col("own")).alias("label"), "k", "wish", "inside", F.col("own_tot").alias("tot"))
 
 
 def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS) -> DataFrame:
-    """node, label of one level; edges (a, b, weight) with a <= b, nodes (node). Without weight all stay alone."""
+    """node, label of one level, the label being the smallest node of its community; edges (a, b, weight) with a <= b,
+    nodes (node). Without weight all stay alone."""
     spark = edges.sparkSession
     total = edges.agg(F.sum("weight")).first()[0] or 0.0
     if total <= 0:
         return cut(nodes.select("node", F.col("node").alias("label")), "labels")
-    ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))
-    arcs = bucketed(spark, edges.where("a <> b").select(F.explode(ends).alias("e"), "weight").select("e.node", "e.other", "weight"), ["node"], "arcs")
-    strength = edges.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("k"))
-    no = F.lit(False)
-    state = cut(nodes.join(strength, "node").select("node", F.col("node").alias("label"), "k", no.alias("moved"), no.alias("held")), "state")
-    best, best_q, stale, every = state, -1.0, 0, True
-    for sweep in range(sweeps):
-        asked = state
-        if not every:
-            near = arcs.join(state.where("moved").select("node"), "node").select(F.col("other").alias("node"))
-            asked = state.join(near.unionByName(state.where("held").select("node")), "node", "left_semi")
-        asked = asked.select("node", F.col("label").alias("own"), "k")
-        tot = state.groupBy("label").agg(F.sum("k").alias("tot"))
-        met = arcs.join(asked, "node").join(state.select(F.col("node").alias("other"), "label"), "other")
-        links = met.groupBy("node", "own", "k", "label").agg(F.sum("weight").alias("inside")).join(tot, "label")
-        share = F.col("k") / (2 * total)
-        gain = F.round(F.col("inside") - F.col("tot") * share, 9)
-        # The highest gain elsewhere, of the smallest label; and what the node has inside its own community.
-        away = F.min(F.when(F.col("label") != F.col("own"), F.struct((F.lit(0.0) - gain).alias("loss"), "label"))).alias("away")
-        offers = links.groupBy("node", "own", "k").agg(away, F.max(F.when(F.col("label") == F.col("own"), F.col("inside"))).alias("inside"))
-        stay = F.round(F.coalesce("inside", F.lit(0.0)) - (F.col("tot") - F.col("k")) * share, 9)
-        wishes = offers.where("away is not null").join(tot.withColumnRenamed("label", "own"), "own").where(-F.col("away.loss") > stay)
-        wishes = wishes.select("node", F.col("away.label").alias("to"), (F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0).alias("moves"))
-        after = state.select("node", "label", "k").join(wishes, "node", "left")
-        after = after.select("node", F.when(F.col("moves"), F.col("to")).otherwise(F.col("label")).alias("label"), "k", F.coalesce("moves", no).alias("moved"), F.coalesce(~F.col("moves"), no).alias("held"))
-        counted = Observation()
-        after = cut(after.observe(counted, F.count(F.when(F.col("moved") | F.col("held"), 1)).alias("wish")), "state")
-        if state is not best:
+    ids = cut(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("id")), "ids")
+    end = lambda name: ids.select(F.col("node").alias(name), F.col("id").alias(f"i{name}"))
+    pairs = cut(edges.join(end("a"), "a").join(end("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "weight"), "pairs")
+    ends = F.array(F.struct(F.col("a").alias("other"), F.col("b").alias("id")), F.struct(F.col("b").alias("other"), F.col("a").alias("id")))
+    arcs = bucketed(spark, pairs.where("a <> b").select(F.explode(ends).alias("e"), "weight").select("e.other", "e.id", "weight"), ["other"], "arcs")
+    strength = pairs.select(F.explode(F.array("a", "b")).alias("id"), "weight", (F.col("a") != F.col("b")).alias("met")).groupBy("id").agg(F.sum("weight").alias("k"), F.max("met").alias("met"))
+    every = cut(ids.join(strength, "id").select("id", "node", F.col("id").alias("label"), "k", "met"), "state")
+    # Nodes without arcs have no other community to go to.
+    start, alone = every.where("met").select("id", "node", "label", "k"), every.where("not met").select("id", "node", "label", "k")
+    loops = pairs.where("a = b").agg(F.sum("weight")).first()[0] or 0.0
+    lone = alone.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
+
+    def swept(state: DataFrame, sweep: int) -> tuple[DataFrame, float, int]:
+        """The state after a sweep, the modularity before it, and how many nodes wanted to move."""
+        seen = Observation()
+        sums = F.count(F.when(F.col("wish"), 1)).alias("wish"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares")
+        after = cut(_asked(arcs, state, total, sweep).observe(seen, *sums).select("id", "node", "label", "k"), "state")
+        found = seen.get
+        return after, ((found["inside"] or 0.0) / 2 + loops) / total - ((found["squares"] or 0.0) + lone) / (4 * total * total), found["wish"]
+
+    state, best, best_q, looked, stale = start, start, None, None, 0
+    for sweep in range(sweeps + 1):
+        # The last one only tells the modularity of what the others have reached.
+        after, q, wished = swept(state, sweep)
+        if best_q is None or q > best_q:
+            if best is not start and best is not state:
+                discard(best)
+            best, best_q = state, q
+        elif state is not best:
             discard(state)
-        state, wished = after, counted.get["wish"]
-        if not wished and every:
+        if not wished or sweep == sweeps:
             break
-        # When nobody who was asked wants to move, others' gains may still have changed with the communities' totals.
-        every = not wished
-        if (sweep + 1) % LOOK == 0 or sweep + 1 == sweeps:
-            q = _quality(edges, state, total)
-            stale = stale + 1 if q <= best_q + RISE else 0
-            if q > best_q:
-                best, best_q = state, q
+        if sweep % LOOK == 0:
+            stale = stale + 1 if looked is not None and best_q <= looked + RISE else 0
+            looked = best_q
             if stale >= PATIENCE:
                 break
-    # It may have ended between two looks.
-    return (state if state is best or _quality(edges, state, total) >= best_q else best).select("node", "label")
+        state = after
+    rows = best.unionByName(alone)
+    return rows.join(rows.groupBy("label").agg(F.min("node").alias("name")), "label").select("node", F.col("name").alias("label"))
 
 
 def louvain(relationships: DataFrame, max_levels: int = MAX_LEVELS, sweeps: int = MAX_SWEEPS) -> DataFrame:
@@ -103,9 +111,7 @@ def louvain(relationships: DataFrame, max_levels: int = MAX_LEVELS, sweeps: int
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     inside, found, count = None, None, -1
     for level in range(max_levels):
-        labels = louvain_level(edges, nodes, sweeps)
-        named = labels.groupBy("label").agg(F.min("node").alias("name"))
-        labels = cut(labels.join(named, "label").select("node", F.col("name").alias("label")), "level")
+        labels = cut(louvain_level(edges, nodes, sweeps), "level")
         now = labels.select("label").distinct().count()
         if level and now == count:
             break

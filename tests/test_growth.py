@@ -66,3 +66,22 @@ def test_pieces_of_texts():
     assert [(p.start, p.stop) for p in pieces(texts, 100)] == [(0, 3), (3, 4), (4, 7)]
     assert list(pieces(texts.slice(7))) == [] and len(by_pieces(len, pa.int32(), texts.slice(7))) == 0
     assert by_pieces(lambda t, n: (t or "-")[:1] + str(n), pa.string(), texts.slice(1), pa.array(range(6))).to_pylist() == ["-0", "-1", "y2", "é3", "z4", "-5"]
+
+
+def test_jobs_of_a_sweep(spark):
+    """A sweep over the nodes is one write; its modularity and what is left to do are not asked for by jobs of their own."""
+    from quillmere.operators import communities
+
+    arcs = edges(spark, 600, F.concat(F.lit("a"), (F.col("id") % 60).cast("string")), F.concat(F.lit("b"), (F.col("id") % 37).cast("string")), F.lit("d")).withColumn("weight", F.lit(1.0))
+    pairs = graph.edge_weights(arcs).localCheckpoint()
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().localCheckpoint()
+
+    def jobs(sweeps):
+        spark.sparkContext.setJobGroup(f"sweeps-{sweeps}", "")
+        communities.louvain_level(pairs, nodes, sweeps)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweeps-{sweeps}"))
+
+    try:
+        assert jobs(5) - jobs(1) <= 4 * 9
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
