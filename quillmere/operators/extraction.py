@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise_name, normalise_predicate
-from ..tables import cut
+from ..tables import cut, sent
 from .catalog import resolve_claims
 from .ledger import Ledger
 from .merge import insert_or_ignore, upsert
@@ -187,10 +187,13 @@ def resolve(found: DataFrame, entities: DataFrame, relationships: DataFrame) ->
     all_entities = upsert(entities, merged, ["id"], "id")  # a row an id
     ids = all_entities.groupBy(normalise_name(F.col("name")).alias("n")).agg(F.min("id").alias("id"))
     rows = found.where("kind = 'relation'").select("doc_id", normalise_name(F.col("source")).alias("s"), normalise_name(F.col("target")).alias("t"), normalise_predicate(F.coalesce("predicate", F.lit(""))).alias("predicate"), "description", "weight", "batch", "ordinal")
-    ended = rows.join(ids.select(F.col("n").alias("s"), F.col("id").alias("source_id")), "s").join(ids.select(F.col("n").alias("t"), F.col("id").alias("target_id")), "t")
-    once = ended.groupBy("doc_id", "source_id", "target_id", "predicate").agg(F.min_by(F.struct("description", "weight"), F.struct("batch", "ordinal")).alias("v"))
-    new = once.select(F.sha2(F.concat_ws("\0", "doc_id", "source_id", "target_id", "predicate"), 256).alias("id"), "source_id", "target_id", "predicate", F.col("v.description").alias("description"), F.coalesce("v.weight", F.lit(1.0)).alias("weight"), "doc_id")
-    return all_entities, insert_or_ignore(relationships, new, ["id"])
+    # An id has one name, so a row for each document, names and predicate is one for its ids, which are longer and moved no more.
+    once = rows.groupBy("doc_id", "s", "t", "predicate").agg(F.min_by(F.struct("description", "weight"), F.struct("batch", "ordinal")).alias("v"))
+    ended = once.join(ids.select(F.col("n").alias("t"), F.col("id").alias("target_id")), "t").join(ids.select(F.col("n").alias("s"), F.col("id").alias("source_id")), "s")
+    new = ended.select(F.sha2(F.concat_ws("\0", "doc_id", "source_id", "target_id", "predicate"), 256).alias("id"), "source_id", "target_id", "predicate", F.col("v.description").alias("description"), F.coalesce("v.weight", F.lit(1.0)).alias("weight"), "doc_id")
+    # A row an id already.
+    fresh = new.join(sent(relationships.select("id").distinct()), "id", "left_anti")
+    return all_entities, relationships.unionByName(fresh.select(*relationships.columns))
 
 
 def add_claims(claims: DataFrame, found: DataFrame, entities: DataFrame) -> DataFrame:
