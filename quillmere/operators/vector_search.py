@@ -65,6 +65,8 @@ def build(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 #: Vectors and queries that meet in one group of a batch search at most.
 SLICE, QUERIES = 20_000, 2_000
+#: Products of queries and vectors that a task holds, and vectors multiplied at once where products are exact.
+PRODUCTS, PIECE = 1 << 20, 1 << 12
 
 
 class CellIndex:
@@ -205,12 +207,11 @@ class CellIndex:
         right = rows.join(slices, "cell").join(blocks, "cell").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).withColumn("block", numbers("blocks")).select("cell", "slice", "block", "id", "vector")
 
         def nearest(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            held = held.sort_values("id", ignore_index=True)
             if not len(asked) or not len(held):
                 return pd.DataFrame({"query_id": asked["query_id"][:0], "id": held["id"][:0], "score": pd.Series([], dtype=float)})
-            scores = _unit(np.stack(asked["query_vector"].to_numpy())) @ _unit(np.stack(held["vector"].to_numpy())).T
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-            return pd.DataFrame({"query_id": asked["query_id"].to_numpy().repeat(best.shape[1]), "id": held["id"].to_numpy()[best.ravel()], "score": np.take_along_axis(scores, best, axis=1).ravel()})
+            held = held.sort_values("id", ignore_index=True)
+            at, best, scores = best_of(_unit(np.stack(asked.pop("query_vector").to_numpy())), _unit(np.stack(held.pop("vector").to_numpy())), k)
+            return pd.DataFrame({"query_id": asked["query_id"].to_numpy()[at], "id": held["id"].to_numpy()[best], "score": scores})
 
         by = ["cell", "slice", "block"]
         met = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(nearest, out)
@@ -223,6 +224,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(length > 0, length, 1)
 
 
+def best_of(queries: np.ndarray, held: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries, rows of held and their product, for the k highest of each query, ties to the smaller row; some queries
+    at a time, so that no more than about PRODUCTS products are in memory. A pair's product does not depend on where it
+    stands, so equal vectors tie."""
+    found, step, k = [], max(1, PRODUCTS // len(held)), min(k, len(held))
+    for first in range(0, len(queries) if k > 0 else 0, step):
+        some = queries[first : first + step]
+        about = some @ held.T
+        about[np.isnan(about)] = -np.inf
+        least = np.partition(about, len(held) - k, axis=1)[:, len(held) - k] - 1e-9
+        for n in range(len(some)):
+            near = np.flatnonzero(about[n] >= least[n])
+            exact = np.concatenate([(held[near[i : i + PIECE]] * some[n]).sum(axis=1) for i in range(0, len(near), PIECE)])
+            order = np.lexsort((near, -exact))[:k]
+            found.append((np.full(len(order), first + n), near[order], exact[order]))
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.zeros(0, (int, int, float)[i]) for i in range(3))
+
+
 def grouped_top_k(queries: DataFrame, rows: DataFrame, k: int, by: str) -> DataFrame:
     """query_id, id, score, rank: the k nearest rows of each query (query_id, query_vector) among those of its
     group `by`, a column of both: a join on the group, then a limit inside each query that works before the

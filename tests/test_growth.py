@@ -101,3 +101,26 @@ def test_relations_are_moved_with_their_names(spark, moved):
     n, mb = moved(lambda: extraction.resolve(found, empty(spark, "entities"), empty(spark, "relationships"))[1].select("source_id", "target_id", "predicate", "doc_id").distinct().count())
     assert n == links.select("doc_id", "source", "target").distinct().count()
     assert mb < 6, mb
+
+
+def test_nearest_of_a_group_are_found_in_pieces():
+    """A task holds some queries' products at a time; equal vectors tie, by the smaller row."""
+    import tracemalloc
+
+    import numpy as np
+
+    from quillmere.operators.vector_search import _unit, best_of
+
+    rng = np.random.default_rng(3)
+    held, asked = _unit(rng.normal(size=(20_000, 16))), _unit(rng.normal(size=(400, 16)))
+    held[7_000:7_050], asked[0] = held[:50], held[7_003]
+    tracemalloc.start()
+    at, best, scores = best_of(asked, held, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6, most  # 192 MB of products, their negatives and their order before
+    want = np.argsort(-np.round(asked @ held.T, 12), axis=1, kind="stable")[:, :5]
+    assert best.reshape(400, 5).tolist() == want.tolist() and best[:2].tolist() == [3, 7_003] and scores[0] == scores[1]
+    assert at.tolist() == np.repeat(np.arange(400), 5).tolist()
+    odd = best_of(np.ones((2, 2)), np.array([[1, np.nan], [1, 1], [1, 1]]), 2)
+    assert odd[1].tolist() == [1, 2, 1, 2] and len(best_of(asked, held, 0)[0]) == 0 and len(best_of(np.ones((1, 2)), np.ones((3, 2)), 9)[1]) == 3
