@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_or_id
+from ..tables import sent
 
 
 def _one_each(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -21,16 +22,17 @@ def _same(left: str, right: str, keys: list[str]):
     return reduce(lambda x, y: x & y, (F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], sequence: str, keep_first: tuple[str, ...] = ()) -> DataFrame:
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], sequence: str | None, keep_first: tuple[str, ...] = ()) -> DataFrame:
     """Incoming rows replace those of equal keys; of several incoming ones the last by `sequence` (a column of
-    incoming), ties to the largest row. Columns in keep_first keep the stored row's value. A null key is a key like
+    incoming; None: their keys do not repeat), ties to the largest row. Columns in keep_first keep the stored row's value. A null key is a key like
     any other."""
     columns = existing.columns
-    new = _one_each(incoming, keys, F.desc_nulls_last(sequence), F.to_json(F.struct(*columns)).desc()).select(*columns)
+    new = (_one_each(incoming, keys, F.desc_nulls_last(sequence), F.to_json(F.struct(*columns)).desc()) if sequence else incoming).select(*columns)
     if keep_first:
         joined = new.alias("n").join(existing.alias("o"), _same("n", "o", keys), "left")
         new = joined.select(*(F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) if c in keep_first else F.col(f"n.{c}").alias(c) for c in columns))
-    rest = existing.alias("o").join(new.select(*keys).alias("n"), _same("o", "n", keys), "left_anti")
+    gone = new.select(*keys) if sequence else sent(incoming.select(*keys))
+    rest = existing.alias("o").join(gone.alias("n"), _same("o", "n", keys), "left_anti")
     return rest.select(*columns).unionByName(new)
 
 

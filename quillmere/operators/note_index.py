@@ -16,9 +16,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.pieces import by_pieces
 from ..store import Layout, Store
 from ..tables import NOTES, cut, sent
 from .fulltext import LIMIT, NO_HITS, frequencies, index_notes, phrases_of, ranked, shown
@@ -33,14 +35,41 @@ LAYOUTS = {
 }
 
 
+def _places(words: str | None) -> list[dict]:
+    found: dict[str, list[int]] = {}
+    for at, word in enumerate(words.split(" ") if words else []):
+        found.setdefault(word, []).append(at)
+    return [{"term": term, "places": places} for term, places in found.items()]
+
+
+def _length() -> Column:
+    return (F.size("w_title") + F.size("w_content") + F.size("w_tags")).cast("long")
+
+
 def postings(notes: DataFrame, stamp: str) -> DataFrame:
-    """A row for each word of each part of each note, with its places in that part."""
-    rows = index_notes(notes)
-    length = (F.size("w_title") + F.size("w_content") + F.size("w_tags")).cast("long")
-    each = rows.select("key", length.alias("dl"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"w_{p}").alias("words")) for p in PARTS))).alias("p"))
-    at = each.select("key", "dl", "p.part", F.posexplode("p.words").alias("place", "term"))
-    found = at.groupBy("term", "key", "part", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return found.select("term", "key", "part", "places", "dl", F.lit(stamp).alias("stamp"))
+    """A row for each word of each part of each note, with its places in that part. A note's words are told apart where the
+    note is; none is moved."""
+    kind = pa.list_(pa.struct([("term", pa.string()), ("places", pa.list_(pa.int32()))]))
+
+    @F.arrow_udf("array<struct<term:string,places:array<int>>>")
+    def places_of(words: pa.Array) -> pa.Array:
+        return by_pieces(_places, kind, words)
+
+    # Words hold no blanks.
+    each = index_notes(notes).select("key", _length().alias("dl"), F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.col(f"w_{p}").alias("words")) for p in PARTS))).alias("p"))
+    found = each.select("key", "dl", "p.part", F.explode(places_of(F.array_join("p.words", " "))).alias("w"))
+    return found.select("w.term", "key", "part", "w.places", "dl", F.lit(stamp).alias("stamp"))
+
+
+def one_a_key(incoming: DataFrame) -> DataFrame:
+    """Of several notes of a key the last by updated_at, ties to the largest. Only keys that repeat are gathered."""
+    rows = normalised(incoming)
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated")
+    if again.isEmpty():
+        return rows
+    again = sent(again)
+    many = rows.join(again, "key", "left_semi").groupBy("key").agg(F.max_by(F.struct(*incoming.columns), F.struct("updated_at", F.to_json(F.struct(*incoming.columns)))).alias("n")).select("n.*")
+    return rows.join(again, "key", "left_anti").select(*incoming.columns).unionByName(many)
 
 
 class NoteIndex:
@@ -55,13 +84,11 @@ class NoteIndex:
         one commit; return its version. Bad keys are an error."""
         change, stamp = self.store.begin(), uuid.uuid4().hex
         # Of several notes of a key one is indexed, so one is chosen before.
-        new = cut(normalised(incoming).groupBy("key").agg(F.max_by(F.struct(*incoming.columns), F.struct("updated_at", F.to_json(F.struct(*incoming.columns)))).alias("n")).select("n.*"), "notes")
-        rows = cut(postings(new, stamp), "postings")
-        lengths = new.select("key").join(rows.groupBy("key").agg(F.first("dl").alias("dl")), "key", "left").select("key", F.coalesce("dl", F.lit(0)).alias("dl"), F.lit(stamp).alias("stamp"))
-        lengths = cut(lengths, "lengths")
+        new = cut(one_a_key(incoming), "notes")
+        lengths = cut(index_notes(new).select("key", _length().alias("dl"), F.lit(stamp).alias("stamp")), "lengths")
         had, words = self._bury(change, new.select("key"))
         facts = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-        change.merge("notes", new, sequence="updated_at", keep_first=("created_at",)).merge("lengths", lengths).append("postings", rows)
+        change.merge("notes", new, keep_first=("created_at",), single=True).merge("lengths", lengths, single=True).append("postings", postings(new, stamp))
         return change.add_facts(notes=facts["n"] - had, words=facts["dl"] - words).commit()
 
     def delete(self, keys: DataFrame) -> int:

@@ -187,10 +187,11 @@ class Transaction:
             found |= {r[0] for r in rows.select(layout.bucket()).distinct().collect()} if set(layout.by) <= set(rows.columns) else every
         return sorted(found)
 
-    def merge(self, name: str, incoming: DataFrame | None = None, deleted: DataFrame | None = None, sequence: str | None = None, keep_first: tuple[str, ...] = (), insert_only: bool = False) -> Transaction:
+    def merge(self, name: str, incoming: DataFrame | None = None, deleted: DataFrame | None = None, sequence: str | None = None, keep_first: tuple[str, ...] = (), insert_only: bool = False, single: bool = False) -> Transaction:
         """Delete rows that match `deleted` (in the columns that it has), then put `incoming` over rows of equal keys
         (insert_only: beside them). Of several incoming rows of a key the last (insert_only: the first) by `sequence` counts;
-        without one they must not repeat. Call once a table."""
+        without one they must not repeat; rows that are known to be the only ones of their keys (single) are not sorted for that.
+        Call once a table."""
         if name in self.dropped:
             raise ValueError(f"{name} is changed already")
         layout = self.store.layouts[name]
@@ -204,8 +205,11 @@ class Transaction:
             match = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in deleted.columns]
             rows = rows.join(sent(deleted.distinct().select(*(F.col(c).alias(f"__{c}") for c in deleted.columns))), match, "left_anti")
         if incoming is not None:
-            order = [sequence] if sequence else list(layout.keys)
-            rows = insert_or_ignore(rows, incoming, list(layout.keys), order[0]) if insert_only else upsert(rows, incoming, list(layout.keys), order[0], keep_first)
+            order = sequence or layout.keys[0]
+            if single and not self.base.files(name, touched):
+                rows = incoming
+            else:
+                rows = insert_or_ignore(rows, incoming, list(layout.keys), order) if insert_only else upsert(rows, incoming, list(layout.keys), None if single else order, keep_first)
         self._write(name, rows)
         return self
 

@@ -124,3 +124,21 @@ def test_nearest_of_a_group_are_found_in_pieces():
     assert at.tolist() == np.repeat(np.arange(400), 5).tolist()
     odd = best_of(np.ones((2, 2)), np.array([[1, np.nan], [1, 1], [1, 1]]), 2)
     assert odd[1].tolist() == [1, 2, 1, 2] and len(best_of(asked, held, 0)[0]) == 0 and len(best_of(np.ones((1, 2)), np.ones((3, 2)), 9)[1]) == 3
+
+
+def test_words_of_notes_stay_where_the_notes_are(spark, moved, tmp_path):
+    """Postings are made without moving a row for each word; of notes of one key the last is indexed, and no other is gathered."""
+    from quillmere.operators.note_index import NoteIndex, one_a_key, postings
+
+    word = F.concat_ws(" ", *(F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(5000)).cast("string")) for k in range(40)))
+    at = F.timestamp_seconds("id")
+    rows = spark.range(1000).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("key"), word.alias("content"), F.lit("ann").alias("author"), F.array(F.lit("t")).alias("tags"), F.create_map(F.lit("k"), F.lit("v")).alias("frontmatter"), at.alias("created_at"), at.alias("updated_at"))
+    n, mb = moved(lambda: postings(rows, "s").select(F.size("places").alias("n")).agg(F.sum("n")).first()[0])
+    assert n == 1000 * 42 and mb < 0.1, (n, mb)
+    twice = rows.unionByName(rows.where("key = 'n7'").withColumns({"content": F.lit("later word word"), "updated_at": F.timestamp_seconds(F.lit(5000))}))
+    one, mb = moved(lambda: {r.key: r.content for r in one_a_key(twice).collect()})
+    assert len(one) == 1000 and one["n7"] == "later word word" and mb < 0.1, mb
+    index = NoteIndex(spark, f"file://{tmp_path}/notes")
+    index.write(twice)
+    places = {(r.part, r.term): r.places for r in index.store.read("postings").where("key = 'n7'").collect()}
+    assert places == {("title", "n7"): [0], ("content", "later"): [0], ("content", "word"): [1, 2], ("tags", "t"): [0]}
