@@ -54,10 +54,14 @@ def _with_more(entities: list[dict], relations: list[dict], answer: str) -> tupl
 
 def extract_entities(text: str, provider, gleanings: int = GLEANINGS) -> tuple[list[dict], list[dict]]:
     """One call, and further ones that name what was found before; what a later pass repeats is dropped."""
-    entities, relations = parse_entities(provider.complete(_prompt(text), json_mode=True))
+    told = provider.complete(_prompt(text), json_mode=True)
+    entities, relations = parse_entities(told)
     for _ in range(gleanings):
         try:
-            entities, relations, more = _with_more(entities, relations, provider.complete(_prompt(text, entities), json_mode=True))
+            answer = provider.complete(_prompt(text, entities), json_mode=True)
+            if answer == told:  # nothing new, without reading it
+                break
+            entities, relations, more = _with_more(entities, relations, answer)
         except ValueError:
             break
         if not more:
