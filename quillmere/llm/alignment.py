@@ -10,13 +10,14 @@ that end there are a link.
    a text is one segment). The second tokenizer's own space before a text stands for each segment's first one.
 2. Texts go in blocks of a bounded size. A block keeps its distinct segments, with how often they occur, and each text as
    a list of numbers of these segments. Blocks are written before they are numbered in any other table.
-3. Segments distinct over all blocks are tokenised and aligned once each.
+3. Segments distinct over all blocks are tokenised and aligned once each, and keep the places that they have in blocks.
 4. A text with a segment whose bytes a tokenizer does not give back has no tokens. Its segments are taken off the
    counts, so a pair of ids is counted once for each link of the texts that have tokens.
 5. Counts, and the highest of each B id, come from segments times their occurrences; so do each segment's sums.
-6. Alignments are joined back to the blocks' segments, and each block composes its texts from them.
+6. Alignments go back to their places, those of a block together and compressed, and each block composes its texts.
 
-What is shuffled grows with the distinct segments of blocks and, once, with the lists of numbers, never with the links.
+What is shuffled grows with the distinct segments of blocks, once on their way out and once back, and, once, with the
+lists of numbers, never with the links. The way back and the lists go as compressed bytes, not as rows.
 """
 
 from __future__ import annotations
@@ -32,17 +33,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import resting, saved, scratch, sent, text_slices
+from ._spark import bytes_of, resting, saved, scratch, sent, text_slices
 from .tokens import ByteDecoder, load_tokenizer, trim_caches
 
 #: Characters of text in a block, about; a longer text ends its block.
 BLOCK_BYTES = 32 << 20
 #: A segment's place is its block's number, then its own in the block; blocks have their task's, then their own.
 CODE_BITS, BLOCKS_BITS = 28, 12
+#: Places, and bytes, of aligned segments that a task holds before it packs them for their blocks, about.
+PACK_PLACES, PACK_BYTES = 1 << 19, 32 << 20
 MARK = "▁"
 #: A space after anything but white space, as any of the libraries' rules understands that.
 _SPLIT = re.compile("(?<=[^\\s\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028-\\u202f\\u205f-\\u2064\\u3000\\ufeff]) ")
@@ -138,21 +142,33 @@ def segments(text: str, split: bool = True) -> list[str]:
     return _SPLIT.split(text) if split else [text]
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers compressed as all their lowest bytes, then all the next: most of the higher ones are zero."""
+    return zstandard.compress(np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T).tobytes())
+
+
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _blocks(docs: DataFrame, split: bool, block_bytes: int) -> DataFrame:
-    """(block, doc_id, codes, words): a row for each text, with its segments as little-endian 32-bit numbers in its block's own list;
-    and one for each block with that list, words (segment, n), and nothing else. Blocks are numbered as they are written."""
+    """(block, doc_ids, sizes, codes, words): a row for each slice of texts, with how many segments each has and all of these
+    as packed 32-bit numbers in the block's own list; and one for each block with that list, words (segment, n), and
+    nothing else. Blocks are numbered as they are written."""
 
     @resting
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _forget()
-        names = ["block", "doc_id", "codes", "words"]
+        names = ["block", "doc_ids", "sizes", "codes", "words"]
         block, held, known, counts = TaskContext.get().partitionId() << BLOCKS_BITS, 0, {}, np.zeros(0, np.int64)
         kind = pa.list_(pa.struct([("segment", pa.string()), ("n", pa.int64())]))
 
         def listed() -> pa.RecordBatch:
             each = pa.StructArray.from_arrays([pa.array(list(known), pa.string()), pa.array(counts)], names=["segment", "n"])
             words = pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), each)
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), words], names=names)
+            none = [pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.list_(pa.int32())), pa.nulls(1, pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *none, words], names=names)
 
         for batch in batches:
             for some in text_slices(batch, limit=min(block_bytes, 1 << 21)):
@@ -161,10 +177,13 @@ def _blocks(docs: DataFrame, split: bool, block_bytes: int) -> DataFrame:
                     own = segments(text, split) if text else []
                     coded.append(np.array([known.setdefault(s, len(known)) for s in own], "<u4"))
                     held += len(text)
-                more = np.bincount(np.concatenate(coded), minlength=len(known)).astype(np.int64)
+                codes = np.concatenate(coded)
+                more = np.bincount(codes, minlength=len(known)).astype(np.int64)
                 more[: len(counts)] += counts
                 counts = more
-                rows = [pa.array([block] * len(coded), pa.int64()), some.column("doc_id"), pa.array([c.tobytes() for c in coded], pa.binary()), pa.nulls(len(coded), kind)]
+                of = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                sizes = pa.array([len(c) for c in coded], pa.int32())
+                rows = [pa.array([block], pa.int64()), of(some.column("doc_id")), of(sizes), pa.array([packed(codes)], pa.binary()), pa.nulls(1, kind)]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
                 if held >= block_bytes:
                     yield listed()
@@ -172,7 +191,12 @@ def _blocks(docs: DataFrame, split: bool, block_bytes: int) -> DataFrame:
         if held:
             yield listed()
 
-    return docs.mapInArrow(code, "block long, doc_id long, codes binary, words array<struct<segment:string,n:long>>")
+    return docs.mapInArrow(code, "block long, doc_ids array<long>, sizes array<int>, codes binary, words array<struct<segment:string,n:long>>")
+
+
+def _texts(sizes: pa.ListScalar, codes: pa.BinaryScalar) -> list[np.ndarray]:
+    """The texts of a slice, as numbers of segments."""
+    return np.split(unpacked(codes.as_py(), "<u4"), np.cumsum(sizes.values.to_numpy())[:-1])
 
 
 def _align(segments_: DataFrame, a: str, b: str) -> DataFrame:
@@ -182,32 +206,36 @@ def _align(segments_: DataFrame, a: str, b: str) -> DataFrame:
         for batch in batches:
             for some in text_slices(batch, "segment", 1 << 18):
                 found = _pair(a, b).align(some.column("segment").to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column("segment"), some.column("n"), *found.values()], names=["segment", "n", *found])
+                given = ["segment", "n", "places"]
+                yield pa.RecordBatch.from_arrays([*map(some.column, given), *found.values()], names=[*given, *found])
 
-    return segments_.mapInArrow(work, "segment string, n long, valid boolean, n_a long, n_b long, ids_a array<int>, ids_b array<int>, groups string")
+    return segments_.mapInArrow(work, "segment string, n long, places array<long>, valid boolean, n_a long, n_b long, ids_a array<int>, ids_b array<int>, groups string")
 
 
 def _block(place: str) -> Column:
     return F.shiftright(place, CODE_BITS)
 
 
-def _lost(coded: DataFrame, words: DataFrame, bad: DataFrame) -> DataFrame:
-    """(segment, lost): how often segments occur in texts that hold one of the bad segments."""
+def _lost(coded: DataFrame, aligned: DataFrame) -> DataFrame:
+    """(segment, lost): how often segments occur in texts that hold one whose bytes are not given back."""
+    placed = lambda rows: rows.select("segment", F.explode("places").alias("place"))
     code = F.col("place").bitwiseAND(F.lit((1 << CODE_BITS) - 1))
-    marked = words.join(sent(bad), "segment").groupBy(_block("place").alias("block")).agg(F.collect_list(code).alias("bad"))
+    marked = placed(aligned.where("not valid")).groupBy(_block("place").alias("block")).agg(F.collect_list(code).alias("bad"))
 
     @resting
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                codes = np.frombuffer(batch.column("codes")[i].as_py(), "<u4")
-                if np.isin(codes, batch.column("bad")[i].values.to_numpy()).any():
-                    found, n = np.unique(codes, return_counts=True)
+                bad = batch.column("bad")[i].values.to_numpy()
+                texts = [t for t in _texts(batch.column("sizes")[i], batch.column("codes")[i]) if np.isin(t, bad).any()]
+                if texts:
+                    found, n = np.unique(np.concatenate(texts), return_counts=True)
                     places = (batch.column("block")[i].as_py() << CODE_BITS) + found.astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(n.astype(np.int64))], names=["place", "lost"])
 
-    found = coded.select("block", "codes").join(marked, "block").mapInArrow(count, "place long, lost long")
-    return words.join(found.groupBy("place").agg(F.sum("lost").alias("lost")), "place").groupBy("segment").agg(F.sum("lost").alias("lost"))
+    found = coded.select("block", "sizes", "codes").join(sent(marked), "block").mapInArrow(count, "place long, lost long")
+    lost = saved(found.groupBy("place").agg(F.sum("lost").alias("lost")), "lost")
+    return placed(aligned).join(sent(lost), "place").groupBy("segment").agg(F.sum("lost").alias("lost"))
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -234,23 +262,22 @@ def align(docs: DataFrame, a: str, b: str, key: str = "doc_id", text: str = "tex
     split = cuts(a, b)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     written = _kept(_blocks(rows, split, block_bytes), "coded")
-    coded = written.where("codes is not null").select("block", "doc_id", "codes")
+    coded = written.where("codes is not null").select("block", "doc_ids", "sizes", "codes")
     lists = written.where("words is not null").select(F.shiftleft("block", CODE_BITS).alias("first"), F.posexplode("words").alias("code", "w"))
-    words = lists.select((F.col("first") + F.col("code")).alias("place"), "w.segment", "w.n")
-    aligned = _kept(_align(words.groupBy("segment").agg(F.sum("n").alias("n")), a, b), "aligned", by="segment")
-
-    bad = aligned.where("not valid").select("segment")
-    if not bad.isEmpty():
-        less = _lost(coded, words.select("place", "segment"), bad)
-        counted = aligned.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0))).select(*aligned.columns)
-        aligned = _kept(counted, "counted", by="segment")
-    pairs = saved(pair_counts(aligned), "counts")
+    words = lists.select((F.col("first") + F.col("code")).alias("place"), "w.segment", "w.n").repartition("segment")
+    distinct = words.groupBy("segment").agg(F.sum("n").alias("n"), F.collect_list("place").alias("places"))
+    aligned = _kept(_align(distinct, a, b), "aligned", by="segment")
+
+    counted = aligned.select("segment", "n", "valid", "ids_a", "ids_b")
+    if not aligned.where("not valid").isEmpty():
+        less = _lost(coded, aligned)
+        counted = counted.join(less, "segment", "left").withColumn("n", F.col("n") - F.coalesce("lost", F.lit(0)))
+    pairs = saved(pair_counts(counted), "counts")
     links = aligned.where("valid").select("segment", F.explode(F.arrays_zip("ids_a", "ids_b")).alias("l")).select("segment", F.col("l.ids_a").alias("a"), F.col("l.ids_b").alias("b"))
     # By segment, as the aligned segments lie already.
     sums = links.join(sent(pairs), ["a", "b"]).groupBy("segment").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
-    facts = aligned.select("segment", F.when(F.col("valid"), F.col("groups")).alias("groups"), "n_a").join(sums, "segment", "left")
-    placed = words.select("place", "segment").join(facts, "segment").select("place", "groups", "n_a", "n_best", "count_sum")
-    return _compose(coded, placed), pairs
+    facts = aligned.select("segment", "groups", "n_a", "places").join(sums, "segment", "left").select("groups", "n_a", "n_best", "count_sum", "places")
+    return _compose(coded, _placed(facts)), pairs
 
 
 def _kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
@@ -266,21 +293,67 @@ def _kept(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.table(table)
 
 
+#: What a block is told of a segment, beside its number and the size of its groups' text.
+_TOLD = ["n_a", "n_best", "count_sum"]
+
+
+def _placed(facts: DataFrame) -> DataFrame:
+    """(block, numbers, groups): of some of a block's segments, in ascending order, the numbers and the groups' text."""
+
+    @resting
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget()
+        held: list[pa.RecordBatch] = []
+
+        def blocks() -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            lists, texts = rows.column("places").combine_chunks(), rows.column("groups").combine_chunks()
+            places, parents = lists.flatten().to_numpy(), pc.list_parent_indices(lists).to_numpy()
+            told = [rows.column(name).fill_null(0).to_numpy() for name in _TOLD]
+            order = np.argsort(places)
+            places, parents = places[order], parents[order]
+            firsts = np.flatnonzero(np.diff(places >> CODE_BITS, prepend=-1))
+            for i, j in itertools.pairwise([*firsts.tolist(), len(places)]):
+                own = parents[i:j]
+                data, offsets = bytes_of(texts.take(pa.array(own)))
+                codes = places[i:j] & ((1 << CODE_BITS) - 1)
+                numbers = np.stack([np.diff(codes, prepend=0), np.diff(offsets), *(t[own] for t in told)]).astype("<i8")
+                values = [[int(places[i]) >> CODE_BITS], [packed(numbers)], [zstandard.compress(data.tobytes())]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "groups"])
+
+        n = size = 0
+        for batch in batches:
+            held.append(batch)
+            n, size = n + len(batch.column("places").flatten()), size + batch.nbytes
+            if n >= PACK_PLACES or size >= PACK_BYTES:
+                yield from blocks()
+                held, n, size = [], 0, 0
+        if n:
+            yield from blocks()
+
+    return facts.mapInArrow(pack, "block long, numbers binary, groups binary")
+
+
 def _compose(coded: DataFrame, placed: DataFrame) -> DataFrame:
     def compose(left: pa.Table, right: pa.Table) -> pa.Table:
         _forget()
-        order = np.argsort(right.column("place").to_numpy())
-        texts = right.column("groups").combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.string())
-        valid = texts.is_valid().to_numpy(zero_copy_only=False)
-        groups = [g.encode() for g in texts.fill_null("").to_pylist()]
-        of = lambda name: right.column(name).fill_null(0).to_numpy()[order]
-        n_a, n_links = of("n_a"), np.where(valid, pc.count_substring(texts, ";").fill_null(0).to_numpy() + 1, 0)
+        parts = [unpacked(p.as_py(), "<i8").reshape(2 + len(_TOLD), -1) for p in right.column("numbers")]
+        numbers = np.concatenate([np.zeros((2 + len(_TOLD), 0), np.int64), *parts], axis=1)
+        order = np.argsort(np.concatenate([np.zeros(0, np.int64), *(np.cumsum(p[0]) for p in parts)]))
+        data = b"".join([zstandard.decompress(g.as_py()) for g in right.column("groups")])
+        ends = pa.py_buffer(np.concatenate([[0], np.cumsum(numbers[1])]).astype(np.int64))
+        texts = pa.Array.from_buffers(pa.large_binary(), len(order), [None, ends, pa.py_buffer(data)]).take(pa.array(order))
+        del data, ends, parts
+        _, sizes, n_a, n_best, count_sum = numbers[:, order]
+        valid, groups = sizes > 0, texts.to_pylist()
+        n_links = np.where(valid, pc.count_substring(texts, ";").to_numpy() + 1, 0)
         # A group's text has a comma between the ids of each side.
-        n_b = np.where(valid, pc.count_substring(texts, ",").fill_null(0).to_numpy() + 2 * n_links - n_a, 0)
-        numbers = np.stack([n_a, n_b, n_links, of("n_best"), of("count_sum")]).astype(np.int64)
-        sums, digests = np.zeros((left.num_rows, 5), np.int64), []
-        for i, held in enumerate(left.column("codes")):
-            codes = np.frombuffer(held.as_py(), "<u4")
+        n_b = np.where(valid, pc.count_substring(texts, ",").to_numpy() + 2 * n_links - n_a, 0)
+        del texts
+        numbers = np.stack([n_a, n_b, n_links, n_best, count_sum])
+        every = [codes for row in zip(left.column("sizes"), left.column("codes"), strict=True) for codes in _texts(*row)]
+        sums, digests = np.zeros((len(every), 5), np.int64), []
+        for i, codes in enumerate(every):
             if not len(codes) or not valid[codes].all():
                 digests.append("")
                 continue
@@ -289,9 +362,10 @@ def _compose(coded: DataFrame, placed: DataFrame) -> DataFrame:
             for first in range(0, len(codes), 1 << 16):
                 digest.update(b";" * bool(first) + b";".join([groups[c] for c in codes[first : first + (1 << 16)].tolist()]))
             digests.append(digest.hexdigest())
+        doc_ids = pa.concat_arrays([pa.array([], pa.int64()), *(row.values for row in left.column("doc_ids"))])
         names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
         columns = dict(zip(names, (sums[:, k] for k in (0, 1, 2, 2, 3, 4)), strict=True))
-        return pa.table({"doc_id": left.column("doc_id"), **columns, "groups_sha256": pa.array(digests, pa.string())})
+        return pa.table({"doc_id": doc_ids, **columns, "groups_sha256": pa.array(digests, pa.string())})
 
-    both = coded.groupBy("block").cogroup(placed.groupBy(_block("place").alias("block")))
+    both = coded.groupBy("block").cogroup(placed.groupBy("block"))
     return both.applyInArrow(compose, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")

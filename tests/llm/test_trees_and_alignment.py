@@ -261,3 +261,25 @@ def test_alignment_only_splits_where_it_may():
     assert alignment.cuts(queries._tokenizer("byte_bpe_50k.json"), queries._tokenizer("piece_bpe_32k.model"))
     assert alignment.segments("a b  c\n d \xa0e") == ["a", "b", " c\n d", "\xa0e"]
     assert alignment.segments("a b", split=False) == ["a b"]
+
+
+def test_alignment_packed_several_times_by_a_task(spark, pair, monkeypatch):
+    """Segments of a block come in many packs, out of order; one of the texts has no tokens, so its links are taken off."""
+    rng = random.Random(8)
+    words = [f"{rng.choice(['a', 'Be', 'é', 'x9', '日'])}{rng.randrange(400)}" for _ in range(500)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randrange(1, 60)))) for i in range(60)] + [(60, " ".join([*words[:50], "▁"])), (61, ""), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(alignment, "PACK_PLACES", 20)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = alignment.align(docs, queries._tokenizer("byte_bpe_50k.json"), queries._tokenizer("piece_bpe_32k.model"), block_bytes=3_000)[0].collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert Counter(tuple(r[n] for n in NAMES) for r in found) == brute_alignment(pair, rows)[0]
+
+
+@pytest.mark.parametrize("numbers", [[], [0], [5, 0, 70_000, 2**31]])
+def test_packed_numbers(numbers):
+    for kind in ("<u4", "<i8"):
+        assert alignment.unpacked(alignment.packed(np.array(numbers, kind)), kind).tolist() == numbers

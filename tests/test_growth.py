@@ -142,3 +142,16 @@ def test_words_of_notes_stay_where_the_notes_are(spark, moved, tmp_path):
     index.write(twice)
     places = {(r.part, r.term): r.places for r in index.store.read("postings").where("key = 'n7'").collect()}
     assert places == {("title", "n7"): [0], ("content", "later"): [0], ("content", "word"): [1, 2], ("tags", "t"): [0]}
+
+
+def test_aligned_tokens_go_to_blocks_once_and_packed(spark, moved):
+    """A segment goes from its blocks to where it is aligned once, with its places, and back as compressed bytes."""
+    from quillmere.llm import alignment, queries
+
+    word = lambda i: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", i), 1 + F.pmod(F.xxhash64(i, "id"), F.lit(20_000))).cast("string"))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(200)), word), " ").alias("text"))
+    docs = docs.repartition(8, "doc_id").localCheckpoint()
+    names = [queries._tokenizer(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found, mb = moved(lambda: alignment.align(docs, *names)[0].agg(F.count("*").alias("texts"), F.sum("n_a").alias("n_a"), F.sum("n_links").alias("n_links")).first())
+    assert tuple(found) == (2000, 1129863, 1129863)
+    assert mb < 5  # 6.2 before
