@@ -155,7 +155,8 @@ def links(nodes: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
     rows, found = _keys(nodes, masks(list(range(BITS)), radius)), []
     while True:
         size = rows.groupBy("bucket").count().where("count > 1")
-        held = saved(rows.join(size, "bucket"), "held")
+        # Spark takes a row and its explode for one row, so it would send the sizes of many more buckets to all tasks than a driver holds.
+        held = saved(rows.join(size.hint("merge"), "bucket"), "held")
         small = held.where(F.col("count") <= bucket).groupBy("bucket").agg(F.sort_array(F.collect_set("print")).alias("prints"))
         # The same nodes meet in many tables; they are compared once.
         found.append(saved(_compare(small.select("prints").distinct(), radius), "links"))

@@ -155,3 +155,20 @@ def test_aligned_tokens_go_to_blocks_once_and_packed(spark, moved):
     found, mb = moved(lambda: alignment.align(docs, *names)[0].agg(F.count("*").alias("texts"), F.sum("n_a").alias("n_a"), F.sum("n_links").alias("n_links")).first())
     assert tuple(found) == (2000, 1129863, 1129863)
     assert mb < 5  # 6.2 before
+
+
+def test_sizes_of_buckets_are_not_sent(spark, monkeypatch):
+    """Spark sizes a table before an explode; what it yields is no table to send to all tasks on that guess."""
+    from quillmere.llm import simhash
+
+    plans, kept = [], simhash.saved
+
+    def saved(df, name):
+        if name == "held":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(simhash, "saved", saved)
+    nodes = kept(spark.range(600).select(F.col("id").alias("print")), "nodes")
+    assert simhash.links(nodes, 4, 64).count()
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
