@@ -10,19 +10,29 @@ inside a community as a loop.
 Nodes are numbered in their order once a level, and arcs are written once a level, bucketed by the end that tells its
 label, so they are not moved to meet the labels. What they tell is summed by the other end and label before it
 is moved to the other end. A sweep is one job; the modularity of the labelling before it is a sum that it makes by the way.
+
+A level of nodes whose labels and strengths may be sent to all tasks (a checked size) moves nothing else: its arcs are packed
+once into blocks of whole nodes, each about ARCS arcs, and a sweep is a scan of them. Both ways give the same labels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..tables import bucketed, cut, discard
+from ..tables import BROADCAST_BYTES, bucketed, cut, discard
 from .graph import edge_weights
 
 MAX_SWEEPS, MAX_LEVELS, MIN_SIZE = 100, 3, 2
 #: Modularity is worked out after so many sweeps; a level ends after so many looks without so much of a rise.
 LOOK, PATIENCE, RISE = 4, 1, 1e-4
+#: Arcs of a block, and the bytes of a node's label and strength; nodes are packed if these may be sent.
+ARCS, SENT = 250_000, 12
 
 
 def modularity(edges: DataFrame, labels: DataFrame, total: float) -> float:
@@ -55,51 +65,179 @@ def _asked(arcs: DataFrame, state: DataFrame, total: float, sweep: int) -> DataF
     return offers.select("id", "node", F.when(moves, F.col("away.label")).otherwise(F.col("own")).alias("label"), "k", "wish", "inside", F.col("own_tot").alias("tot"))
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """To nine digits as F.round does: half up, of the shortest decimal."""
+    whole_ones = ~(np.abs(x) < 1 << 53)  # and what is no number
+    size = np.abs(np.where(whole_ones, 0.0, x)) * 1e9
+    low = np.floor(size)
+    part = size - low
+    out = np.where(whole_ones, x, np.copysign(low + (part >= 0.5), x) / 1e9)
+    for i in np.flatnonzero(~whole_ones & ((np.abs(part - 0.5) <= 1e-6 + size * 4e-16) | (size >= 1 << 52))).tolist():
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return out
+
+
+_NUMBERS, _PACKED = {"rows": "<i4", "others": "<i4", "weights": "<f8"}, "block int, labels binary, k binary"
+
+
+def _packed(arcs: DataFrame, every: DataFrame, blocks: int) -> DataFrame:
+    """Per block, the one of every `blocks`-th node: block, labels (the nodes' own numbers), k, the names `nodes`, and the arcs,
+    by node and with its place in the block, as rows, others, weights."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        named = table.filter(pa.compute.is_null(table.column("other"))).sort_by("id")
+        met = table.filter(pa.compute.is_valid(table.column("other"))).sort_by([("id", "ascending"), ("other", "ascending")])
+        columns = {"rows": (met.column("id").to_numpy() - block) // blocks, "others": met.column("other").to_numpy(), "weights": met.column("weight").to_numpy()}
+        packed = {"block": block, "labels": named.column("id").to_numpy().astype("<i4").tobytes(), "k": named.column("k").to_numpy().astype("<f8").tobytes(), "nodes": named.column("node").to_pylist()}
+        kinds = [("block", pa.int32()), ("labels", pa.binary()), ("k", pa.binary()), ("nodes", pa.list_(pa.string())), *((c, pa.binary()) for c in _NUMBERS)]
+        return pa.Table.from_pylist([packed | {c: v.astype(_NUMBERS[c]).tobytes() for c, v in columns.items()}], pa.schema(kinds))
+
+    block = F.pmod("id", F.lit(blocks)).cast("int").alias("block")
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = every.select(block, "id", "node", "k", null("long").alias("other"), null("double").alias("weight")).unionByName(arcs.select(block, "id", null("string").alias("node"), null("double").alias("k"), "other", "weight"))
+    return rows.repartition(blocks, "block").groupBy("block").applyInArrow(pack, f"{_PACKED}, nodes array<string>, rows binary, others binary, weights binary")
+
+
+def _decided(packed: DataFrame, state: DataFrame, total: float, sweep: int, blocks: int) -> DataFrame:
+    """_asked() over packed arcs: the state (block, labels, k) after a sweep, and for each block wish, inside and squares."""
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels = tots = None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                get = {c: batch.column(c)[row] for c in batch.schema.names}
+                numbers = lambda name, kind: np.frombuffer(get[name].as_buffer(), kind)  # noqa: B023, E731
+                if labels is None:
+                    held = get["held"].values
+                    parts = [(b, *(np.frombuffer(held.field(c)[i].as_buffer(), kind) for c, kind in (("labels", "<i4"), ("k", "<f8")))) for i, b in enumerate(held.field("block").to_pylist())]
+                    labels, ks = np.zeros(sum(len(p[1]) for p in parts), "<i4"), np.zeros(sum(len(p[1]) for p in parts))
+                    for b, own, k in parts:
+                        labels[b::blocks], ks[b::blocks] = own, k
+                    tots = np.bincount(labels, ks, len(labels))
+                at, weights, k = numbers("rows", "<i4"), numbers("weights", "<f8"), numbers("k", "<f8")
+                own = labels[get["block"].as_py() :: blocks]
+                share = k / (2 * total)
+                met = labels[numbers("others", "<i4")]
+                order = np.argsort(at.astype(np.int64) * len(labels) + met, kind="stable")
+                at, met = at[order], met[order]
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 0) | (np.diff(met) != 0)])) if len(at) else np.zeros(0, int)
+                told = np.add.reduceat(weights[order], first) if len(at) else np.zeros(0)
+                at, met = at[first], met[first]
+                mine = met == own[at]
+                inside, wish, new = np.zeros(len(own)), np.zeros(len(own), bool), own.copy()
+                inside[at[mine]] = told[mine]
+                stay = _rounded(inside - (tots[own] - k) * share)
+                at, met, told = at[~mine], met[~mine], told[~mine]
+                if len(at):
+                    gain = _rounded(told - tots[met] * share[at])
+                    nodes, begin, size = np.unique(at, return_index=True, return_counts=True)
+                    best = np.maximum.reduceat(gain, begin)
+                    # Labels ascend: the first of the highest gain is the smallest.
+                    hit = np.flatnonzero(gain == np.repeat(best, size))
+                    hit = hit[np.unique(at[hit], return_index=True)[1]]
+                    wish[nodes] = best > stay[nodes]
+                    moves = wish[nodes] & np.asarray(get["deal"].values)[nodes]
+                    new[nodes[moves]] = met[hit[moves]]
+                out = {"block": get["block"].as_py(), "labels": new.tobytes(), "k": k.tobytes(), "wish": int(wish.sum()), "inside": float(inside.sum()), "squares": float((k * tots[own]).sum())}
+                yield pa.RecordBatch.from_pylist([out], pa.schema([("block", pa.int32()), ("labels", pa.binary()), ("k", pa.binary()), ("wish", pa.int64()), ("inside", pa.float64()), ("squares", pa.float64())]))
+
+    told = state.coalesce(1).agg(F.collect_list(F.struct("block", "labels", "k")).alias("held"))
+    deal = F.transform("nodes", lambda x: F.pmod(F.xxhash64(x, F.lit(sweep)), F.lit(2)) == 0).alias("deal")
+    asked = packed.select("block", "k", "rows", "others", "weights", deal).crossJoin(F.broadcast(told))
+    return asked.mapInArrow(decide, f"{_PACKED}, wish long, inside double, squares double")
+
+
+def _unpacked(state: DataFrame, blocks: int) -> DataFrame:
+    """id, label of a packed state."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, labels in zip(batch.column("block").to_pylist(), batch.column("labels").to_pylist(), strict=True):
+                own = np.frombuffer(labels, "<i4").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own)) * blocks + block), pa.array(own)], names=["id", "label"])
+
+    return state.select("block", "labels").mapInArrow(rows, "id long, label long")
+
+
+def _numbered(nodes: DataFrame) -> DataFrame:
+    """node and id: numbers from 0 in the nodes' order, without gaps."""
+    placed = cut(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("id")), "ids")
+    part = F.shiftright("id", 33)
+    sizes = sorted(placed.groupBy(part.alias("part")).count().collect())  # a row for each task
+    firsts = np.cumsum([0, *(r["count"] for r in sizes)]).tolist()
+    base = placed.sparkSession.createDataFrame([(r["part"], f) for r, f in zip(sizes, firsts, strict=False)], "part long, base long")
+    return cut(placed.join(F.broadcast(base), part == F.col("part")).select("node", (F.col("id") - F.shiftleft(F.col("part"), 33) + F.col("base")).alias("id")), "ids")
+
+
+def _settled(start: DataFrame, swept: Callable[[DataFrame, int], tuple[DataFrame, float, int]], sweeps: int) -> DataFrame:
+    """The best state met by sweeps from the first; a sweep gives the state after it, the modularity before it, and how many
+    nodes wanted to move."""
+    state, best, best_q, looked, stale = start, start, None, None, 0
+    for sweep in range(sweeps + 1):
+        # The last one only tells the modularity of what the others have reached.
+        after, q, wished = swept(state, sweep)
+        if best_q is None or q > best_q:
+            if best is not start and best is not state:
+                discard(best)
+            best, best_q = state, q
+        elif state is not best:
+            discard(state)
+        if not wished or sweep == sweeps:
+            break
+        if sweep % LOOK == 0:
+            stale = stale + 1 if looked is not None and best_q <= looked + RISE else 0
+            looked = best_q
+            if stale >= PATIENCE:
+                break
+        state = after
+    return best
+
+
 def louvain_level(edges: DataFrame, nodes: DataFrame, sweeps: int = MAX_SWEEPS) -> DataFrame:
     """node, label of one level, the label being the smallest node of its community; edges (a, b, weight) with a <= b,
     nodes (node). Without weight all stay alone."""
     spark = edges.sparkSession
-    total = edges.agg(F.sum("weight")).first()[0] or 0.0
-    if total <= 0:
+    total, count = edges.agg(F.sum("weight"), F.count("*")).first()
+    if (total or 0.0) <= 0:
         return cut(nodes.select("node", F.col("node").alias("label")), "labels")
-    ids = cut(nodes.orderBy("node").select("node", F.monotonically_increasing_id().alias("id")), "ids")
+    ids = _numbered(nodes)
     end = lambda name: ids.select(F.col("node").alias(name), F.col("id").alias(f"i{name}"))
     pairs = cut(edges.join(end("a"), "a").join(end("b"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"), "weight"), "pairs")
     ends = F.array(F.struct(F.col("a").alias("other"), F.col("b").alias("id")), F.struct(F.col("b").alias("other"), F.col("a").alias("id")))
-    arcs = bucketed(spark, pairs.where("a <> b").select(F.explode(ends).alias("e"), "weight").select("e.other", "e.id", "weight"), ["other"], "arcs")
+    arcs = pairs.where("a <> b").select(F.explode(ends).alias("e"), "weight").select("e.other", "e.id", "weight")
     strength = pairs.select(F.explode(F.array("a", "b")).alias("id"), "weight", (F.col("a") != F.col("b")).alias("met")).groupBy("id").agg(F.sum("weight").alias("k"), F.max("met").alias("met"))
     every = cut(ids.join(strength, "id").select("id", "node", F.col("id").alias("label"), "k", "met"), "state")
+    loops = pairs.where("a = b").agg(F.sum("weight")).first()[0] or 0.0
+    known = ids.limit(BROADCAST_BYTES // SENT + 1).count()
+    if known <= BROADCAST_BYTES // SENT:
+        blocks = -(-max(2 * count, known) // ARCS)
+        full = ids.join(every.select("id", "k"), "id", "left").select("id", "node", F.coalesce("k", F.lit(0.0)).alias("k"))
+        packed = cut(_packed(arcs, full, blocks), "packed")
+
+        def swept(state: DataFrame, sweep: int) -> tuple[DataFrame, float, int]:
+            seen = Observation()
+            after = cut(_decided(packed, state, total, sweep, blocks).observe(seen, *(F.sum(c).alias(c) for c in ("wish", "inside", "squares"))).select("block", "labels", "k"), "state")
+            found = seen.get
+            return after, (found["inside"] / 2 + loops) / total - found["squares"] / (4 * total * total), found["wish"]
+
+        best = _settled(packed.select("block", "labels", "k"), swept, sweeps)
+        rows = _unpacked(best, blocks).join(every.select("id", "node"), "id").select("node", "label")
+        return rows.join(rows.groupBy("label").agg(F.min("node").alias("name")), "label").select("node", F.col("name").alias("label"))
+
+    arcs = bucketed(spark, arcs, ["other"], "arcs")
     # Nodes without arcs have no other community to go to.
     start, alone = every.where("met").select("id", "node", "label", "k"), every.where("not met").select("id", "node", "label", "k")
-    loops = pairs.where("a = b").agg(F.sum("weight")).first()[0] or 0.0
     lone = alone.agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
 
     def swept(state: DataFrame, sweep: int) -> tuple[DataFrame, float, int]:
-        """The state after a sweep, the modularity before it, and how many nodes wanted to move."""
         seen = Observation()
         sums = F.count(F.when(F.col("wish"), 1)).alias("wish"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("tot")).alias("squares")
         after = cut(_asked(arcs, state, total, sweep).observe(seen, *sums).select("id", "node", "label", "k"), "state")
         found = seen.get
         return after, ((found["inside"] or 0.0) / 2 + loops) / total - ((found["squares"] or 0.0) + lone) / (4 * total * total), found["wish"]
 
-    state, best, best_q, looked, stale = start, start, None, None, 0
-    for sweep in range(sweeps + 1):
-        # The last one only tells the modularity of what the others have reached.
-        after, q, wished = swept(state, sweep)
-        if best_q is None or q > best_q:
-            if best is not start and best is not state:
-                discard(best)
-            best, best_q = state, q
-        elif state is not best:
-            discard(state)
-        if not wished or sweep == sweeps:
-            break
-        if sweep % LOOK == 0:
-            stale = stale + 1 if looked is not None and best_q <= looked + RISE else 0
-            looked = best_q
-            if stale >= PATIENCE:
-                break
-        state = after
+    best = _settled(start, swept, sweeps)
     rows = best.unionByName(alone)
     return rows.join(rows.groupBy("label").agg(F.min("node").alias("name")), "label").select("node", F.col("name").alias("label"))
 

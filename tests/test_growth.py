@@ -172,3 +172,44 @@ def test_sizes_of_buckets_are_not_sent(spark, monkeypatch):
     nodes = kept(spark.range(600).select(F.col("id").alias("print")), "nodes")
     assert simhash.links(nodes, 4, 64).count()
     assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
+@pytest.fixture
+def weighted(spark):
+    """5,000 pairs of 300 nodes, most of them within one of ten groups, some loops, and a node with a loop only."""
+    a = F.pmod(F.xxhash64("id"), F.lit(300))
+    b = F.when(F.col("id") % 5 > 0, F.pmod(a + 10 * F.pmod(F.xxhash64("id", F.lit(1)), F.lit(30)), F.lit(300))).otherwise(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(300)))
+    text = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    rows = spark.range(5000).select(text(a).alias("source_id"), text(b).alias("target_id"), ((F.col("id") % 7) / 3).alias("weight"))
+    rows = rows.unionByName(spark.createDataFrame([("alone", "alone", 2.5)], "source_id string, target_id string, weight double"))
+    pairs = graph.edge_weights(rows).localCheckpoint()
+    return pairs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().localCheckpoint()
+
+
+def test_a_sweep_over_packed_arcs_moves_nothing(spark, moved, weighted):
+    from quillmere.operators import communities
+
+    mb = [moved(lambda n=n: communities.louvain_level(*weighted, n).collect())[1] for n in (1, 7)]
+    assert mb[1] - mb[0] < 0.01
+
+
+def test_packed_arcs_give_the_same_labels(spark, monkeypatch, weighted):
+    from quillmere.operators import communities
+
+    labels = lambda: sorted(map(tuple, communities.louvain_level(*weighted).collect()))
+    monkeypatch.setattr(communities, "ARCS", 900)
+    packed = labels()
+    monkeypatch.setattr(communities, "BROADCAST_BYTES", 0)
+    assert packed == labels() and len(packed) == weighted[1].count()
+    assert dict(packed)["alone"] == "alone" and 5 < len({label for _, label in packed}) < 100
+
+
+def test_gains_are_rounded_as_spark_does(spark):
+    import numpy as np
+
+    from quillmere.operators.communities import _rounded
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=500), np.round(rng.normal(size=500), 9) + 5e-10, rng.normal(size=200) * 1e8, [0.0, -0.0, 1.0000000005, -2.5e-10, 5e-10, 12345678.0000000015, 1e300]])
+    want = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "x double").select(F.round("x", 9)).collect()]
+    assert _rounded(x).tolist() == want
