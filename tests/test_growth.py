@@ -47,6 +47,19 @@ def test_walks_that_meet_at_a_node(spark, moved):
     assert sorted(map(tuple, found)) == [("w7", 1101), ("w8", 1101)]
 
 
+def test_hops_in_scopes_move_new_nodes_only(spark, moved, monkeypatch):
+    """20,000 documents of four relationships, each in the scopes of four walks; nodes are too many to be sent."""
+    from quillmere import tables
+
+    monkeypatch.setattr(tables, "BROADCAST_ROWS", 100)
+    node = lambda k, n, c: F.concat(F.lit(c), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(n)).cast("string"))
+    rows = edges(spark, 80_000, node(1, 9000, "p"), node(2, 500, "s"), F.concat(F.lit("d"), F.floor(F.col("id") / 4).cast("string"))).localCheckpoint()
+    starts = rows.select(F.col("target_id").alias("walk"), F.col("target_id").alias("id")).distinct()
+    scopes = rows.select(F.col("target_id").alias("walk"), "doc_id")
+    mb = [moved(lambda n=n: graph.walks(rows, starts, n, scopes).write.format("noop").mode("overwrite").save())[1] for n in (1, 2)]
+    assert mb[1] - mb[0] < 4  # 12 before: every relationship of a scope, for each of its walks
+
+
 def test_a_walk_moves_what_it_meets_only(spark, moved):
     own = F.col("id").cast("string")
     rows = edges(spark, 100_000, F.concat(F.lit("a"), own), F.concat(F.lit("a"), (F.col("id") + 1).cast("string")), F.concat(F.lit("d"), own))
