@@ -32,6 +32,14 @@ def test_answer_of_near_ties(held):
     held("global_answer", embeddings=pd.DataFrame({"vec_id": range(len(rows)), "embedding": rows, "label": np.int32(2)}))
 
 
+@pytest.mark.parametrize("labels", [[4] * 12 + [1], [3] * 5, [4] * 9 + [1]])
+def test_answer_without_summaries(held, labels):
+    """Copies of vector 0, whose label gives no summary: more than are ranked, none that is ranked, and one less than are ranked."""
+    rows = [np.linspace(1, 2, 8).astype("f4")] * len(labels)
+    found = held("global_answer", embeddings=pd.DataFrame({"vec_id": range(len(rows)), "embedding": rows, "label": np.array(labels, "i4")}))
+    assert (found == [(None,)]) == (labels.count(4) != 9)
+
+
 def test_titles_with_other_references(held):
     """References other than those of <, > and & are plain text, as are ones cut off."""
     titles = ["a &lt;b&gt; &amp; c", "say &quot;x&quot;", "cut &amp", "cut &am", "&amp;lt; &amp;quot;", "&#65; &#x41; &eacute;", "&lt &nbsp;x", " two\n lines ", "&&amp;;"]
